@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package sent to the executors once a session, as they may not have it installed."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_quarry_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(to := Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry_package.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(to))
+        sc._quarry_sent = True
+    return df.mapInArrow(run, schema)
+
+
 def hex_long(digest: Column, start: int, digits: int) -> Column:
     """The integer that `digits` hex digits of a digest, from position `start` (1-based), spell."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")

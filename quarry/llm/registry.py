@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "url_filter", "mixing")
+MODULES = ("sharding", "url_filter", "mixing", "simhash", "decontaminate")
 
 
 def _merged(name: str) -> dict:
