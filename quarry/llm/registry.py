@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "url_filter", "mixing", "simhash", "decontaminate")
+MODULES = ("license_scan", "sharding", "url_filter", "simhash", "decontaminate", "mixing")
 
 
 def _merged(name: str) -> dict:
