@@ -1,8 +1,8 @@
 """Toxicity: a logistic classifier with a counterfactual penalty.
 
 Features of a text are the words it holds and the first 4, 5 and 6 characters of its
-longer words; those that best tell the labels apart are kept (log-likelihood ratio),
-besides all identity terms. For every labelled text that names a group, a
+longer words; of those commoner in label 1, the ones that best tell the labels apart
+are kept (log-likelihood ratio), besides all identity terms. For every labelled text that names a group, a
 counterfactual swaps each identity term for another of its kind; training adds
 `strength` times the mean squared change of the score between a text and its swap, so
 that neutral mentions of a group don't raise the score.
@@ -28,7 +28,7 @@ from quarry.llm.common import held_out, map_arrow, table
 from quarry.llm.labelled import log_likelihood_ratio, training_rows
 
 TRAIN_ROWS = 8000
-FEATURES = 2000
+FEATURES = 1500
 #: A feature counts if this many training texts have it.
 LEAST = 4
 THRESHOLD = 0.3
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["feature", "label"])
 
     counted = map_arrow(sample.select("text", "label"), spell, "feature string, label int").groupBy("feature").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    best = counted.where(F.col("pos") + F.col("neg") >= LEAST).withColumn("llr", log_likelihood_ratio(F.col("pos"), F.col("neg"), n[1], n[0])).orderBy(F.desc("llr"), "feature").limit(size)
+    telling = (F.col("pos") + F.col("neg") >= LEAST) & (F.col("pos") * n[0] > F.col("neg") * n[1])
+    best = counted.where(telling).withColumn("llr", log_likelihood_ratio(F.col("pos"), F.col("neg"), n[1], n[0])).orderBy(F.desc("llr"), "feature").limit(size)
     chosen = {r["feature"]: None for r in best.select("feature").collect()}
     swap = swaps(identity)
     chosen |= {f"={t}": None for t in swap}
