@@ -77,21 +77,39 @@ def thresholds(rows: DataFrame, per_source: DataFrame, small: bool) -> DataFrame
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("below"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, total_share: float = TOTAL_SHARE, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs."""
-    digits = BITS * LEVELS // 4
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")).withColumn("hash", hex_long(F.md5(F.concat(F.lit("mix|"), id_text("doc_id"))), 1, digits)))
+def hashed(doc_id: str = "doc_id") -> Column:
+    return hex_long(F.md5(F.concat(F.lit("mix|"), id_text(doc_id))), 1, BITS * LEVELS // 4)
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, total_share: float = TOTAL_SHARE, most_repeats: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
+    """The words of each row (doc_id, source, size, hash), the plan of each source (source, source_size, target, whole, below), and whether the plan may be broadcast."""
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hashed(doc_id).alias("hash")))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most_repeats))
     small = sources.count() <= BROADCAST_SOURCES
     found = thresholds(rows, sources.where(F.col("source_size") > 0), small)
     other = found.withColumnRenamed("source", "_source")
-    sources = cut(sources.join(other, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "source_size", "target", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).alias("whole"), F.coalesce("below", F.lit(0)).alias("below")))
-    out = with_sources(rows, sources, small)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("hash") < F.col("below")).cast("long"))).alias("taken"))
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
+    plan = cut(sources.join(other, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "source_size", "target", whole.alias("whole"), F.coalesce("below", F.lit(0)).alias("below")))
+    return rows, plan, small
+
+
+def repeats(hash_: Column) -> Column:
+    """How often the mix takes a row of a source with this plan."""
+    return F.col("whole") + (hash_ < F.col("below")).cast("long")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it; docs must have doc_id, text and source."""
+    _, plan, small = mix(docs)
+    renamed = plan.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
+    taken = docs.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.col("_whole") + (hashed() < F.col("_below")).cast("long")
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
 
 
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    rows, plan, small = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return with_sources(rows, plan, small).select("doc_id", "size", "source_size", "target", (F.col("size") * repeats(F.col("hash"))).alias("taken"))
 
 
 ORACLE = rf"""
