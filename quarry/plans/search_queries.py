@@ -58,7 +58,7 @@ def bm25_proximity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return search.semantic(parts, "part alpha 12", 20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.semantic(parts, "green widgets", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def docs_keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ ORACLES = {
 b AS (SELECT d.doc_id, d.kind, d.text AS name, score + coalesce(CASE hop WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 END, 0.1) * CASE kind WHEN 'package' THEN 0.1 WHEN 'file' THEN 0.2 ELSE 0.3 END AS score
   FROM sc JOIN d USING (doc_id) LEFT JOIN hop ON hop.node = d.doc_id WHERE score > 0)
 SELECT doc_id, kind, name, round(score, 6) AS score FROM b ORDER BY round(b.score, 9) DESC, doc_id LIMIT 20""",
-    "ngram_cosine_topk": r"""WITH t AS (SELECT p_partkey AS doc_id, regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') AS s FROM part UNION ALL SELECT -1, 'partalpha12'),
+    "ngram_cosine_topk": r"""WITH t AS (SELECT p_partkey AS doc_id, regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') AS s FROM part UNION ALL SELECT -1, 'greenwidgets'),
 g AS (SELECT doc_id, substr(s, i, 3) AS gram, count(*) AS k FROM (SELECT doc_id, s, unnest(range(1, greatest(1, length(s) - 2) + 1)) AS i FROM t WHERE s <> '') GROUP BY ALL),
 w AS (SELECT doc_id, gram, k / greatest(sqrt(sum(k * k) OVER (PARTITION BY doc_id)), 0.000001) AS w FROM g),
 s AS (SELECT a.doc_id, sum(a.w * b.w) AS score FROM w a JOIN w b ON a.gram = b.gram AND b.doc_id = -1 WHERE a.doc_id <> -1 GROUP BY a.doc_id)
