@@ -27,9 +27,9 @@ def hop_score(hop: Column) -> Column:
 
 
 def risk_probability(dependents: Column, fan_in: Column, churn: Column, bugfix: Column, complexity: Column, test_gap: Column, weights: dict[str, float] = RISK_WEIGHTS, bias: float = RISK_BIAS) -> Column:
-    """Logistic over log-scaled counts, ratios and flags."""
+    """Logistic over counts, ratios and flags; complexity is given as a logarithm."""
     w = weights
-    z = w["dependents"] * F.log1p(dependents) + w["fan_in"] * F.log1p(fan_in) + w["churn"] * F.log1p(churn) + w["bugfix"] * bugfix + w["complexity"] * F.log1p(complexity) + w["test_gap"] * test_gap + bias
+    z = w["dependents"] * dependents + w["fan_in"] * fan_in + w["churn"] * churn + w["bugfix"] * bugfix + w["complexity"] * complexity + w["test_gap"] * test_gap + bias
     return 1 / (1 + F.exp(-z))
 
 
