@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.sources.checkpoints import cut, shared_dir
+from quarry.sources.package import send_package
+
+__all__ = ["added", "all_columns", "cut", "free", "held_out", "hex_long", "id_text", "map_arrow", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,35 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if found is None:
-        found = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder and cuts its lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package sent to the executors once a session, as they may not have it installed."""
-    sc = df.sparkSession.sparkContext
-    if not getattr(sc, "_quarry_sent", False):
-        package = Path(__file__).resolve().parents[1]
-        with zipfile.ZipFile(to := Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry_package.zip", "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(to))
-        sc._quarry_sent = True
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with this package sent to the executors, as they may not have it installed."""
+    send_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever columns it brings."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def added(df: DataFrame, *new: tuple[str, T.DataType]) -> T.StructType:
+    """df's schema and further columns."""
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema.fields), *(T.StructField(n, t) for n, t in new)])
+
+
 def hex_long(digest: Column, start: int, digits: int) -> Column:
     """The integer that `digits` hex digits of a digest, from position `start` (1-based), spell."""
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")

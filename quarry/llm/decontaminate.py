@@ -19,15 +19,17 @@ empty results or no hit. Repeated rows return repeated rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import cut, id_text, map_arrow, table
+from quarry.llm.common import added, cut, free, id_text, map_arrow, table
 
 WINDOW = 10
 #: Benchmark words that one automaton holds at most (one item may exceed it alone).
@@ -207,36 +209,35 @@ def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) ->
         yield Automaton([(r["item"], words(r["text"])) for r in rows], window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
-    """docs with n_words, spans (hit runs of words, [first, past)) and items (sorted ids) added; docs must have a column text."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, names: tuple[str, str, str] = ("_n_words", "_spans", "_items")) -> DataFrame:
+    """docs (with a column text) and three new columns: the number of words, the hit runs of words as [first, past), the items' ids in order."""
     spark = docs.sparkSession
-    names = docs.columns
-    out, first = docs, True
-    for automaton in automata(benchmark, window, limit):
-        shared = spark.sparkContext.broadcast(automaton)
-        if not first:
-            out = cut(out)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+    width, at = len(docs.columns), docs.columns.index("text")
+    schema = added(docs, *zip(names, (T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())), strict=True))
+
+    def scanner(shared: Broadcast, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in range(0, batch.num_rows, 500):
                     rows = batch.slice(part, 500)
-                    found = list(shared.value.scan(rows.column("text").to_pylist()))
-                    n, spans, items = (list(x) for x in zip(*found, strict=True))
+                    n, spans, items = (list(x) for x in zip(*shared.value.scan(rows.column(at).to_pylist()), strict=True))
                     if not first:
-                        spans = [merged(a + b) for a, b in zip(rows.column("_spans").to_pylist(), spans, strict=True)]
-                        items = [a | set(b) for a, b in zip(items, rows.column("_items").to_pylist(), strict=True)]
-                    added = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), *added], names=[*(f"c{i}" for i in range(len(names))), "_n_words", "_spans", "_items"])
-
-        source = docs.select(*(F.col(f"`{c}`") for c in names)) if first else out
-        schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _n_words long, _spans array<array<long>>, _items array<string>"
-        out = map_arrow(source, run, schema)
-        first = False
+                        spans = [merged(a + b) for a, b in zip(rows.column(width + 1).to_pylist(), spans, strict=True)]
+                        items = [a | set(b) for a, b in zip(items, rows.column(width + 2).to_pylist(), strict=True)]
+                    new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:width], *new], names=[*rows.schema.names[:width], *names])
+
+        return run
+
+    out = docs
+    for k, automaton in enumerate(automata(benchmark, window, limit)):
+        # each further automaton works in a job of its own
+        out = map_arrow(cut(out) if k else out, scanner(spark.sparkContext.broadcast(automaton), k == 0), schema)
     return out
 
 
-def spans_hit(spans: str = "_spans"):
+def spans_hit(spans: str = "_spans") -> Column:
+    """The number of words in runs."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
 
@@ -254,17 +255,17 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, limit: int = LIMIT) -> DataFrame:
     """docs without benchmark passages: hit runs of `min_span` words or more are cut out of text, and documents of whose words
     more than max_coverage lie in such runs go. Shorter runs (whole items of a few words) stay."""
-    names = docs.columns
-    found = scan(docs, benchmark, window, limit).withColumn("_spans", F.filter("_spans", lambda s: s[1] - s[0] >= min_span))
-    found = found.where(spans_hit() <= max_coverage * F.col("_n_words"))
+    names = tuple(free(docs, c) for c in ("_n_words", "_spans", "_items"))
+    found = scan(docs, benchmark, window, limit, names).withColumn(names[1], F.filter(names[1], lambda s: s[1] - s[0] >= min_span))
+    found = found.where(spans_hit(names[1]) <= max_coverage * F.col(names[0]))
+    width, at = len(docs.columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t if t is None or not s else cut_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=[f"c{i}" for i in range(len(names))])
+            texts = [t if t is None or not s else cut_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)], names=batch.schema.names[:width])
 
-    return map_arrow(found, run, docs.schema)
+    return map_arrow(found, run, added(docs))
 
 
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import cut, hex_long, id_text, table
+from quarry.llm.common import all_columns, cut, free, hex_long, id_text, table
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -101,10 +101,11 @@ def repeats(hash_: Column) -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it; docs must have doc_id, text and source."""
     _, plan, small = mix(docs)
-    renamed = plan.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    taken = docs.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.col("_whole") + (hashed() < F.col("_below")).cast("long")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    source, whole, below, copy = (free(docs, c) for c in ("_source", "_whole", "_below", "_copy"))
+    renamed = plan.select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("below").alias(below))
+    taken = docs.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col(source)))
+    times = F.col(whole) + (hashed() < F.col(below)).cast("long")
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*all_columns(docs))
 
 
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

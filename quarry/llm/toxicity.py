@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import held_out, map_arrow, table
+from quarry.llm.common import added, free, held_out, map_arrow, table
 from quarry.llm.labelled import log_likelihood_ratio, training_rows
 
 TRAIN_ROWS = 8000
@@ -167,17 +168,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return Model(bias, {f: float(w[i]) for f, i in number.items() if w[i]})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with a column text) and a column _score."""
+def score(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
+    """docs (with a column text) and the scores in a new column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores)], names=[*(f"c{i}" for i in range(len(names))), "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at).to_pylist()))], names=[*batch.schema.names, column])
 
-    return map_arrow(docs, run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _score double")
+    return map_arrow(docs, run, added(docs, (column, T.DoubleType())))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    column = free(docs, "_score")
+    return score(docs, model, column).where(F.col(column) < threshold).drop(column)
 
 
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
