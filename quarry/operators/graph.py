@@ -41,6 +41,7 @@ def two_hop_dependents(edges: DataFrame, node: str) -> DataFrame:
 
 def hop_scores(edges: DataFrame, seeds: Sequence[str], bidirectional: bool = False) -> DataFrame:
     """(node, score) of every node. Beyond two hops all scores are equal, so two joins are enough."""
+    edges = edges.select("src", "dst")
     both = edges.unionByName(reversed_edges(edges)).distinct() if bidirectional else edges
     zero = nodes(edges).where(F.col("node").isin(*seeds)) if seeds else nodes(edges).limit(0)
     one = both.join(zero, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
