@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.functions import paths
 
@@ -12,10 +11,6 @@ from quarry.functions import paths
 CALLED = ("Function", "Module", "Other")
 
 
-def _places(*candidates: Column) -> Column:
-    return F.array(*candidates)
-
-
 def _rust(text: Column, path: Column) -> Column:
     """For a::b::c the longest prefix first, as a file and as a module folder; a bare name beside the file."""
     parts = F.split(F.regexp_replace(F.regexp_replace(text, r"^(?:crate::)+", ""), r"^(?:super::)+", ""), "::")
@@ -92,8 +87,3 @@ def reverse_map(edges: DataFrame) -> DataFrame:
     back = edges.groupBy("repo", F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("depended_by"))
     none = F.array().cast("array<string>")
     return out.join(back, ["repo", "path"], "full_outer").select("repo", "path", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_by", none).alias("depended_by"))
-
-
-def first_per_path(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
-from quarry.operators import extract, graph, intel, packages
+from quarry.operators import extract, intel, packages
 from quarry.plans.catalog import Catalog
 from quarry.plans.fixtures import DIFF, docs, values
 from quarry.plans.fixtures import files as code_files
