@@ -59,7 +59,7 @@ def words(text: str | None) -> list[str]:
 
 def script(word: str) -> str:
     """The script of most letters, the first one of equals."""
-    if word.isascii():
+    if max(word) < "\u0250":
         return "latin"
     return Counter(RANGES[k][1] if (k := bisect_right(_FIRST, ord(c)) - 1) >= 0 else "other" for c in word).most_common(1)[0][0]
 
@@ -79,35 +79,43 @@ class Model:
     uses: dict[str, np.ndarray]
     switch: float = SWITCH
 
-    def word_scores(self, word: str) -> np.ndarray:
-        unseen = self.logp.shape[1] - 1
-        found = [self.grams.get(g, unseen) for g in trigrams(word)]
-        out = self.logp[:, found].sum(1)
-        uses = self.uses.get(script(word))
-        return out if uses is None or uses.all() or not uses.any() else np.where(uses, out, FOREIGN + np.minimum(0, out))
+    def word_scores(self, found: list[str]) -> np.ndarray:
+        """Words x languages."""
+        unseen, get = self.logp.shape[1] - 1, self.grams.get
+        each = [trigrams(w) for w in found]
+        ids = np.fromiter((get(g, unseen) for gs in each for g in gs), np.int64)
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        out = np.add.reduceat(self.logp.T[ids], np.cumsum(sizes) - sizes)
+        for i, name in enumerate(map(script, found)):
+            uses = self.uses.get(name)
+            if uses is not None and uses.any() and not uses.all():
+                out[i] = np.where(uses, out[i], FOREIGN + np.minimum(0, out[i]))
+        return out
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
-        """The Viterbi path: language by word."""
-        n, k = scores.shape
-        best, back = scores[0].copy(), np.zeros((n, k), np.int32)
-        own = np.arange(k)
-        for t in range(1, n):
-            top = int(best.argmax())
-            stay = best >= best[top] - self.switch
-            back[t] = np.where(stay, own, top)
-            best = np.where(stay, best, best[top] - self.switch) + scores[t]
-        path = np.empty(n, np.int64)
-        at = int(best.argmax())
-        for t in range(n - 1, -1, -1):
+        """The Viterbi path: language by word. Lists are faster than arrays for a few languages."""
+        rows = scores.tolist()
+        best, switch = rows[0], self.switch
+        trail, floors = [], []
+        for row in rows[1:]:
+            floor = max(best) - switch
+            trail.append(best)
+            floors.append(floor)
+            best = [(b if b >= floor else floor) + s for b, s in zip(best, row, strict=True)]
+        path = np.empty(len(rows), np.int64)
+        at = best.index(max(best))
+        path[-1] = at
+        for t in range(len(trail) - 1, -1, -1):
+            if trail[t][at] < floors[t]:
+                at = trail[t].index(max(trail[t]))
             path[t] = at
-            at = int(back[t, at])
         return path
 
 
 class Tagger:
     """Labels batches of texts with a model; keeps the scores of words seen before."""
 
-    MOST = 300_000
+    MOST = 600_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -118,17 +126,15 @@ class Tagger:
         self.scores = np.zeros((1024, max(1, len(self.model.langs))))
 
     def numbers(self, found: list[str]) -> np.ndarray:
-        get = self.row.get
-        out = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
-        for i in np.nonzero(out < 0)[0]:
-            w = found[i]
-            if (n := get(w)) is None:
-                n = self.row[w] = len(self.row)
-                if n >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[n] = self.model.word_scores(w)
-            out[i] = n
-        return out
+        row = self.row
+        new = [w for w in dict.fromkeys(found) if w not in row]
+        if new:
+            first = len(row)
+            row.update(zip(new, range(first, first + len(new)), strict=True))
+            while len(row) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[first : len(row)] = self.model.word_scores(new)
+        return np.fromiter(map(row.__getitem__, found), np.int64, len(found))
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words the language by word."""
