@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.driver.memory": "4g",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
