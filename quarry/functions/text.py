@@ -43,7 +43,18 @@ def parts(text: Column) -> Column:
 def terms(text: Column) -> Column:
     """Stemmed terms without prefixes: lower-cased parts of two bytes or more that are no stopwords."""
     low = F.transform(parts(text), F.lower)
-    return F.transform(F.filter(low, lambda p: (F.octet_length(p) >= 2) & ~p.isin(*STOPWORDS)), stem)
+    return F.transform(F.filter(low, is_term), stem)
+
+
+def is_term(low: Column) -> Column:
+    """Whether a lower-cased part is searched for: two bytes or more, no stopword."""
+    return (F.octet_length(low) >= 2) & ~low.isin(*STOPWORDS)
+
+
+def loose_parts(text: Column) -> Column:
+    """parts, perhaps with empty ones; the second search for bare runs is only made where there is one."""
+    bare = text.rlike(r"(?:^|[^\p{IsAlphabetic}\p{N}_/])[_/]{2,}(?:$|[^\p{IsAlphabetic}\p{N}_/])")
+    return F.when(bare, parts(text)).otherwise(F.split(text, PART_BOUNDARY))
 
 
 def tokens(text: Column) -> Column:

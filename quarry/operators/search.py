@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scores, text
+from quarry.sources.checkpoints import cut
 
 
 @dataclass
@@ -24,9 +25,15 @@ class Index:
 
 
 def term_frequencies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, term, tf) of the tokens."""
-    found = docs.select(F.col(id_column).alias("doc_id"), F.explode(text.tokens(F.col(text_column))).alias("term"))
-    return found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf) of the tokens.
+
+    Parts are exploded before they are stemmed, so that the stemmer runs in generated code; prefixes are added to the counted terms.
+    """
+    parts = docs.select(F.col(id_column).alias("doc_id"), F.explode(text.loose_parts(F.col(text_column))).alias("part")).where("part <> ''")
+    low = parts.select("doc_id", F.lower("part").alias("low")).where(text.is_term(F.col("low")))
+    counted = low.groupBy("doc_id", "low").agg(F.count("*").alias("n")).select("doc_id", text.stem(F.col("low")).alias("term"), "n")
+    both = F.when(F.length("term") >= text.PREFIX, F.array(F.substring("term", 1, text.PREFIX), F.col("term"))).otherwise(F.array("term"))
+    return counted.select("doc_id", F.explode(both).alias("term"), "n").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
 
 
 def postings(tf: DataFrame) -> DataFrame:
@@ -46,9 +53,10 @@ def lengths(docs: DataFrame, tf: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    tf = term_frequencies(docs)
+    """The index; its postings and lengths are made once, as every query reads them several times."""
+    tf = cut(term_frequencies(docs))
     entries = postings(tf)
-    sized = lengths(docs, tf)
+    sized = cut(lengths(docs.drop("text"), tf))
     return Index(sized, entries, document_frequencies(entries), sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))
 
 

@@ -270,6 +270,8 @@ SELECT DISTINCT p_brand AS path, p_name AS name, p_partkey::INTEGER AS line FROM
     "index_counts": values("metric, value", [("packages", 1), ("files", 3), ("symbols", 6), ("nodes", 3), ("edges", 3)]),
     "explain_names": values("kind, name, detail", [("package", "src", "3 files; User, auth, db, find_user, login, logout"), ("file", _D, "2 dependents"), ("symbol", "login", f"{_A}:3 pub fn login(name: &str) -> Option<String> {{")]),
     "why_file": values("path, package, depends_on, depended_by, commits", [(_D, "src", "", f"{_A},{_L}", "more,fix it")]),
+    "query_login": values("kind, name", [("hot_symbol", "login"), ("symbol", "login")]),
+    "navigate_login": values("path", [(_D,), (_A,), (_L,)]),
     "dep_requirements": values("ecosystem, name, version, status", [("cargo", "serde", "1.0.1", "current"), ("cargo", "tokio", "1.2.0", "minor"), ("npm", "react", "17.0.2", "major"), ("go", "github.com/a/b", "1.4.0", "unknown")]),
     "stale_files": """WITH n AS (SELECT user_id::VARCHAR AS path, max(ts) AS a FROM events GROUP BY 1), i AS (SELECT user_id::VARCHAR AS path, max(ts) AS b FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1 UNION ALL SELECT 'old', TIMESTAMP '2024-01-01')
 SELECT path, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'gone' ELSE 'changed' END AS reason FROM n FULL JOIN i USING (path) WHERE b IS NULL OR a IS NULL OR a > b""",
