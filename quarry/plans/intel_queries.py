@@ -229,7 +229,7 @@ _A, _D, _L = "src/auth.rs", "src/db.rs", "src/lib.rs"
 ORACLES = {
     "focus_neighbors": f"WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT 's3' AS node, 1.0 AS score UNION SELECT dst, 0.5 FROM b WHERE src = 's3' AND dst <> 's3') SELECT node, score::DOUBLE AS score, count(y.path)::INTEGER AS n FROM n LEFT JOIN y ON y.path = node GROUP BY node, score",
     "impact_risk_tier": f"""WITH {_E}, {_SYM}, {_HOT.format(k=10)}, d1 AS (SELECT name, src AS node FROM y JOIN e ON dst = path WHERE name IN ('NATION_3', 'Supplier#000000003', 'NATION_7')),
-d AS (SELECT * FROM d1 UNION SELECT name, src FROM d1 JOIN e ON dst = node), s AS (SELECT name, count(*) AS n, bool_or(hot.node IS NOT NULL) AS h FROM d LEFT JOIN hot USING (node) GROUP BY name)
+d AS (SELECT * FROM d1 UNION SELECT name, src FROM d1 JOIN e ON dst = node), s AS (SELECT y.name, count(d.node) AS n, bool_or(hot.node IS NOT NULL) AS h FROM y LEFT JOIN d USING (name) LEFT JOIN hot ON hot.node = d.node WHERE y.name IN ('NATION_3', 'Supplier#000000003', 'NATION_7') GROUP BY y.name)
 SELECT name AS symbol, n::INTEGER AS n_dependents, 0::BIGINT AS fan_in, CASE WHEN h THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS risk FROM s""",
     "arch_violations": """WITH g AS (SELECT n_nationkey AS k, r_name AS layer FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT a.layer AS src_layer, b.layer AS dst_layer, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN g a ON c_nationkey = a.k
