@@ -209,31 +209,44 @@ def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) ->
         yield Automaton([(r["item"], words(r["text"])) for r in rows], window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, names: tuple[str, str, str] = ("_n_words", "_spans", "_items")) -> DataFrame:
-    """docs (with a column text) and three new columns: the number of words, the hit runs of words as [first, past), the items' ids in order."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, names: tuple[str, str, str] = ("_n_words", "_spans", "_items"), finish: Callable[[list, list, list], tuple[list, list]] | None = None) -> DataFrame:
+    """docs (with a column text) and three new columns: the number of words, the hit runs of words as [first, past), the items' ids in order.
+
+    With `finish`, which gets texts, numbers of words and runs and returns new texts and whether to keep each row, the
+    result has the columns of docs, made in the same pass.
+    """
     spark = docs.sparkSession
     width, at = len(docs.columns), docs.columns.index("text")
     schema = added(docs, *zip(names, (T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())), strict=True))
 
-    def scanner(shared: Broadcast, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scanner(shared: Broadcast, first: bool, end: Callable | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in range(0, batch.num_rows, 500):
                     rows = batch.slice(part, 500)
-                    n, spans, items = (list(x) for x in zip(*shared.value.scan(rows.column(at).to_pylist()), strict=True))
+                    texts = rows.column(at).to_pylist()
+                    n, spans, items = (list(x) for x in zip(*shared.value.scan(texts), strict=True))
                     if not first:
                         spans = [merged(a + b) for a, b in zip(rows.column(width + 1).to_pylist(), spans, strict=True)]
                         items = [a | set(b) for a, b in zip(items, rows.column(width + 2).to_pylist(), strict=True)]
-                    new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:width], *new], names=[*rows.schema.names[:width], *names])
+                    own, own_names = rows.columns[:width], rows.schema.names[:width]
+                    if end:
+                        texts, kept = end(texts, n, spans)
+                        own[at] = pa.array(texts, pa.string())
+                        yield pa.RecordBatch.from_arrays(own, names=own_names).filter(pa.array(kept, pa.bool_()))
+                    else:
+                        new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays([*own, *new], names=[*own_names, *names])
 
         return run
 
-    out = docs
-    for k, automaton in enumerate(automata(benchmark, window, limit)):
-        # each further automaton works in a job of its own
-        out = map_arrow(cut(out) if k else out, scanner(spark.sparkContext.broadcast(automaton), k == 0), schema)
-    return out
+    out, waiting, k = docs, None, 0
+    for automaton in automata(benchmark, window, limit):
+        if waiting:
+            # each further automaton works in a job of its own
+            out, k = cut(map_arrow(out, scanner(waiting, k == 0, None), schema)), k + 1
+        waiting = spark.sparkContext.broadcast(automaton)
+    return map_arrow(out, scanner(waiting, k == 0, finish), added(docs) if finish else schema)
 
 
 def spans_hit(spans: str = "_spans") -> Column:
@@ -256,16 +269,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """docs without benchmark passages: hit runs of `min_span` words or more are cut out of text, and documents of whose words
     more than max_coverage lie in such runs go. Shorter runs (whole items of a few words) stay."""
     names = tuple(free(docs, c) for c in ("_n_words", "_spans", "_items"))
-    found = scan(docs, benchmark, window, limit, names).withColumn(names[1], F.filter(names[1], lambda s: s[1] - s[0] >= min_span))
-    found = found.where(spans_hit(names[1]) <= max_coverage * F.col(names[0]))
-    width, at = len(docs.columns), docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if t is None or not s else cut_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)], names=batch.schema.names[:width])
+    def finish(texts: list, n: list, spans: list) -> tuple[list, list]:
+        long = [[s for s in found if s[1] - s[0] >= min_span] for found in spans]
+        kept = [sum(b - a for a, b in found) <= max_coverage * k for found, k in zip(long, n, strict=True)]
+        return [cut_spans(t, found) if found else t for t, found in zip(texts, long, strict=True)], kept
 
-    return map_arrow(found, run, added(docs))
+    return scan(docs, benchmark, window, limit, names, finish)
 
 
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

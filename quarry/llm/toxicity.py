@@ -87,16 +87,16 @@ class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None], seen: dict[str, tuple[str, ...]]) -> np.ndarray:
+        """seen keeps the features of words from call to call."""
         z = np.empty(len(texts))
-        seen: dict[str, tuple[str, ...]] = {}
         weights = self.weights
         for i, text in enumerate(texts):
             found: set[str] = set()
             for w in words(text):
                 hits = seen.get(w)
                 if hits is None:
-                    if len(seen) > 300_000:
+                    if len(seen) > 150_000:
                         seen.clear()
                     hits = seen[w] = tuple(f for f in word_features(w) if f in weights)
                 if hits:
@@ -174,8 +174,11 @@ def score(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at).to_pylist()))], names=[*batch.schema.names, column])
+            for part in range(0, batch.num_rows, 500):
+                rows = batch.slice(part, 500)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.scores(rows.column(at).to_pylist(), seen))], names=[*rows.schema.names, column])
 
     return map_arrow(docs, run, added(docs, (column, T.DoubleType())))
 
