@@ -54,10 +54,14 @@ def shingles(text: str | None, k: int) -> list[bytes]:
 
 
 def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
-    """uint64 fingerprints. Bits are counted in eight byte lanes at a time, over runs of at most 255 hashes."""
-    each = [np.fromiter(map(_hash, s), np.uint64, len(s)) for s in (shingles(t, k) for t in texts)]
+    """uint64 fingerprints."""
+    return majority([np.fromiter(map(_hash, s), np.uint64, len(s)) for s in (shingles(t, k) for t in texts)])
+
+
+def majority(each: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes. Bits are counted in eight byte lanes at a time, over runs of at most 255 hashes."""
     sizes = np.array([len(x) for x in each], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(each), np.uint64)
     full = np.nonzero(sizes)[0]
     if not len(full):
         return out

@@ -368,6 +368,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == set(roots)
 
 
+def kept_ids(spark, texts: list[str]) -> set[int]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in near_dedup.deduplicated(rows).select("doc_id").collect()}
+
+
+def test_near_duplicates_that_repeat_a_line(spark):
+    """The similarity is of sets, so how often a line is repeated doesn't count."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(300))
+        line = " ".join(f"l{rng.randrange(10**9)}" for _ in range(8))
+        texts += [f"{text} {line}", text + f" {line}" * 20]
+    assert kept_ids(spark, texts) == set(range(0, 80, 2))
+
+
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = docs
