@@ -373,6 +373,22 @@ def kept_ids(spark, texts: list[str]) -> set[int]:
     return {r["doc_id"] for r in near_dedup.deduplicated(rows).select("doc_id").collect()}
 
 
+def test_near_duplicates_of_a_crowd(spark):
+    """A thousand independent edits of one base: each is similar to it, few to each other."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    own = set(near_dedup.hashes(" ".join(base)).tolist())
+    texts = [" ".join(base)]
+    while len(texts) < 1001:
+        copy = list(base)
+        for at in rng.sample(range(200), 4):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        other = set(near_dedup.hashes(" ".join(copy)).tolist())
+        if len(own & other) / len(own | other) >= 0.8:
+            texts.append(" ".join(copy))
+    assert kept_ids(spark, texts) == {0}
+
+
 def test_near_duplicates_that_repeat_a_line(spark):
     """The similarity is of sets, so how often a line is repeated doesn't count."""
     rng = random.Random(12)
