@@ -400,6 +400,26 @@ def test_near_duplicates_that_repeat_a_line(spark):
     assert kept_ids(spark, texts) == set(range(0, 80, 2))
 
 
+def test_near_duplicates_at_the_limit_are_exact(spark):
+    """Pairs of long texts just above and below similarity 0.8, beyond what a sketch tells."""
+    rng = random.Random(13)
+    texts, kept = [], set()
+    for i in range(40):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(1004)]
+        # each word changed in the shingles' distance costs five of 1,000
+        copy = list(text)
+        for at in range(2, 5 * (22 if i % 2 else 23), 5):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        a, b = (set(near_dedup.hashes(" ".join(t)).tolist()) for t in (text, copy))
+        assert 0.79 < len(a & b) / len(a | b) < 0.81
+        kept.add(2 * i)
+        if len(a & b) / len(a | b) < 0.8:
+            kept.add(2 * i + 1)
+        texts += [" ".join(text), " ".join(copy)]
+    assert len(kept) == 60
+    assert kept_ids(spark, texts) == kept
+
+
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = docs
