@@ -1,4 +1,9 @@
-"""Connected components over long ids by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+Hubs are split: a node with over 1/HUBS of all edge ends is one of fewer than HUBS such
+nodes, whatever the input, so the smallest neighbours of hubs are broadcast and their
+edges stay where they are; only the edges of other nodes are dealt by node.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,26 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut
 
+#: Fewer nodes than this are hubs, which bounds what is broadcast.
+HUBS = 4000
+
+
+def with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges (u, v) with m, of least (u, m, degree); ends: the sum of all degrees."""
+    hub = F.col("degree") > max(1.0, ends / HUBS)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: links each node's neighbours to the smallest node around it. edges: u > v.
 
-    Only (node, smallest neighbour) is aggregated and joined back, so a hub's
-    neighbours never meet in one group.
-    """
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One step: links each node's neighbours to the smallest node around it. edges: n rows, u > v."""
+    degree = F.count("*").alias("degree")
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u")
-    out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), degree)
+        return with_least(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), degree)
+    out = with_least(edges, least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
@@ -28,10 +39,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge that isn't its component's smallest node; root is that smallest node."""
     a, b = F.col(left), F.col(right)
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
+    state, n = None, now.count()
     while True:
-        now = cut(_star(_star(now, True), False))
+        # a large star keeps the number of edges or lowers it
+        now = cut(_star(_star(now, True, n), False, n))
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = found
+        state, n = found, found["n"]
