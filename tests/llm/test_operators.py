@@ -269,26 +269,42 @@ def test_fingerprints(odd, spark):
     assert simhash.fingerprints(texts).tolist() == [fingerprint_slowly(t) for t in texts]
 
 
-@pytest.mark.parametrize("crowd", [0, 5, simhash.CROWD])
-def test_near_fingerprints_are_linked(spark, crowd):
-    """Against all pairs; a crowd of 0 sends every block through flipped keys."""
+@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize(("dense", "crowd"), [(simhash.DENSE, simhash.CROWD), (0, simhash.CROWD), (2, 2), (0, 0)])
+def test_near_fingerprints_are_linked(spark, radius, dense, crowd):
+    """Against all pairs: by whole blocks, by cells of the pivot table, by flipped keys of crowded cells, by flipped keys alone."""
     rng = random.Random(6)
     fps = []
-    for _ in range(60):
+    for _ in range(40):
         fps.append(rng.getrandbits(64))
         for _ in range(rng.randint(0, 4)):
             f = fps[-1]
-            for b in rng.sample(range(64), rng.randint(0, 4)):
+            for b in rng.sample(range(64), rng.randint(0, 5)):
                 f ^= 1 << b
             fps.append(f)
     rows = list(enumerate(fps))
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in rows], "doc_id long, fp long")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.grouped(df, crowd=crowd).collect()}
-    roots = closed(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.grouped(df, radius, dense, crowd).collect()}
+    roots = closed(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= radius)
     assert [found[i] for i in range(len(fps))] == roots
 
 
+def test_cells_split_a_dense_block(spark):
+    """One block value for all: cells lose no pair within the radius and make a small share of all pairs."""
+    rng = random.Random(7)
+    fps = {rng.getrandbits(43) for _ in range(600)}
+    fps |= {f ^ (1 << rng.randrange(43)) ^ (1 << rng.randrange(43)) for f in list(fps)[:100]}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    rows = simhash.filed(df, 2, 128)
+    met = {(min(r), max(r)) for r in map(tuple, simhash.candidates(rows).select("a.fp", "b.fp").collect())}
+    order = sorted(fps)
+    near = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert near and near <= met
+    assert len(met) < 0.1 * len(order) * (len(order) - 1) / 2
+    assert {tuple(r) for r in simhash.links(df).collect()} == near
+
+
 def test_op8_against_all_pairs(spark, small):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
     fps = [fingerprint_slowly(t) for _, t in docs]
