@@ -5,12 +5,19 @@ path starts with the rule's path, and the longest fitting rule wins. Every other
 gets the method's verdict: labelled page outcomes are counted by host, registered
 domain and public suffix; each level's rate is shrunk towards its parent's by a
 beta-binomial prior whose strength is the level's moment estimate; a url is blocked
-if the lower posterior bound of its host's rate of bad pages exceeds `limit`.
+if the lower posterior bound of its host's rate of bad pages exceeds the rate of all
+labelled pages `worse` times over: if its host is credibly worse than the table. So the
+verdict doesn't hang on how common bad pages are or how many are labelled, and where
+outcomes don't differ by host beyond chance, the prior is strong and no host is blocked.
 
 Host: after the first `://` up to `/`, `?`, `#` or end, A-Z lower-cased. Path: then up
 to `?`, `#` or end. A null url or one without `://` has empty host and path, which
-make up a host like any other. Null outcomes count as unlabelled. Empty tables give
-empty results; with no outcome at all the rate is 0. Extra columns are ignored.
+make up a host like any other. Null outcomes count as unlabelled; a page labelled more
+than once, or in repeated rows, is bad if one of its labels is. Repeated rows of pages
+return repeated rows and, having one page_id, share their outcome. Rules of equal length
+that fit go by code point. Very long urls are taken whole. Empty tables give empty
+results; with no outcome at all the rate is 0 and nothing is blocked. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Public suffixes of two labels; any other suffix is the last label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx", "co.kr")
 Z = 1.645
-LIMIT = 0.2
+#: A host is blocked if the lower bound of its rate exceeds the table's rate so many times over.
+WORSE = 1.0
 WEAKEST, STRONGEST = 1.0, 10_000.0
 #: Host tables are broadcast up to this many rows, and joined by shuffling beyond.
 BROADCAST_HOSTS = 200_000
@@ -71,7 +79,7 @@ def strength(children: DataFrame) -> float:
 
 
 def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, n, s) -> (host, rate, lower): posterior mean and lower bound of each host's rate of bad pages."""
+    """(host, n, s) -> (host, rate, lower, base): posterior mean and lower bound of each host's rate of bad pages, and the rate of all pages."""
     hosts = cut(outcomes.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = (total["s"] / total["n"]) if total["n"] else 0.0
@@ -84,11 +92,11 @@ def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     domains = cut(shrunk(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(suffixes, "suffix")).select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m")))
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
-    out = shrunk(cut(hosts.join(domains, "domain"))).select("host", mean.alias("rate"), F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"))
+    out = shrunk(cut(hosts.join(domains, "domain"))).select("host", mean.alias("rate"), F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"), F.lit(float(base)).alias("base"))
     return cut(out)
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, worse: float = WORSE, z: float = Z) -> DataFrame:
     """Verdicts of pages (page_id, url). outcomes: (page_id, bad 0/1 or null), one row a page at most."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where(F.col("bad").isNotNull()).select(F.col("page_id").alias("_id"), F.col("bad").cast("long").alias("bad"))
@@ -97,7 +105,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     small = hosts.count() <= BROADCAST_HOSTS
     verdicts = dict((rule, verdict) for verdict, rule in rules)
     out = urls.join(F.broadcast(hosts) if small else hosts, "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    by_rule = F.coalesce(*(F.when(F.col("rule") == rule, F.lit(verdict)) for rule, verdict in verdicts.items()), F.when(F.col("lower") > limit, F.lit("block")), F.lit("allow"))
+    by_rule = F.coalesce(*(F.when(F.col("rule") == rule, F.lit(verdict)) for rule, verdict in verdicts.items()), F.when(F.col("lower") > F.col("base") * worse, F.lit("block")), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", by_rule.alias("verdict"), F.round("rate", 4).alias("bad_rate"), F.round("lower", 4).alias("bad_lower"))
 
 
@@ -137,9 +145,9 @@ h AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END
 {level("sx", "SELECT suffix, sum(n) AS n, sum(s) AS s, (SELECT coalesce(sum(s) / nullif(sum(n), 0)::DOUBLE, 0) FROM h) AS m FROM h GROUP BY suffix")},
 {level("dm", "SELECT domain, any_value(h.suffix) AS suffix, sum(h.n) AS n, sum(h.s) AS s, any_value(sx.a / (sx.a + sx.b)) AS m FROM h JOIN sx ON h.suffix = sx.suffix GROUP BY domain")},
 {level("ho", "SELECT host, h.n, h.s, dm.a / (dm.a + dm.b) AS m FROM h JOIN dm ON h.domain = dm.domain")},
-r AS (SELECT host, a / (a + b) AS rate, greatest(0.0::DOUBLE, a / (a + b) - {Z}::DOUBLE * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_ FROM ho),
-j AS (SELECT u.*, rate, lower_, CASE {rules} END AS rule FROM u LEFT JOIN r USING (host))
-SELECT page_id, host, path, rule, CASE {verdicts} WHEN lower_ > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, round(rate, 4) AS bad_rate, round(lower_, 4) AS bad_lower FROM j
+r AS (SELECT host, a / (a + b) AS rate, greatest(0.0::DOUBLE, a / (a + b) - {Z}::DOUBLE * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_, (SELECT coalesce(sum(s) / nullif(sum(n), 0)::DOUBLE, 0) FROM h) AS base FROM ho),
+j AS (SELECT u.*, rate, lower_, base, CASE {rules} END AS rule FROM u LEFT JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE {verdicts} WHEN lower_ > base * {WORSE}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, round(rate, 4) AS bad_rate, round(lower_, 4) AS bad_lower FROM j
 """
 
 

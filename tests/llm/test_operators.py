@@ -117,6 +117,31 @@ def test_host_reputation_shrinks(spark):
     assert 0.1 < found["one.example.com"]["rate"] < 0.95 and found["one.example.com"]["lower"] < found["bad.example.com"]["lower"]
 
 
+@pytest.mark.parametrize("pages", [1600, 8000])
+def test_bad_hosts_are_blocked_whatever_the_base_rate(spark, pages):
+    """Two bad hosts of 20, with few and many bad pages elsewhere; the same verdicts at every size."""
+    rng = random.Random(pages)
+    for usual in (0.05, 0.4):
+        urls, outcomes = [], []
+        for i in range(pages):
+            host = i % 20
+            urls.append((i, f"http://h{host}.example{host % 3}.com/{i}"))
+            if i % 40 < 20:
+                outcomes.append((i, int(rng.random() < (0.9 if host < 2 else usual))))
+        found = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), ()).collect()
+        assert {r["host"] for r in found if r["verdict"] == "block"} == {"h0.example0.com", "h1.example1.com"}
+        lowest = min(r["bad_lower"] for r in found if r["verdict"] == "block")
+        assert lowest > max(r["bad_lower"] for r in found if r["verdict"] == "allow")
+
+
+def test_hosts_that_differ_by_chance_are_allowed(spark):
+    rng = random.Random(1)
+    rows = [(i, f"http://h{i % 60}.example.com/{i}") for i in range(2000)]
+    bad = [(i, int(rng.random() < 0.25)) for i, _ in rows]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), ())
+    assert found.where("verdict = 'block'").count() == 0
+
+
 def test_rules(spark):
     rows = [("http://a.net/x", "block"), ("http://example.net/en/x", "allow"), ("http://b.example.net/en", "block"), ("http://example.com/de/", "block"), ("http://x.org/fr/", "allow"), ("http://myexample.com/de/", None), ("http://A.NET", None)]
     df = spark.createDataFrame(rows, "url string, expected string")
