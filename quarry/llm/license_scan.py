@@ -2,23 +2,29 @@
 
 A text is brought to a canonical form: lower case, copyright lines dropped, runs of
 anything but letters and digits to one space, equivalent spellings to one. The
-SHA-256 of the whole canonical text is hash-joined to the digests of known licences.
-
-Equivalent spellings are replaced only in texts that hold one of them, which changes
-nothing else. Nulls: a null text has null digest and matches nothing; a text without
-letters or digits has the digest of the empty string and matches nothing. Two known
-texts with one digest give the identifiers joined by `/`, in order. Empty tables give
-empty results, repeated rows repeated rows. Extra columns are ignored.
+SHA-256 of the whole canonical text is hash-joined to the digests of known licences:
+those of the texts in license_texts and of the whole long licences in license_digests.
+A copyright line starts with the word or the sign and names a year or a placeholder; a
+sentence of a licence that is wrapped before the word `copyright` stays.
+
+Every word is respelt by itself, neighbours included; spellings are looked for only in
+texts that hold one, which changes nothing else. Nulls: a null text has null digest and
+matches nothing; a text without letters or digits has the digest of the empty string and
+matches nothing. Very long texts are taken whole. Ties: two known texts with one digest
+give the identifiers joined by `/`, in code point order. Empty tables give empty
+results, repeated rows repeated rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
+from quarry.llm.license_digests import DIGESTS
 from quarry.llm.license_texts import KNOWN
 
 #: (spelling, canonical one), of whole words after punctuation is gone.
@@ -26,6 +32,11 @@ SPELLINGS = (
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("licencee", "licensee"),
+    ("licencees", "licensees"),
+    ("licencing", "licensing"),
+    ("licencor", "licensor"),
+    ("licencors", "licensors"),
     ("acknowledgement", "acknowledgment"),
     ("acknowledgements", "acknowledgments"),
     ("analogue", "analog"),
@@ -56,12 +67,17 @@ SPELLINGS = (
     ("sub license", "sublicense"),
     ("sub licence", "sublicense"),
     ("sublicence", "sublicense"),
+    ("sublicences", "sublicenses"),
+    ("sublicenced", "sublicensed"),
+    ("sublicencing", "sublicensing"),
+    ("relicencing", "relicensing"),
+    ("unlicenced", "unlicensed"),
     ("utilisation", "utilization"),
     ("while", "whilst"),
     ("wilful", "willful"),
     ("https", "http"),
 )
-COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(?:(?:copyright|\(c\)|©)(?:[^\n]*[0-9]{4}|[ \t:]*(?:\(c\)|©|[<\[{]|by ))|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -69,19 +85,20 @@ def canonical(text: Column) -> Column:
     low = F.lower(text)
     low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
     plain = F.regexp_replace(low, NOT_WORD, " ")
-    padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    respelt = padded
-    for a, b in SPELLINGS:
-        respelt = F.replace(respelt, F.lit(f" {a} "), F.lit(f" {b} "))
-    any_of = r" (?:" + "|".join(a for a, _ in SPELLINGS) + r") "
-    return F.trim(F.when(padded.rlike(any_of), respelt).otherwise(plain))
+    # two spaces between words, so that no two spellings share one
+    respelt = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for spelling, one in SPELLINGS:
+        respelt = F.replace(respelt, F.lit(" " + spelling.replace(" ", "  ") + " "), F.lit(f" {one} "))
+    any_of = r" (?:" + "|".join(spelling for spelling, _ in SPELLINGS) + r") "
+    holds = F.concat(F.lit(" "), plain, F.lit(" ")).rlike(any_of)
+    return F.trim(F.when(holds, F.replace(respelt, F.lit("  "), F.lit(" "))).otherwise(plain))
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id) of the known texts; as many rows as texts are given."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    digests = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return digests.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), "/").alias("license_id"))
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(digest, license_id) of the known texts and digests; no more rows than are given."""
+    rows = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = rows.unionByName(spark.createDataFrame(list(digests), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), "/").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -95,21 +112,52 @@ def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents", "doc_id", "text"), F.broadcast(known_digests(spark)))
 
 
-def _oracle() -> str:
-    def chain(text: str) -> str:
-        low = f"lower({text})"
-        low = f"CASE WHEN regexp_matches({low}, 'copyright|\\(c\\)|©|all rights reserved') THEN regexp_replace({low}, '{COPYRIGHT_LINE}', ' ', 'g') ELSE {low} END"
-        out = f"' ' || regexp_replace({low}, '{NOT_WORD}', ' ', 'g') || ' '"
-        for a, b in SPELLINGS:
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({out}))"
+def noisy(text: Column, k: int) -> Column:
+    """The text with noise that the canonical form drops."""
+    respelt = F.replace(F.replace(text, F.lit("License"), F.lit("Licence")), F.lit("copyright holder"), F.lit("copyright  owner"))
+    return (text, F.upper(text), F.concat(F.lit("Copyright (c) 2020 One\n(c) 2021-2024 Two\n\n"), text), F.concat(F.lit("** "), F.replace(respelt, F.lit(", "), F.lit(" ; ")), F.lit(" **")))[k]
+
+
+NOISES = 4
 
+
+def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known texts with noise among all documents: what is found."""
+    known = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(KNOWN)], "i long, text string")
+    planted = [known.select((-1 - F.col("i") - len(KNOWN) * k).alias("doc_id"), noisy(F.col("text"), k).alias("text")) for k in range(NOISES)]
+    docs = reduce(DataFrame.unionByName, planted, table(spark, sf_dir, "documents", "doc_id", "text"))
+    # as in op1, as many rows as texts and digests are given
+    return license_scan(docs, F.broadcast(known_digests(spark))).where("license_id IS NOT NULL").select("doc_id", "license_id")
+
+
+def _chain(text: str) -> str:
+    low = f"lower({text})"
+    low = f"CASE WHEN regexp_matches({low}, 'copyright|\\(c\\)|©|all rights reserved') THEN regexp_replace({low}, '{COPYRIGHT_LINE}', ' ', 'g') ELSE {low} END"
+    out = f"' ' || replace(regexp_replace({low}, '{NOT_WORD}', ' ', 'g'), ' ', '  ') || ' '"
+    for a, b in SPELLINGS:
+        out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    return f"sha256(trim(replace({out}, '  ', ' ')))"
+
+
+def _known() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
-    return f"""
-WITH k AS (SELECT digest, string_agg(id, '/' ORDER BY id) AS license_id FROM (SELECT DISTINCT id, {chain("t")} AS digest FROM (VALUES {values}) v(id, t)) GROUP BY digest)
-SELECT doc_id, canonical_sha256, license_id FROM (SELECT doc_id, {chain("text")} AS canonical_sha256 FROM documents) LEFT JOIN k ON canonical_sha256 = digest
-"""
+    given = ", ".join(f"('{i}', '{d}')" for i, d in DIGESTS)
+    return f"""t AS (SELECT row_number() OVER () - 1 AS i, id, t FROM (VALUES {values}) v(id, t)),
+k AS (SELECT digest, string_agg(id, '/' ORDER BY id) AS license_id FROM (SELECT id, {_chain("t")} AS digest FROM t UNION SELECT * FROM (VALUES {given}) g(id, digest)) GROUP BY digest)"""
+
+
+def _oracle() -> str:
+    return f"WITH {_known()} SELECT doc_id, canonical_sha256, license_id FROM (SELECT doc_id, {_chain('text')} AS canonical_sha256 FROM documents) LEFT JOIN k ON canonical_sha256 = digest"
+
+
+def _variants_oracle() -> str:
+    n = len(KNOWN)
+    return f"""WITH {_known()},
+d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - i, t FROM t UNION ALL SELECT -1 - i - {n}, upper(t) FROM t
+  UNION ALL SELECT -1 - i - {2 * n}, 'Copyright (c) 2020 One' || chr(10) || '(c) 2021-2024 Two' || chr(10) || chr(10) || t FROM t
+  UNION ALL SELECT -1 - i - {3 * n}, '** ' || replace(replace(replace(t, 'License', 'Licence'), 'copyright holder', 'copyright  owner'), ', ', ' ; ') || ' **' FROM t)
+SELECT doc_id, license_id FROM (SELECT doc_id, {_chain("text")} AS digest FROM d) JOIN k USING (digest)"""
 
 
-QUERIES = {"op1_license_digests": op1_license_digests}
-ORACLES = {"op1_license_digests": _oracle()}
+QUERIES = {"op1_license_digests": op1_license_digests, "license_variants": license_variants}
+ORACLES = {"op1_license_digests": _oracle(), "license_variants": _variants_oracle()}
