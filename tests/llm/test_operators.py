@@ -241,19 +241,130 @@ def test_language_of_held_out_documents(spark, small):
     assert (found["lang"] == found["lang_pred"]).mean() > 0.97
 
 
-def test_counterfactuals_lower_the_weight_of_groups():
+def chance_slowly(bias, w, x):
+    return 1 / (1 + np.exp(-(bias + sum(w[c] for c in x))))
+
+
+def test_fit_minimises_loss_and_penalty_of_scores(monkeypatch):
+    """The fit ends where the loss, written out pair by pair, is least."""
     rng = random.Random(5)
-    kinds = {"gay": "straight", "straight": "gay"}
-    number = {"=gay": 0, "=straight": 1, "=scum": 2, "=nice": 3}
+    some = lambda n: sorted(rng.sample(range(8), n))
+    rows = []
+    for i in range(12):
+        x = some(3)
+        rest = [c for c in range(8) if c not in x]
+        rows.append(toxicity.Example(i % 2, x, rest[:1], rest[1:3], *(([rest[3]], [x[0]]) if i % 3 == 0 else (None, None))))
+
+    def loss(bias, w, strength):
+        data, pairs = [], []
+        for r in rows:
+            data += [(r.label, r.x), (r.label, r.x + r.mention)]
+            pairs.append((r.x + r.mention, r.x + r.other))
+            if r.gains is not None:
+                pairs.append((r.x, [c for c in r.x if c not in r.loses] + r.gains))
+        entropy = -sum(np.log(chance_slowly(bias, w, x) if y else 1 - chance_slowly(bias, w, x)) for y, x in data) / len(data)
+        return entropy + strength * sum((chance_slowly(bias, w, a) - chance_slowly(bias, w, b)) ** 2 for a, b in pairs) / len(pairs) + toxicity.DECAY / 2 * float(w @ w)
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 6000)
+    monkeypatch.setattr(toxicity, "DECAY", 0.02)
+    for strength in (0.0, 4.0):
+        bias, w = toxicity.fit(rows, 8, strength)
+        least = loss(bias, w, strength)
+        for c in range(8):
+            for step in (-0.05, 0.05):
+                moved = w.copy()
+                moved[c] += step
+                assert loss(bias, moved, strength) > least
+
+
+BIASED = [("en", "a {} person was here", ("gay", "straight"))]
+
+
+def biased_corpus(n: int, seed: int) -> list[tuple]:
+    """Toxic texts name one group more often than others."""
+    rng = random.Random(seed)
     rows = []
-    for _ in range(600):
+    for i in range(n):
         toxic = rng.random() < 0.5
-        words = {"scum" if toxic and rng.random() < 0.8 else "nice"} | ({"gay"} if rng.random() < (0.8 if toxic else 0.1) else set())
-        coded = lambda ws: sorted(number[f"={w}"] for w in ws)
-        rows.append((int(toxic), coded(words), coded({kinds.get(w, w) for w in words}) if "gay" in words else None))
-    plain, fair = toxicity.fit(rows, 4, 0.0), toxicity.fit(rows, 4, 50.0)
-    gap = lambda m: abs(m[1][0] - m[1][1])
-    assert gap(fair) < 0.5 * gap(plain) and fair[1][2] > 1
+        ws = [rng.choice(["the", "of", "cat", "house", "tree", "walk", "river", "blue"]) for _ in range(12)]
+        ws += ["scum"] if toxic and rng.random() < 0.8 else []
+        ws += ["gay"] if rng.random() < (0.7 if toxic else 0.05) else []
+        rows.append((i, " ".join(ws), int(toxic)))
+    return rows
+
+
+def test_counterfactuals_spare_neutral_mentions(spark):
+    rows = biased_corpus(900, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    plain, fair = (toxicity.train(docs, labels, identity=BIASED, strength=s) for s in (0.0, toxicity.STRENGTH))
+    neutral = [f"the {rng} cat and a gay person near the house of {rng}" for rng in range(50)]
+    wrong = lambda m: float((m.scores(neutral, {}) >= toxicity.THRESHOLD).mean())
+    assert wrong(plain) > 0.9 and wrong(fair) < 0.1
+    texts = [r[1] for r in rows]
+    assert toxicity.score_changes(fair, texts, BIASED).mean() < 0.3 * toxicity.score_changes(plain, texts, BIASED).mean()
+    assert fair.scores(["the scum"], {})[0] > 0.7
+
+
+def test_every_labelled_text_has_a_counterfactual(spark, small, monkeypatch):
+    """The given tables name no group; the penalty sees a pair for each row all the same."""
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a: seen.extend(rows) or fit(rows, *a))
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    toxicity.train(docs, labels)
+    assert seen and all(r.mention and r.other and r.mention != r.other for r in seen)
+
+
+def test_swaps_stay_in_kind_and_language():
+    swaps = toxicity.Swaps()
+    assert swaps.swapped({"the", "muslim", "of"}) == {"the", "jewish", "of"}
+    assert swaps.swapped({"der", "muslim", "und"}) == {"der", "christ", "und"}
+    # "man" is no noun in German
+    assert swaps.swapped({"der", "man", "und"}) is None
+    for draw in range(500):
+        for ws in ({"the"}, {"les"}, {"die"}, {"los"}, set()):
+            a, b = swaps.mentions(ws, draw)
+            assert len(a - b) == len(b - a) == 1 and swaps.next[swaps.language(ws)][next(iter(a - b))] == next(iter(b - a))
+
+
+def test_toxicity_against_slow_features_and_scores(spark, small):
+    """Features, their selection and the scores of the query, one text at a time."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+
+    def slow(text):
+        out, word = set(), ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha() or (c.isalnum() and not c.isdecimal()):
+                word += c
+            elif word:
+                out.add("=" + word)
+                out |= {"^" + word[:k] for k in (4, 5, 6) if len(word) > k}
+                word = ""
+        return out
+
+    counts: dict = defaultdict(lambda: [0, 0])
+    n = Counter(toxic[i] for i in docs if i in toxic)
+    for i, t in docs.items():
+        if i in toxic:
+            for f in slow(t):
+                counts[f][toxic[i]] += 1
+    scored = []
+    for f, (neg, pos) in counts.items():
+        if neg + pos >= toxicity.LEAST and pos * n[0] > neg * n[1]:
+            part = lambda k, m, p: k * np.log(min(max(p, 1e-9), 1 - 1e-9)) + (m - k) * np.log(1 - min(max(p, 1e-9), 1 - 1e-9))
+            both = (pos + neg) / (n[0] + n[1])
+            scored.append((2 * (part(pos, n[1], pos / n[1]) + part(neg, n[0], neg / n[0]) - part(pos, n[1], both) - part(neg, n[0], both)), f))
+    best = {f for _, f in sorted(scored, key=lambda x: (-round(x[0], 9), x[1]))[: toxicity.FEATURES]}
+    frames = [spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels")]
+    model = toxicity.train(*frames)
+    terms = {f"={t}" for t in toxicity.Swaps().terms}
+    assert set(model.weights) <= best | terms and len(best - set(model.weights)) <= 0.02 * len(best)
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op5_counterfactual_toxicity"](spark, small).collect()}
+    for i, t in docs.items():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in slow(t))
+        assert abs(found[i] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_machine_pairs_in_linear_time():
