@@ -9,16 +9,18 @@ Words that are in no item, and pairs of words that follow each other in no item,
 every match; they are skipped by numpy, and only the runs between them are streamed.
 
 The automaton is built on the driver from at most `limit` benchmark words and sent to
-the executors. Larger benchmarks are dealt to several automata of that size, applied
-one after the other.
+the executors; it is kept in arrays, in about 200 bytes a word. Larger benchmarks are
+dealt to several automata of that size, applied one after the other.
 
 Nulls: null texts have no words; a null item id is the text `null`. Empty tables give
-empty results or no hit. Repeated rows return repeated rows.
+empty results or no hit. Repeated rows return repeated rows, repeated items count once,
+and items that share a window are all found. Texts are scanned whole, however long.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -33,8 +35,8 @@ from quarry.llm.common import added, cut, free, id_text, map_arrow, table
 
 WINDOW = 10
 #: Benchmark words that one automaton holds at most (one item may exceed it alone).
-LIMIT = 2_000_000
-#: Size of the table of word pairs.
+LIMIT = 1_000_000
+#: Most bits of the number of a word pair.
 PAIR_BITS = 24
 MIN_SPAN, MAX_COVERAGE = 10, 0.5
 
@@ -48,108 +50,132 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """A generalised suffix automaton over word numbers; state 0 is the empty run."""
+    """A generalised suffix automaton over word numbers; state 0 is the empty run. Most states have one following word, so that
+    stands in arrays (first, to) and only further ones in dictionaries (more)."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.first, self.to, self.link, self.length = array("i", [0]), array("i", [0]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
         self.vocabulary: dict[bytes, int] = {}
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        self.bits = min(PAIR_BITS, max(12, (8 * sum(len(item) for _, item in items)).bit_length()))
+        self.pairs = np.zeros(1 << self.bits, bool)
         self.shortest = window
+        self.names: list[str] = []
         coded = []
         for name, item in items:
             if item:
-                numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item]
-                coded.append((name, numbers))
+                numbers = array("i", (self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item))
+                self.names.append(name)
+                coded.append(numbers)
                 self.shortest = min(self.shortest, len(numbers))
                 state = 0
                 for c in numbers:
                     state = self._extend(state, c)
                 if len(numbers) > 1:
                     self.pairs[self._pair(np.array(numbers[:-1]), np.array(numbers[1:]))] = True
-        #: by state: items with that window; (words, item) of short items that end there
-        self.items: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
-        for name, numbers in coded:
-            self._mark(name, numbers)
-        order = sorted(range(len(self.length)), key=self.length.__getitem__)
-        #: by state: the state of the window that ends there; the states with short items that end there
-        self.at = [0] * len(order)
-        self.ends: dict[int, tuple[int, ...]] = {}
-        for s in order[1:]:
+        #: by state: (words, item) of short items that end there
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        marks = array("q")
+        for item, numbers in enumerate(coded):
+            self._mark(item, numbers, marks)
+        pairs = np.unique(np.frombuffer(marks, np.int64)) if marks else np.zeros(0, np.int64)
+        #: items by window state: those of state s are held[start[s] : start[s + 1]]
+        self.start = array("i", np.searchsorted(pairs >> 32, np.arange(len(self.length) + 1)).astype(np.int32).tobytes())
+        self.held = array("i", (pairs & 0xFFFFFFFF).astype(np.int32).tobytes())
+        #: by state: the state of the window that ends there; the longest state with short items that ends there, and its next shorter one
+        self.at, self.ends = array("i", bytes(4 * len(self.length))), array("i", [-1]) * len(self.length)
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[1:].tolist():
             up = self.link[s]
             if self.length[s] >= window:
                 self.at[s] = s if self.length[up] < window else self.at[up]
-            if own := self.ends.get(up, ()) + ((s,) if s in self.short else ()):
-                self.ends[s] = own
+            self.ends[s] = s if s in self.short else self.ends[up]
 
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a.astype(np.int64) * 1_000_003 + b) & ((1 << PAIR_BITS) - 1)
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) * 1_000_003 + b) & ((1 << self.bits) - 1)
 
-    def _new(self, length: int, following: dict[int, int], link: int) -> int:
+    def _new(self, length: int, link: int) -> int:
+        self.first.append(0)
+        self.to.append(0)
         self.length.append(length)
-        self.next.append(following)
         self.link.append(link)
         return len(self.length) - 1
 
+    def _next(self, state: int, c: int) -> int:
+        """The state after state and c, -1 if none."""
+        if self.first[state] == c:
+            return self.to[state]
+        further = self.more.get(state)
+        return further.get(c, -1) if further else -1
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.first[state] in (0, c):
+            self.first[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
     def _split(self, p: int, c: int) -> int:
         """The state of p's run followed by c, which exists, as one whose longest run is that."""
-        q = self.next[p][c]
+        q = self._next(p, c)
         if self.length[q] == self.length[p] + 1:
             return q
-        twin = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        twin = self._new(self.length[p] + 1, self.link[q])
+        self.first[twin], self.to[twin] = self.first[q], self.to[q]
+        if q in self.more:
+            self.more[twin] = dict(self.more[q])
         self.link[q] = twin
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = twin
+        while p >= 0 and self._next(p, c) == q:
+            self._set(p, c, twin)
             p = self.link[p]
         return twin
 
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
+        if self._next(last, c) >= 0:
             return self._split(last, c)
-        state, p = self._new(self.length[last] + 1, {}, 0), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = state
+        state, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and self._next(p, c) < 0:
+            self._set(p, c, state)
             p = self.link[p]
         if p >= 0:
             self.link[state] = self._split(p, c)
         return state
 
-    def _mark(self, name: str, numbers: list[int]) -> None:
+    def _mark(self, item: int, numbers: array, marks: array) -> None:
         state, n, least = 0, len(numbers), min(self.window, len(numbers))
         for i, c in enumerate(numbers):
-            state = self.next[state][c]
+            state = self._next(state, c)
             if i + 1 >= least:
                 up = state
                 while self.length[self.link[up]] >= least:
                     up = self.link[up]
                 if n < self.window:
-                    self.short.setdefault(up, []).append((n, name))
+                    self.short.setdefault(up, []).append((n, item))
                 else:
-                    self.items.setdefault(up, set()).add(name)
+                    marks.append(up << 32 | item)
 
     def stream(self, numbers: list[int], offset: int, spans: list[list[int]], found: set[str]) -> None:
         """Adds the hit spans [first, past) of a run of words, and the items."""
         state = matched = 0
-        following, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window, step = self.link, self.length, self.window, self._next
         for i, c in enumerate(numbers, offset):
-            while state and c not in following[state]:
+            while (after := step(state, c)) < 0 and state:
                 state = link[state]
                 matched = length[state]
-            if c in following[state]:
-                state = following[state][c]
+            if after >= 0:
+                state = after
                 matched += 1
             reach = 0
             if matched >= window:
                 reach = matched
-                found |= self.items[self.at[state]]
-            for s in self.ends.get(state, ()):
-                for n, name in self.short[s]:
+                s = self.at[state]
+                found.update(self.names[k] for k in self.held[self.start[s] : self.start[s + 1]])
+            s = self.ends[state]
+            while s > 0:
+                for n, item in self.short[s]:
                     if n <= matched:
                         reach = max(reach, n)
-                        found.add(name)
+                        found.add(self.names[item])
+                s = self.ends[link[s]]
             if reach:
                 first = i + 1 - reach
                 while spans and spans[-1][1] >= first:
@@ -267,12 +293,13 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, limit: int = LIMIT) -> DataFrame:
     """docs without benchmark passages: hit runs of `min_span` words or more are cut out of text, and documents of whose words
-    more than max_coverage lie in such runs go. Shorter runs (whole items of a few words) stay."""
+    more than max_coverage lie in any hit runs go. In those that stay, shorter runs (whole items of a few words) stay too;
+    a min_span of 1 cuts them all."""
     names = tuple(free(docs, c) for c in ("_n_words", "_spans", "_items"))
 
     def finish(texts: list, n: list, spans: list) -> tuple[list, list]:
         long = [[s for s in found if s[1] - s[0] >= min_span] for found in spans]
-        kept = [sum(b - a for a, b in found) <= max_coverage * k for found, k in zip(long, n, strict=True)]
+        kept = [sum(b - a for a, b in found) <= max_coverage * k for found, k in zip(spans, n, strict=True)]
         return [cut_spans(t, found) if found else t for t, found in zip(texts, long, strict=True)], kept
 
     return scan(docs, benchmark, window, limit, names, finish)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -512,6 +513,24 @@ def test_passages_are_cut(spark):
     assert found == {1: f"{own}, ! end", 3: own, 4: None}
 
 
+def test_short_items_count_for_coverage(spark):
+    own = " ".join(f"x{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "red green blue"), (2, f"{own} red green blue {own}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Red, green; blue")], "item_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, items).collect()} == {2: f"{own} red green blue {own}"}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, items, min_span=1).collect()} == {2: f"{own}  {own}"}
+
+
+def test_automaton_is_compact():
+    rng = random.Random(3)
+    words = [b"w%d" % int(rng.paretovariate(0.9)) for _ in range(100_000)]
+    tracemalloc.start()
+    kept = decontaminate.Automaton([(str(i), words[i : i + 100]) for i in range(0, len(words), 100)])
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept.vocabulary and size - kept.pairs.nbytes < 250 * len(words)
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.randint(1, 30))), rng.choice(["a", "a", "a", "b", None])) for i in range(3000)]
