@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, a temporary folder if all executors are threads of this process (tests), else an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        found = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         sc.setCheckpointDir(found)
     return found
 
@@ -21,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that isn't read any more, wherever it lies."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
