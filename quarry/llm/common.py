@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.sources.checkpoints import cut, shared_dir
+from quarry.sources.checkpoints import cut, remove, shared_dir
 from quarry.sources.package import send_package
 
-__all__ = ["added", "all_columns", "cut", "free", "held_out", "hex_long", "id_text", "map_arrow", "shared_dir", "table"]
+__all__ = ["added", "all_columns", "cut", "free", "held_out", "hex_long", "id_text", "map_arrow", "remove", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -12,10 +12,13 @@ by more than the penalty of entering it; that is checked for whole batches at on
 decoded word by word.
 
 Trigrams are counted in a sample of about TRAIN_TEXTS texts of each language, chosen
-by a hash of the id. Null languages are not learned from. A text that is null or has no
-letter is `und` with score 0, and so is every text if nothing was learned. Ties go to
-the first language in code point order. Empty tables give empty results. Extra columns
-are ignored.
+by a hash of the id, whole texts each. At most LANGS languages are learned, those with
+most texts, and of each the GRAMS commonest trigrams, which bounds the model. Null
+languages are not learned from. A text that is null or has no letter is `und` with score
+0, and so is every text if nothing was learned. Ties go to the first language in code
+point order. Repeated rows give repeated rows and equal texts equal values. Very long
+texts are labelled whole. Ids are integers or null. Empty tables give empty results.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import cut, held_out, map_arrow, table
 
 TRAIN_TEXTS = 1500
+LANGS, GRAMS = 400, 60_000
 MODULUS, REMAINDER = 4, 2
 SWITCH = 12.0
 #: A language uses a script if this share of its words is written in it.
@@ -186,7 +191,7 @@ _taggers: dict[int, Tagger] = {}
 def train(docs: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER, texts: int = TRAIN_TEXTS) -> Model:
     """A model from docs (doc_id, text, lang). The driver gets trigram counts of about `texts` texts a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not n:
         return Model([], {}, np.zeros((0, 1)), {})
     # a hash bound keeps each language's share of the rows near `texts`, without sorting
@@ -207,6 +212,8 @@ def train(docs: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER, t
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(kind), pa.array(what), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "what", "n"])
 
     counted = map_arrow(sample, count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "what"))
+    counted = counted.withColumn("rank", rank).where(F.col("rank") <= GRAMS).drop("rank")
     langs = sorted(n, key=lambda x: x.encode())
     rows = sorted(map(tuple, cut(counted).collect()))
     grams = {g: i for i, g in enumerate(sorted({what for _, kind, what, _ in rows if kind == "gram"}))}

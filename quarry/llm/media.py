@@ -6,10 +6,12 @@ upper bits are zero, chunks keep between MIN and MAX bytes. A chunk is stored as
 zstd frame under its digest (first 16 bytes of SHA-256).
 
 The store has two tables. Digests are counted by a Spark aggregation; those that occur
-more than once mark a bitmap of fixed size, which the executors get. Chunks outside the
-bitmap are certainly unique and are written with their document's ordered chunk list
-(`packs`), without a shuffle; all others are written once each (`shared`) after
-deduplication by digest. A false mark only sends a unique chunk through the second way.
+more than once mark a bitmap of 16 bits or more for each, which the executors get. Chunks
+outside the bitmap are certainly unique and are written with their document's ordered
+chunk list (`packs`), without a shuffle; all others are written once each (`shared`)
+after deduplication by digest. A false mark only sends a unique chunk through the second
+way. The bitmap stops at MOST_BITS (32 MB); beyond some 17 million repeated chunks false
+marks grow, until every chunk is shuffled once, compressed.
 
 Reading back joins chunk lists with shared chunks by digest, puts the chunks of a
 payload in order, and checks its SHA-256 against the one taken at writing; a mismatch
@@ -19,7 +21,9 @@ Stored form of a payload: `CDC1`, number of chunks, then digest and stored lengt
 each (little-endian), then the frames; equal texts have equal stored forms.
 
 A null text counts as empty: one payload of 576 bytes 255. Repeated rows give repeated
-rows; empty tables give empty results. Extra columns are ignored.
+rows, equal texts equal values; nothing depends on an order, so there are no ties. Very
+long texts are stored whole, in more chunks. Ids are integers or null. Empty tables give
+empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, map_arrow, shared_dir, table
+from quarry.llm.common import cut, map_arrow, remove, shared_dir, table
 
 FRAME = 576
 MIN, MAX = 1024, 16384
 #: A cut falls where these upper bits of the hash are zero: every 4096 bytes beyond MIN on average.
 MASK = np.uint32(0xFFF00000)
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 576) for i in range(256)], np.uint32)
-BITMAP_BITS = 26
+#: The bitmap has between 2**LEAST_BITS and 2**MOST_BITS bits.
+LEAST_BITS, MOST_BITS = 16, 28
 LEVEL = 3
 
 
@@ -108,20 +113,21 @@ def manifest(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
 
 
-def repeated(listed: DataFrame) -> np.ndarray:
-    """A bitmap of the digests that occur more than once; 2**BITMAP_BITS bits, however many there are."""
-    seen = listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    at = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = seen.select(F.shiftright(at, 3).alias("byte"), at.bitwiseAND(F.lit(7)).cast("int").alias("bit"))
-    words = words.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).cast("short").alias("mask"))
-    got = words.toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+def repeated(listed: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A bitmap of the digests that occur more than once, sized by their number."""
+    digests = listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    seen = cut(digests.select(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").alias("at")))
+    bits = min(most_bits, max(LEAST_BITS, (16 * seen.count()).bit_length()))
+    at = F.col("at").bitwiseAND(F.lit((1 << bits) - 1))
+    places = seen.select(F.shiftright(at, 3).alias("byte"), at.bitwiseAND(F.lit(7)).cast("int").alias("bit"))
+    got = places.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).cast("short").alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
     bitmap[got["byte"].to_numpy()] = got["mask"].to_numpy()
     return bitmap
 
 
 def marked(bitmap: np.ndarray, d: bytes) -> bool:
-    at = int.from_bytes(d[:4], "big") & ((1 << BITMAP_BITS) - 1)
+    at = int.from_bytes(d[:4], "big") & (8 * len(bitmap) - 1)
     return bool(bitmap[at >> 3] >> (at & 7) & 1)
 
 
@@ -204,7 +210,10 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
 
 def op4_chunked_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/chunk-store-{uuid.uuid4().hex}"
-    return chunked(table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    out = cut(chunked(table(spark, sf_dir, "documents", "doc_id", "text"), path))
+    # the digests are read back from the store, which isn't needed then
+    remove(spark, path)
+    return out
 
 
 QUERIES = {"op4_chunked_payloads": op4_chunked_payloads}

@@ -8,6 +8,9 @@ metadata column (n_chars). Fitted by AdaGrad on at most TRAIN_ROWS labelled rows
 
 Nulls: a null text is empty; null metadata is the text's own number of characters. With
 labels of one kind only, or none, the score is the share of label 1 (0 without labels).
+Ties and repeats: labelled rows are taken in an order of all that is learned from, so that
+repeated ids give the same machine in every run; repeated rows count as often as they
+occur and get equal scores. Very long texts are scored whole. Ids are integers or null.
 Empty tables give empty results. Extra columns are ignored.
 """
 
@@ -164,9 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             found = [raw_features(t, n, hashed) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int16())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["doc_id", "label", "words", "stats"])
 
-    got = map_arrow(sample.select("doc_id", "label", "text", "n_chars"), code, "doc_id long, label int, words array<smallint>, stats array<double>").toArrow().sort_by("doc_id")
-    stats = np.array(got["stats"].to_pylist()).reshape(-1, STATISTICS)
-    return fit([x.as_py() for x in got["words"]], stats, np.array(got["label"].to_pylist(), float))
+    got = map_arrow(sample.select("doc_id", "label", "text", "n_chars"), code, "doc_id long, label int, words array<smallint>, stats array<double>").toArrow()
+    # a total order, as repeated ids may have different texts
+    learned = sorted(got.to_pylist(), key=repr)
+    stats = np.array([r["stats"] for r in learned]).reshape(-1, STATISTICS)
+    return fit([r["words"] for r in learned], stats, np.array([r["label"] for r in learned], float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
