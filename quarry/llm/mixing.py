@@ -12,9 +12,11 @@ bucket that crosses the budget is found, and only its rows are summed by the nex
 bits, three times. The last bucket (36 bits) goes in if that comes nearer the budget.
 Thresholds of growing budgets are nested, so a larger mix contains a smaller one.
 
-Nulls: null texts have size 0, null sources are one source (the last), a null id has
-a hash of its own. Rows with the same id are taken together. An empty table gives an
-empty result; a source without words has target 0. Extra columns are ignored.
+Nulls: null texts have size 0, null sources are one source (the last), a null id counts
+as an id of its own. The hash is of id and text, so only repeated rows are taken together;
+there are no other ties but clashes of 36 bits. Very long texts count whole. An empty
+table gives an empty result; a source without words has target 0. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import all_columns, cut, free, hex_long, id_text, table
+from quarry.operators.numbering import numbered
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -42,19 +45,18 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, total_share: float = TOTAL_SHARE, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """(source, source_size) -> with target. Its windows run over one row for each source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    s = sources.withColumn("weight", weight).withColumn("most", (F.col("source_size") * most_repeats).cast("double"))
-    by_level = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    below = by_level.rowsBetween(Window.unboundedPreceding, -1)
+    """(source, source_size) -> with target. One window without a partition runs over one row for each distinct ratio of size and weight."""
+    ranked = numbered(sources.withColumn("none", F.col("source").isNull()), ["none", "source"])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    s = cut(ranked.withColumn("weight", weight).withColumn("most", (F.col("source_size") * most_repeats).cast("double")))
+    ratios = s.groupBy((F.col("most") / F.col("weight")).alias("ratio")).agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"), F.sum(F.col("source_size").cast("double")).alias("size"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum(F.col("source_size").cast("double")).over(everything) * total_share
-    # the level if those before this source are capped; the first that fits is the largest that fits
-    s = s.withColumn("capped", F.coalesce(F.sum("most").over(below), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    s = s.withColumn("level", (total - F.col("capped")) / F.col("open"))
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    below = Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    # the level if those before this ratio are capped; the largest that fits is the water level
+    capped, taken = (F.coalesce(F.sum(c).over(below), F.lit(0.0)) for c in ("most", "weight"))
+    levels = ratios.withColumn("level", (F.sum("size").over(everything) * total_share - capped) / (F.sum("weight").over(everything) - taken))
+    level = levels.agg(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).alias("level")).first()["level"]
+    return s.select("source", "source_size", (F.col("most") if level is None else F.least(F.col("most"), F.lit(level) * F.col("weight"))).alias("target"))
 
 
 def with_sources(rows: DataFrame, per_source: DataFrame, small: bool) -> DataFrame:
@@ -77,13 +79,14 @@ def thresholds(rows: DataFrame, per_source: DataFrame, small: bool) -> DataFrame
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("below"))
 
 
-def hashed(doc_id: str = "doc_id") -> Column:
-    return hex_long(F.md5(F.concat(F.lit("mix|"), id_text(doc_id))), 1, BITS * LEVELS // 4)
+def hashed(doc_id: str = "doc_id", text: str = "text") -> Column:
+    own = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return hex_long(F.md5(F.concat_ws("|", F.lit("mix"), id_text(doc_id), own)), 1, BITS * LEVELS // 4)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, total_share: float = TOTAL_SHARE, most_repeats: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
     """The words of each row (doc_id, source, size, hash), the plan of each source (source, source_size, target, whole, below), and whether the plan may be broadcast."""
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hashed(doc_id).alias("hash")))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hashed(doc_id, text).alias("hash")))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most_repeats))
     small = sources.count() <= BROADCAST_SOURCES
     found = thresholds(rows, sources.where(F.col("source_size") > 0), small)
@@ -115,7 +118,7 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, {BITS * LEVELS // 4}))::BIGINT AS hash
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, {BITS * LEVELS // 4}))::BIGINT AS hash
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([3.0::DOUBLE, 1.0, 2.0], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT) AS w FROM d GROUP BY source),
 l AS (

@@ -7,11 +7,13 @@ that node alone: rows move only into or out of the subtrees whose weights change
 `grown` adds a subtree of its own at the top, so one more shard takes rows only
 into itself.
 
-Slots (gapless numbers inside each shard) come from cells (shard, hash bucket):
-cell counts give offsets, and only cells are sorted, never whole shards. Identical
-rows are counted before the shuffle and expanded again at the end.
+Slots (gapless numbers inside each shard) come from cells (shard, bucket of a hash of
+id and text): cell counts give offsets, and only cells are sorted, never whole shards.
+There are more cells if there are more rows. Identical rows are counted before the
+shuffle and expanded again at the end, so they have slots one after the other.
 
-Nulls: a null id is a key of its own; a null text has size 16 and crc32 0.
+Nulls: a null id is a key of its own; a null text has size 16 and crc32 0. Rows with one
+id are in one shard, in the order of crc32 and size. Texts of any length count whole.
 Empty tables give empty results. Extra columns are ignored.
 """
 
@@ -29,7 +31,10 @@ from quarry.llm.common import cut, hex_long, id_text, table
 
 LAW = "key"
 SALT = "tree"
-CELLS = 1024
+#: Cells of a shard at least, and the rows that one should hold at most.
+CELLS, PER_CELL = 1024, 100_000
+#: Up to so many offsets of cells are broadcast.
+BROADCAST_CELLS = 2_000_000
 #: Copies of one row that one generated array holds at most; more copies use more arrays.
 BLOCK = 1 << 16
 
@@ -81,18 +86,20 @@ def descend(key: Column, leaves: Sequence[Leaf]) -> Column:
     return at
 
 
-def numbered(rows: DataFrame, group: str, order: Sequence[str], key: Column, cells: int = CELLS) -> DataFrame:
-    """Adds `slot`, gapless from 0 in each `group`, whose number is bounded; identical rows get consecutive slots.
+def numbered(rows: DataFrame, group: str, groups: int, order: Sequence[str], key: Column) -> DataFrame:
+    """Adds `slot`, gapless from 0 in each `group`; identical rows get consecutive slots.
 
     rows are counted first, so that copies of one row meet as one row and a number.
     """
     names = rows.columns
-    counted = cut(rows.withColumn("cell", hex_long(F.md5(F.concat(F.lit("slot|"), key)), 1, 8) % cells).groupBy(*names, "cell").agg(F.count("*").alias("copies")))
+    counted = cut(rows.groupBy(*names).agg(F.count("*").alias("copies")))
+    cells = max(CELLS, -(-counted.count() // (groups * PER_CELL)))
+    counted = counted.withColumn("cell", hex_long(F.md5(F.concat(F.lit("slot|"), key)), 1, 8) % cells)
     sums = counted.groupBy(group, "cell").agg(F.sum("copies").alias("rows"))
     offsets = sums.withColumn("offset", F.sum("rows").over(Window.partitionBy(group).orderBy("cell")) - F.col("rows")).drop("rows")
     inside = Window.partitionBy(group, "cell").orderBy(*(F.col(x).asc_nulls_first() for x in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # offsets has one row for each group and cell: the number of groups times `cells`, which don't grow with the rows
-    placed = counted.withColumn("before", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(offsets), [group, "cell"])
+    # offsets has one row for each group and cell
+    placed = counted.withColumn("before", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(offsets) if groups * cells <= BROADCAST_CELLS else offsets, [group, "cell"])
     first = F.col("offset") + F.col("before")
     blocks = placed.withColumn("start", F.explode(F.sequence(first, first + F.col("copies") - 1, F.lit(BLOCK).cast("long"))))
     until = F.least(F.col("start") + (BLOCK - 1), first + F.col("copies") - 1)
@@ -109,7 +116,7 @@ def assign(docs: DataFrame, leaves: Sequence[Leaf], text: str = "text", doc_id:
     )
     key = id_text("doc_id")
     rows = rows.withColumn("shard", descend(key, leaves)).withColumn("grown_shard", descend(key, grown(leaves)))
-    out = numbered(rows, "shard", ["doc_id", "text_crc32", "size"], key)
+    out = numbered(rows, "shard", len(leaves), ["doc_id", "text_crc32", "size"], F.concat_ws("|", key, F.col("text_crc32").cast("string")))
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast(T.IntegerType()), F.col("slot").cast(T.LongType()), F.col("grown_shard").cast(T.IntegerType()))
 
 
@@ -140,7 +147,7 @@ crc AS (
   FROM (SELECT DISTINCT t, hex(encode(t)) AS h FROM d), (SELECT list(c ORDER BY i) AS tab FROM (
     SELECT i, list_reduce([i::UBIGINT] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))))
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, '{LAW}' AS law, s2.node::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY s2.node ORDER BY ('0x' || substr(md5('slot|' || k), 1, 8))::BIGINT % {CELLS}, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, g2.node::INTEGER AS grown_shard
+  (row_number() OVER (PARTITION BY s2.node ORDER BY ('0x' || substr(md5('slot|' || k || '|' || text_crc32), 1, 8))::BIGINT % {CELLS}, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, g2.node::INTEGER AS grown_shard
 FROM d JOIN s2 USING (k) JOIN g2 USING (k) JOIN crc USING (t)
 """
 

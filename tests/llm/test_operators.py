@@ -542,6 +542,34 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mixed(docs).count() > 3000
 
 
+def test_rows_of_one_id_can_be_divided(spark):
+    """A third of the words under null ids: the target is met all the same."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{rng.randrange(99)}" for _ in range(20)), "a" if i % 4 else "b") for i in range(3000)]
+    out, plan, small = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = mixing.with_sources(out, plan, small).groupBy("source").agg(F.sum(F.col("size") * mixing.repeats(F.col("hash"))).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 20 for r in found)
+
+
+def test_targets_against_a_loop(spark):
+    rng = random.Random(2)
+    for _ in range(4):
+        sizes = {s: rng.choice([0, 1, 5, 100, rng.randrange(10**6)]) for s in ["a", "b", "ü", "Z", "zz", None][: rng.randint(1, 6)]}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        total, open_, expected = 1.5 * sum(sizes.values()), set(order), {}
+        while open_:
+            level = (total - sum(expected.values())) / sum(weight[s] for s in open_)
+            over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+            if not over:
+                expected |= {s: level * weight[s] for s in open_}
+                break
+            expected |= {s: 2.0 * sizes[s] for s in over}
+            open_ -= over
+        found = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r["source"]: pytest.approx(r["target"]) for r in found} == expected
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(10)
     docs = []
