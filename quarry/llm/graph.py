@@ -1,8 +1,8 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Joins on keys that may be hot, and connected components.
 
-Hubs are split: a node with over 1/HUBS of all edge ends is one of fewer than HUBS such
-nodes, whatever the input, so the smallest neighbours of hubs are broadcast and their
-edges stay where they are; only the edges of other nodes are dealt by node.
+A key with over 1/HOT of all rows is one of fewer than HOT such keys, whatever the
+input. So the single rows that belong to hot keys are broadcast and the many rows of
+such keys stay where they are; only the rows of other keys are dealt by key.
 """
 
 from __future__ import annotations
@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut
 
-#: Fewer nodes than this are hubs, which bounds what is broadcast.
-HUBS = 4000
+#: Fewer keys than this are hot, which bounds what is broadcast.
+HOT = 4000
 
 
-def with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """edges (u, v) with m, of least (u, m, degree); ends: the sum of all degrees."""
-    hub = F.col("degree") > max(1.0, ends / HUBS)
-    hubs = F.broadcast(least.where(hub).select("u", "m"))
-    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+def matched(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with one, which must be cheap to read twice and has a row for each key and the number of its rows in `count`; rows has `total` rows."""
+    hot = F.col(count) > max(1.0, total / HOT)
+    other = [c for c in one.columns if c != key]
+    hubs = one.where(hot).select(key, F.struct(*other).alias("_hot"))
+    rest = one.where(~hot).select(key, F.lit(0).alias("_salt"), F.struct(*other).alias("_cold"))
+    # the rows of hot keys have salts that meet nothing, so that they are spread
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.lit(1 << 20)).cast("int"))
+    out = rows.join(F.broadcast(hubs), key, "left").withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
+    got = F.coalesce("_hot", "_cold")
+    return out.where(got.isNotNull()).select(*rows.columns, *(got[c].alias(c) for c in other))
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
@@ -28,22 +34,26 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     degree = F.count("*").alias("degree")
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), degree)
-        return with_least(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), degree)
-    out = with_least(edges, least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), degree))
+        return matched(both, least, "u", "degree", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), degree))
+    out = matched(edges, least, "u", "degree", n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, root) for every node of an edge that isn't its component's smallest node; root is that smallest node."""
+    """(node, root) for every node of an edge that isn't its component's smallest node; root is that smallest node.
+
+    Large and small stars alternate until nothing changes.
+    """
     a, b = F.col(left), F.col(right)
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state, n = None, now.count()
-    while True:
+    while n:
         # a large star keeps the number of edges or lowers it
-        now = cut(_star(_star(now, True, n), False, n))
+        now = cut(_star(cut(_star(now, True, n)), False, n))
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if found == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         state, n = found, found["n"]
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
