@@ -2,7 +2,8 @@
 
 A key with over 1/HOT of all rows is one of fewer than HOT such keys, whatever the
 input. So the single rows that belong to hot keys are broadcast and the many rows of
-such keys stay where they are; only the rows of other keys are dealt by key.
+such keys stay where they are; only the rows of other keys are dealt by key. Keys of up
+to FLOOR rows are never hot.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut
 
 #: Fewer keys than this are hot, which bounds what is broadcast.
-HOT = 4000
+HOT, FLOOR = 1000, 500
 
 
 def matched(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows joined with one, which must be cheap to read twice and has a row for each key and the number of its rows in `count`; rows has `total` rows."""
-    hot = F.col(count) > max(1.0, total / HOT)
+    hot = F.col(count) > max(float(FLOOR), total / HOT)
     other = [c for c in one.columns if c != key]
+    if total <= FLOOR or one.where(hot).isEmpty():
+        return rows.join(one, key).select(*rows.columns, *other)
     hubs = one.where(hot).select(key, F.struct(*other).alias("_hot"))
     rest = one.where(~hot).select(key, F.lit(0).alias("_salt"), F.struct(*other).alias("_cold"))
     # the rows of hot keys have salts that meet nothing, so that they are spread
@@ -44,16 +47,18 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an edge that isn't its component's smallest node; root is that smallest node.
 
-    Large and small stars alternate until nothing changes.
+    Large and small stars alternate until every node has one edge to a node that has none to a smaller one.
     """
     a, b = F.col(left), F.col(right)
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state, n = None, now.count()
-    while n:
+    while not settled(now):
         # a large star keeps the number of edges or lowers it
+        n = now.count()
         now = cut(_star(cut(_star(now, True, n)), False, n))
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if found == state:
-            break
-        state, n = found, found["n"]
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def settled(edges: DataFrame) -> bool:
+    zero, one = F.lit(0), F.lit(1)
+    ends = edges.select(F.col("u").alias("x"), one.alias("up"), zero.alias("down")).unionAll(edges.select("v", zero, one))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
