@@ -64,26 +64,25 @@ def hotspots(edges: DataFrame, limit: int = 10) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
     """(place, node) of the shortest directed path; of paths of one length the first in order. Empty if there is none.
 
-    Level by level: the frontier keeps one path a node, nodes seen before fall out by an
-    anti-join, and lineage is cut at every level. It stops at the end node or when
-    nothing is new, at the latest after as many levels as there are nodes.
+    Steps to the end are counted level by level from the end backwards: nodes seen before fall
+    out by an anti-join, and lineage is cut at every level. It stops at the start or when nothing
+    is new, at the latest after as many levels as there are nodes. Then the path is walked from
+    the start, each time to the first node that is a step nearer; no row holds more than a node.
     """
     spark = edges.sparkSession
-    schema = "place int, node string"
-    frontier = cut(nodes(edges).where(F.col("node") == start).select("node", F.array("node").alias("path")))
-    seen = frontier.select("node")
-    level = 0
-    while frontier.head(1):
-        found = frontier.where(F.col("node") == end).head(1)
-        if found:
-            return spark.createDataFrame(list(enumerate(found[0]["path"])), schema)
-        if most is not None and level >= most:
+    levels = [cut(nodes(edges).where(F.col("node") == end))]
+    seen = levels[0]
+    while not (found := bool(levels[-1].where(F.col("node") == start).head(1))):
+        if not levels[-1].head(1) or (most is not None and len(levels) > most):
             break
-        step = edges.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        seen = cut(seen.unionByName(frontier.select("node")))
-        level += 1
-    return spark.createDataFrame([], schema)
+        step = edges.join(levels[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct()
+        levels.append(cut(step.join(seen, "node", "left_anti")))
+        seen = cut(seen.unionByName(levels[-1]))
+    path = [start] if found else []
+    for level in reversed(levels[:-1] if found else []):
+        nearer = edges.where(F.col("src") == path[-1]).join(level, F.col("dst") == F.col("node"))
+        path.append(nearer.agg(F.min("dst").alias("dst")).first()["dst"])
+    return spark.createDataFrame(list(enumerate(path)), "place int, node string")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -119,19 +118,47 @@ def fan_in(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("callee_file").isNotNull()).groupBy("callee_name").agg(F.countDistinct(call_key("caller_file", "caller_sym")).alias("fan_in"))
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """(node) of those that reach themselves: nodes without a way in or out are peeled off until only cycles and ways between them are left, then closed."""
-    left = cut(edges.select("src", "dst").distinct())
-    n = left.count()
-    while True:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = cut(kept)
-        if (now := left.count()) == n:
-            break
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) without those at nodes that have no way in or none out, until all have both."""
+    left, n = cut(edges), -1
+    while (now := left.count()) != n:
         n = now
-    closed, size = left, -1
-    while (now := closed.count()) != size:
-        size = now
-        longer = closed.alias("a").join(left.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        closed = cut(closed.unionByName(longer).distinct())
-    return closed.where("src = dst").select(F.col("src").alias("node")).distinct()
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return left
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(node) of those that reach themselves: the strongly connected components of more than a node, and self-loops.
+
+    Each round trims what lies on no cycle, colours every node with the smallest node that reaches it, and takes
+    as one component what reaches its colour's node inside the colour. Rows are a colour a node, never pairs of nodes.
+    """
+    left = trimmed(edges.select("src", "dst").distinct())
+    out = edges.select(F.col("src").alias("node")).limit(0)
+    while left.head(1):
+        colours, changed = cut(nodes(left).withColumn("colour", F.col("node"))), 1
+        while changed:
+            passed = left.join(colours, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("other"))
+            after = cut(colours.join(passed, "node").select("node", F.least("colour", "other").alias("colour"), (F.col("other") < F.col("colour")).alias("moved")))
+            changed, colours = after.where("moved").count(), after.drop("moved")
+        inside = left.join(colours.withColumnRenamed("node", "src"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
+        inside = cut(inside.select("src", "dst", "colour"))
+        found = fresh = cut(colours.where("node = colour").select("node"))
+        while fresh.head(1):
+            fresh = cut(inside.join(fresh, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct().join(found, "node", "left_anti"))
+            found = cut(found.unionByName(fresh))
+        closed = inside.join(found.withColumnRenamed("node", "src"), "src", "left_semi").join(found.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        out = out.unionByName(closed.select(F.col("src").alias("node")).distinct())
+        rest = left.join(found.withColumnRenamed("node", "src"), "src", "left_anti").join(found.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = trimmed(rest)
+    return out.distinct()
+
+
+def cycle_path(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(place, node) of a shortest cycle through the first node that lies on one, which is at both ends; empty without a cycle."""
+    start = (cycle_members(edges) if members is None else members).agg(F.min("node").alias("node")).first()["node"]
+    if start is None:
+        return edges.sparkSession.createDataFrame([], "place int, node string")
+    end = f"{start}\0"
+    way = shortest_path(edges.select("src", F.when(F.col("dst") == start, end).otherwise(F.col("dst")).alias("dst")), start, end)
+    return way.select("place", F.when(F.col("node") == end, start).otherwise(F.col("node")).alias("node"))

@@ -39,22 +39,44 @@ def impact_tier(references: Column, fan_in: Column, dependents: Column, hot: Col
     return F.when((references > high) | (fan_in > high) | hot, "high").when((references > 3) | (fan_in > 3) | (dependents > 0), "medium").otherwise("low")
 
 
-def change_impact(symbols: DataFrame, edges: DataFrame, calls: DataFrame, names: Sequence[str], high: int = HIGH_REFERENCES) -> DataFrame:
-    """(symbol, definition, ref_count, dependents, fan_in, risk) of exactly named symbols, all in one plan.
+def change_impact(symbols: DataFrame, edges: DataFrame, calls: DataFrame, names: Sequence[str], high: int = HIGH_REFERENCES, exact: bool = True, file: str | None = None) -> DataFrame:
+    """(symbol, definition, references, ref_count, dependents, affected, fan_in, risk) of named symbols, all in one plan.
 
-    With exact names every symbol of the name is a definition, so there are no references.
+    The definition is the first symbol of the name by path and line. With exact names every symbol of the name is a definition,
+    so there are no references; else those are the symbols that have the name as a part of theirs. Dependents are within two steps
+    of the definition's file, affected functions within two calls of the name.
     """
-    first = Window.partitionBy("name").orderBy("path", "line")
-    defined = symbols.where(F.col("name").isin(*names)).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("name").alias("symbol"), F.struct("path", "line", "kind").alias("definition"), F.col("path").alias("_file"))
+    asked = F.broadcast(symbols.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "symbol string"))
+    own = symbols.where(paths.fits(F.col("path"), file)) if file else symbols
+    first = Window.partitionBy("symbol").orderBy("path", "line")
+    defined = own.join(asked, F.col("name") == F.col("symbol")).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("symbol", F.struct("path", "line", "kind").alias("definition"), F.col("path").alias("_file"))
     one = defined.select("symbol", "_file").join(edges, F.col("dst") == F.col("_file")).select("symbol", F.col("src").alias("node"))
     two = one.join(edges, F.col("dst") == F.col("node")).select("symbol", F.col("src").alias("node"))
-    dep = one.unionByName(two).distinct()
     hot = graph.hotspots(edges, HOTSPOTS).select(F.col("node").alias("_hot"))
-    summed = dep.join(F.broadcast(hot), F.col("node") == F.col("_hot"), "left").groupBy("symbol").agg(F.array_sort(F.collect_set("node")).alias("dependents"), F.bool_or(F.col("_hot").isNotNull()).alias("_any"))
-    out = defined.join(summed, "symbol", "left").join(graph.fan_in(calls), F.col("symbol") == F.col("callee_name"), "left")
-    n = F.coalesce(F.size("dependents"), F.lit(0))
-    fan = F.coalesce("fan_in", F.lit(0)).cast("long")
-    return out.select("symbol", "definition", F.lit(0).alias("ref_count"), F.coalesce("dependents", F.array().cast("array<string>")).alias("dependents"), fan.alias("fan_in"), impact_tier(F.lit(0), fan, F.greatest(n, F.lit(0)), F.coalesce("_any", F.lit(False)), high).alias("risk"))
+    near = one.unionByName(two).distinct().join(F.broadcast(hot), F.col("node") == F.col("_hot"), "left").groupBy("symbol").agg(F.array_sort(F.collect_set("node")).alias("dependents"), F.bool_or(F.col("_hot").isNotNull()).alias("_any"))
+    known = calls.where(F.col("callee_file").isNotNull()).select("caller_file", "caller_sym", "callee_file", "callee_name").distinct()
+    by_name = known.join(asked, F.col("callee_name") == F.col("symbol")).select("symbol", "caller_file", "caller_sym").distinct()
+    further = by_name.select("symbol", F.col("caller_file").alias("callee_file"), F.col("caller_sym").alias("callee_name")).join(known, ["callee_file", "callee_name"]).select("symbol", "caller_file", "caller_sym")
+    reached = by_name.unionByName(further).distinct().groupBy("symbol").agg(F.array_sort(F.collect_set(F.concat_ws(":", "caller_file", "caller_sym"))).alias("affected"))
+    out = defined.join(near, "symbol", "left").join(reached, "symbol", "left").join(graph.fan_in(calls), F.col("symbol") == F.col("callee_name"), "left")
+    none = F.array().cast("array<struct<path: string, line: int>>")
+    if exact:
+        out = out.withColumn("references", none)
+    else:
+        part = own.join(asked, F.contains("name", F.col("symbol")) & (F.col("name") != F.col("symbol")))
+        found = part.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("references"))
+        out = out.join(found, "symbol", "left").withColumn("references", F.coalesce("references", none))
+    count, fan, n = F.size("references"), F.coalesce("fan_in", F.lit(0)).cast("long"), F.coalesce(F.size("dependents"), F.lit(0))
+    empty = F.array().cast("array<string>")
+    return out.select(
+        "symbol", "definition", "references", count.alias("ref_count"), F.coalesce("dependents", empty).alias("dependents"), F.coalesce("affected", empty).alias("affected"),
+        fan.alias("fan_in"), impact_tier(count, fan, F.greatest(n, F.lit(0)), F.coalesce("_any", F.lit(False)), high).alias("risk"),
+    )
+
+
+def impact_summary(impacts: DataFrame) -> DataFrame:
+    """One row for a review: how many symbols, of which risk, how many fragile."""
+    return impacts.agg(F.count("*").alias("symbols"), *(F.count_if(F.col("risk") == r).alias(r) for r in ("high", "medium", "low")), F.count_if("fragile").alias("fragile"))
 
 
 def hunk_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -127,17 +149,33 @@ def target_names(name: Column) -> Column:
     return F.array_compact(F.array(name, *(F.when(F.octet_length(r) >= 2, r) for r in rests)))
 
 
-def test_gaps(symbols: DataFrame, limit: int | None = 50) -> DataFrame:
-    """(path, line, name) of functions that no test covers: no target equals the name, holds it or is held by it.
+GRAM = 4
+
+
+def covered(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_low) of the names (_low) that hold a target (target) or are held by one.
 
-    Targets that equal a name fall out by an equi-join first; the rest meets a broadcast list of
-    distinct targets, which are names of tests and not texts.
+    Whichever is the shorter, all its grams of GRAM characters are in the other. So the first gram of either side is looked up
+    among all grams of the other, and only those pairs are compared. Strings shorter than a gram stand for themselves, and
+    are looked up among all parts of their length.
     """
+    gram = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    every = lambda c: F.array_distinct(F.flatten(F.array(*(gram(c, n) for n in range(1, GRAM + 1)))))
+    pairs = None
+    for short, long in ((targets.select("target"), names.select("_low")), (names.select("_low"), targets.select("target"))):
+        (a,), (b,) = short.columns, long.columns
+        found = long.distinct().withColumn("_gram", F.explode(every(F.col(b)))).join(short.distinct().withColumn("_gram", F.substring(a, 1, GRAM)), "_gram").where(F.contains(F.col(b), F.col(a))).select("_low")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
+
+
+def test_gaps(symbols: DataFrame, limit: int | None = 50) -> DataFrame:
+    """(path, line, name) of functions that no test covers: no target equals the name, holds it or is held by it."""
     f = symbols.where(F.col("kind") == "Function").withColumn("_test", is_test(F.col("path"), F.col("name")))
     targets = f.where("_test").select(F.explode(target_names(F.col("name"))).alias("target")).distinct()
     prod = f.where(~F.col("_test")).withColumn("_low", F.lower("name"))
-    left = prod.join(targets.select(F.col("target").alias("_low")), "_low", "left_anti").join(targets.select(F.col("target").alias("name")), "name", "left_anti")
-    gaps = left.join(targets, F.contains("_low", F.col("target")) | F.contains("target", F.col("_low")), "left_anti").select("path", "line", "name").orderBy("path", "line", "name")
+    left = prod.join(targets.select(F.col("target").alias("name")), "name", "left_anti")
+    gaps = left.join(covered(left, targets), "_low", "left_anti").select("path", "line", "name").orderBy("path", "line", "name")
     return gaps if limit is None else gaps.limit(limit)
 
 
@@ -173,6 +211,19 @@ def file_risk(edges: DataFrame, symbols: DataFrame, commits: DataFrame, limit: i
     return rows.select(F.col("path").alias("target"), p.alias("score")).withColumn("tier", scores.risk_tier(F.col("score"))).orderBy(F.desc("score"), "target").limit(limit)
 
 
+def symbol_risk(symbols: DataFrame, edges: DataFrame, calls: DataFrame, commits: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(target, score, tier) of named symbols: fan-in of the name, dependents, churn and bug fixes of its first file, and whether a test covers it."""
+    asked = F.broadcast(symbols.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "symbol string"))
+    first = Window.partitionBy("symbol").orderBy("path", "line")
+    rows = symbols.join(asked, F.col("name") == F.col("symbol")).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("symbol", "path")
+    gaps = test_gaps(symbols, None).select(F.col("name").alias("symbol")).distinct().withColumn("gap", F.lit(1.0))
+    for other, on in ((graph.fan_in(calls).withColumnRenamed("callee_name", "symbol"), "symbol"), (gaps, "symbol"), (graph.in_degrees(edges).withColumnRenamed("node", "path"), "path"), (repos.churn(commits), "path"), (repos.bugfix_ratio(commits), "path")):
+        rows = rows.join(other, on, "left")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    p = scores.risk_probability(zero("dependents"), zero("fan_in"), zero("churn"), zero("bugfix_ratio"), F.lit(1.0), zero("gap"))
+    return rows.select(F.col("symbol").alias("target"), p.alias("score")).withColumn("tier", scores.risk_tier(F.col("score")))
+
+
 def similarity(a_kind: Column, a_sig: Column, a_name: Column, kind: Column, sig: Column, name: Column) -> Column:
     """0.4 for the kind, 0.2 each for the numbers of parentheses and of words, 0.2 for equal characters in place."""
     parens = lambda s: F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
@@ -212,9 +263,10 @@ def explain(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     return both.orderBy("rank", "name", "detail").limit(1).select("kind", "name", "detail")
 
 
-def why_file(edges: DataFrame, commits: DataFrame, path: str, n: int = 3) -> DataFrame:
-    """One row: package, what the file depends on, what depends on it, its last commits."""
-    one = edges.sparkSession.createDataFrame([(path,)], "path string").withColumn("package", paths.package(F.col("path")))
+def why_file(edges: DataFrame, commits: DataFrame, path: str, n: int = 3, blame: str | None = None) -> DataFrame:
+    """One row: package, what the file depends on, what depends on it, its last commits, and the blame of its first line if that is given."""
+    one = edges.sparkSession.createDataFrame([(path, blame)], "path string, blame string").withColumn("package", paths.package(F.col("path")))
+    one = one if blame is not None else one.drop("blame")
     out = edges.where(F.col("src") == path).agg(F.array_sort(F.collect_set("dst")).alias("depends_on"))
     back = edges.where(F.col("dst") == path).agg(F.array_sort(F.collect_set("src")).alias("depended_by"))
     log = repos.log_of(commits, path, n).agg(F.sort_array(F.collect_list(F.struct("ts", "subject")), asc=False).alias("_log")).select(F.transform("_log", lambda x: x["subject"]).alias("commits"))
@@ -237,3 +289,21 @@ def navigate(index: search.Index, edges: DataFrame, symbols: DataFrame, query: s
     by_package = ranked.where(F.col("kind") == "package").select(F.col("name").alias("package"), "rank").join(first, "package").select("path", "rank")
     direct = ranked.where(F.col("path").isNotNull() & (F.col("kind") != "package")).select("path", "rank")
     return direct.unionByName(by_package).groupBy("path").agg(F.min("rank").alias("rank")).orderBy("rank", "path").limit(limit)
+
+
+def feature_guide(index: search.Index, edges: DataFrame, symbols: DataFrame, query: str, sections: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(part, place, value): the anchors of a question (best matches), the files to read in order, documentation that names it,
+    and the shortest path between the first two files."""
+    rank = lambda c: F.row_number().over(Window.orderBy(*c)) - 1
+    found = search.with_proximity(index, query, graph.hop_scores(edges, []), max(limit, 5))
+    row = lambda part, place, value: (F.lit(part).alias("part"), place.cast("int").alias("place"), value.alias("value"))
+    out = found.select(*row("anchor", rank((F.desc(F.round("score", 9)), "doc_id")), F.concat_ws(" ", "kind", "name")))
+    files = navigate(index, edges, symbols, query, limit)
+    order = [r["path"] for r in files.collect()]
+    out = out.unionByName(files.select(*row("read", rank(("rank", "path")), F.col("path"))))
+    if sections is not None:
+        docs_ = search.keywords(sections, query, 5, "id")
+        out = out.unionByName(docs_.select(*row("docs", rank((F.desc(F.round("score", 9)), "doc_id")), F.col("doc_id"))))
+    if len(order) > 1:
+        out = out.unionByName(graph.shortest_path(edges, order[0], order[1]).select(*row("path", F.col("place"), F.col("node"))))
+    return out

@@ -35,6 +35,32 @@ def impact_risk_tier(spark, sf_dir):
     return intel.change_impact(node_symbols(spark, sf_dir), supply_edges(spark, sf_dir), order_calls(spark, sf_dir), names).select("symbol", F.size("dependents").alias("n_dependents"), "fan_in", "risk")
 
 
+def impact_references(spark, sf_dir):
+    """Names as parts of others, with the functions that calls reach in two steps."""
+    names = ["NATION_1", "NATION_2", "p42"]
+    parts = order_calls(spark, sf_dir).select(F.lit("r").alias("repo"), F.lit("p").alias("package"), F.lit("parts").alias("path"), F.col("callee_name").alias("name"), F.lit("").alias("signature"), F.lit("Function").alias("kind"), F.lit(1).alias("line")).distinct()
+    symbols = node_symbols(spark, sf_dir).unionByName(parts)
+    found = intel.change_impact(symbols, supply_edges(spark, sf_dir), order_calls(spark, sf_dir), names, exact=False)
+    return found.select("symbol", "ref_count", F.size("affected").alias("n_affected"), "fan_in", "risk")
+
+
+def symbol_risk(spark, sf_dir):
+    names = ["NATION_3", "Supplier#000000003", "NATION_7", "none"]
+    found = intel.symbol_risk(node_symbols(spark, sf_dir), supply_edges(spark, sf_dir), order_calls(spark, sf_dir), _nation_commits(spark, sf_dir), names)
+    return found.select("target", F.round("score", 6).alias("score"), "tier")
+
+
+def focus_two_hops(spark, sf_dir):
+    return intel.focus(supply_edges(spark, sf_dir), node_symbols(spark, sf_dir), "n3", 2).groupBy("score").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("symbols"), F.lit(0))).alias("symbols"))
+
+
+def package_proximity(spark, sf_dir):
+    """Brands as packages; a part is near if its key is small."""
+    parts = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), "p_partkey")
+    near = parts.where("p_partkey % 3 = 0").select(F.col("path").alias("node"), (F.lit(1.0) / (1 + F.col("p_partkey") % 4)).alias("score"))
+    return packages.summaries(parts, near).select("package", "files", F.round("score", 6).alias("score"))
+
+
 def arch_violations(spark, sf_dir):
     """Orders join customers' regions with suppliers' regions; some pairs of regions are denied."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
@@ -56,12 +82,20 @@ def test_gap_anti(spark, sf_dir):
 
 
 def test_gap_texts(spark, sf_dir):
-    """Benchmark items whose first eight words are in no document."""
+    """Benchmark items that are in no document, as whole texts.
+
+    The words of an item but its first and last are whole words of any text that holds it. So the second to eighth word are
+    looked up among all runs of seven words, and only those texts are searched; items of fewer words meet all texts.
+    """
+    words = F.split("text", " ")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target"), words.alias("words"))
+    long = b.where(F.size("words") >= 9)
+    run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 7), " "))
     docs_ = table(spark, sf_dir, "documents").select("text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("target"))
-    # the items are the short side; documents stream past them
-    found = docs_.join(F.broadcast(b), F.contains("text", F.col("target"))).select("item_id").distinct()
-    return b.join(found, "item_id", "left_anti").select("item_id")
+    runs = docs_.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 6, F.lit(1))), lambda i: run(words, i)))))
+    held = runs.join(long.select("item_id", "target", run(F.col("words"), 2).alias("run")), "run").where(F.contains("text", F.col("target"))).select("item_id")
+    short = docs_.join(b.where(F.size("words") < 9), F.contains("text", F.col("target"))).select("item_id")
+    return b.join(held.unionByName(short).distinct(), "item_id", "left_anti").select("item_id")
 
 
 def similar_symbols(spark, sf_dir):
@@ -98,7 +132,7 @@ def convention_tags_top5(spark, sf_dir):
 
 
 def churn_30d(spark, sf_dir):
-    return repos.churn(commits(spark, sf_dir), 7)
+    return repos.churn(commits(spark, sf_dir))
 
 
 def bugfix_ratio_last30(spark, sf_dir):
@@ -214,7 +248,7 @@ def package_of_paths(spark, sf_dir):
     return spark.createDataFrame(rows, "path string").select("path", paths.package(F.col("path")).alias("package"))
 
 
-_NAMES = """focus_neighbors impact_risk_tier arch_violations test_gap_anti test_gap_texts similar_symbols api_surface_counts package_summary purpose_string hot_symbols_usage
+_NAMES = """focus_neighbors focus_two_hops package_proximity impact_references symbol_risk impact_risk_tier arch_violations test_gap_anti test_gap_texts similar_symbols api_surface_counts package_summary purpose_string hot_symbols_usage
 convention_tags_top5 churn_30d bugfix_ratio_last30 fragile_score logistic_risk range_hunk_symbols diff_ranges review_bundle asof_enclosing dict_path_ids dict_delta dict_expand
 mermaid_edges index_counts explain_names why_file query_login navigate_login dep_requirements stale_files package_of_paths""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -228,6 +262,17 @@ bf AS (SELECT path, avg((event_type = 'error')::INT) AS bugfix FROM (SELECT *, r
 _A, _D, _L = "src/auth.rs", "src/db.rs", "src/lib.rs"
 ORACLES = {
     "focus_neighbors": f"WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT 's3' AS node, 1.0 AS score UNION SELECT dst, 0.5 FROM b WHERE src = 's3' AND dst <> 's3') SELECT node, score::DOUBLE AS score, count(y.path)::INTEGER AS n FROM n LEFT JOIN y ON y.path = node GROUP BY node, score",
+    "focus_two_hops": f"""WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = 'n3'), h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node),
+h AS (SELECT node, min(k) AS k FROM (SELECT 'n3' AS node, 0 AS k UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node)
+SELECT CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END::DOUBLE AS score, count(DISTINCT node) AS n, count(y.path) AS symbols FROM h LEFT JOIN y ON y.path = node GROUP BY 1""",
+    "package_proximity": """SELECT p_brand AS package, count(*) AS files, round(avg(CASE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE / (1 + p_partkey % 4) ELSE 0.1::DOUBLE END), 6) AS score FROM part GROUP BY p_brand HAVING score >= 0.05""",
+    "impact_references": f"""WITH {_E}, {_SYM}, {_HOT.format(k=10)}, c AS (SELECT DISTINCT 'o' || l_orderkey AS o, 'p' || l_partkey AS p FROM lineitem WHERE l_linenumber < 7), ps AS (SELECT DISTINCT 'p' || l_partkey AS name FROM lineitem),
+a AS (SELECT unnest(['NATION_1', 'NATION_2', 'p42']) AS symbol), sy AS (SELECT name, path FROM y UNION ALL SELECT name, 'parts' FROM ps), d AS (SELECT symbol, min(path) AS path FROM a JOIN sy ON name = symbol GROUP BY symbol),
+r AS (SELECT symbol, count(*) AS n FROM a JOIN sy ON contains(name, symbol) AND name <> symbol GROUP BY symbol), f AS (SELECT p AS symbol, count(*) AS n FROM c GROUP BY p),
+d1 AS (SELECT symbol, src AS node FROM d JOIN e ON dst = path), dd AS (SELECT * FROM d1 UNION SELECT symbol, src FROM d1 JOIN e ON dst = node), dn AS (SELECT symbol, count(*) AS n, bool_or(hot.node IS NOT NULL) AS h FROM dd LEFT JOIN hot ON hot.node = dd.node GROUP BY symbol)
+SELECT d.symbol, coalesce(r.n, 0)::INTEGER AS ref_count, coalesce(f.n, 0)::INTEGER AS n_affected, coalesce(f.n, 0) AS fan_in,
+  CASE WHEN coalesce(r.n, 0) > 10 OR coalesce(f.n, 0) > 10 OR coalesce(h, FALSE) THEN 'high' WHEN coalesce(r.n, 0) > 3 OR coalesce(f.n, 0) > 3 OR coalesce(dn.n, 0) > 0 THEN 'medium' ELSE 'low' END AS risk
+FROM d LEFT JOIN r USING (symbol) LEFT JOIN f USING (symbol) LEFT JOIN dn USING (symbol)""",
     "impact_risk_tier": f"""WITH {_E}, {_SYM}, {_HOT.format(k=10)}, d1 AS (SELECT name, src AS node FROM y JOIN e ON dst = path WHERE name IN ('NATION_3', 'Supplier#000000003', 'NATION_7')),
 d AS (SELECT * FROM d1 UNION SELECT name, src FROM d1 JOIN e ON dst = node), s AS (SELECT y.name, count(d.node) AS n, bool_or(hot.node IS NOT NULL) AS h FROM y LEFT JOIN d USING (name) LEFT JOIN hot ON hot.node = d.node WHERE y.name IN ('NATION_3', 'Supplier#000000003', 'NATION_7') GROUP BY y.name)
 SELECT name AS symbol, n::INTEGER AS n_dependents, 0::BIGINT AS fan_in, CASE WHEN h THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS risk FROM s""",
@@ -236,7 +281,7 @@ SELECT a.layer AS src_layer, b.layer AS dst_layer, count(*) AS n FROM (SELECT DI
 JOIN supplier ON l_suppkey = s_suppkey JOIN g b ON s_nationkey = b.k WHERE (a.layer, b.layer) IN (('ASIA', 'EUROPE'), ('AFRICA', 'AMERICA')) GROUP BY ALL""",
     "test_gap_anti": """WITH t AS (SELECT unnest(['test_' || lower(n_name) || '_f', lower(n_name) || '_f', '_' || lower(n_name) || '_f']) AS t FROM nation WHERE n_regionkey = 0)
 SELECT 'src/n.py' AS path, n_nationkey AS line, lower(n_name) || '_fn' AS name FROM nation WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(lower(n_name) || '_fn', t) OR contains(t, lower(n_name) || '_fn'))""",
-    "test_gap_texts": "WITH b AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS t FROM benchmark) SELECT item_id FROM b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.t))",
+    "test_gap_texts": "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))",
     "similar_symbols": """WITH s AS (SELECT p_name AS name, p_brand AS path, p_partkey::INTEGER AS line, p_brand || ' ' || p_type AS sig, p_type AS kind FROM part),
 t AS (SELECT * FROM s WHERE name = 'red widget' ORDER BY path, line LIMIT 1),
 c AS (SELECT s.name, s.path, s.line, CASE WHEN s.kind = t.kind THEN 0.4 ELSE 0 END + CASE WHEN len(s.sig) - len(replace(s.sig, '(', '')) = len(t.sig) - len(replace(t.sig, '(', '')) THEN 0.2 ELSE 0 END
@@ -252,12 +297,16 @@ SELECT name, coalesce(u.n, 0) AS n FROM n LEFT JOIN u ON p_name = name ORDER BY
     "convention_tags_top5": """WITH t AS (SELECT source AS package, unnest([CASE WHEN contains(text, 'the ') THEN 'the' END, CASE WHEN contains(text, 'icensed') THEN 'licence' END, CASE WHEN contains(text, 'token') THEN 'token' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN contains(text, '!!') THEN 'shout' END, CASE WHEN contains(text, '$$$') THEN 'shout' END]) AS tag FROM documents),
 c AS (SELECT package, tag, row_number() OVER (PARTITION BY package ORDER BY count(*) DESC, tag) AS k FROM t WHERE tag IS NOT NULL GROUP BY package, tag)
 SELECT p.package, coalesce(string_agg(tag, ',' ORDER BY k) FILTER (k <= 3), '') AS tags FROM (SELECT DISTINCT source AS package FROM documents) p LEFT JOIN c USING (package) GROUP BY 1""",
-    "churn_30d": "SELECT user_id::VARCHAR AS path, count(*) AS churn FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1",
+    "churn_30d": "SELECT user_id::VARCHAR AS path, count(*) AS churn FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS GROUP BY 1",
     "bugfix_ratio_last30": "SELECT user_id::VARCHAR AS path, round(avg((event_type = 'error')::INT), 6) AS bugfix_ratio FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 30 GROUP BY 1",
     "fragile_score": f"WITH {_E}, {_HOT.format(k=20)}, {_CH} SELECT node, dependents, coalesce(churn, 0) AS churn, round(dependents * (1 + 0.1::DOUBLE * coalesce(churn, 0)), 6) AS score FROM hot LEFT JOIN ch ON path = node ORDER BY dependents * (1 + 0.1::DOUBLE * coalesce(churn, 0)) DESC, node LIMIT 10",
     "logistic_risk": f"""WITH {_E}, {_HOT.format(k=10)}, {_CH}, {_SYM},
 p AS (SELECT node AS target, 1 / (1 + exp(-(0.15::DOUBLE * dependents + 0.1 * coalesce(churn, 0) + 0.25 * coalesce(bugfix, 0) + 0.05 * coalesce((SELECT ln(1 + count(*)) FROM y WHERE y.path = node HAVING count(*) > 0), 0) + CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.path = node) THEN 0.2 ELSE 0 END - 2))) AS score FROM hot LEFT JOIN ch ON ch.path = node LEFT JOIN bf ON bf.path = node)
 SELECT target, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM p ORDER BY p.score DESC, target LIMIT 10""",
+    "symbol_risk": f"""WITH {_E}, {_CH}, {_SYM}, deg AS (SELECT node, count(dst) AS dependents FROM nodes LEFT JOIN e ON dst = node GROUP BY node),
+p AS (SELECT name AS target, 1 / (1 + exp(-(0.15::DOUBLE * coalesce(dependents, 0) + 0.1 * coalesce(churn, 0) + 0.25 * coalesce(bugfix, 0) + 0.05 + 0.2 - 2))) AS score FROM y LEFT JOIN deg ON deg.node = y.path LEFT JOIN ch ON ch.path = y.path LEFT JOIN bf ON bf.path = y.path
+  WHERE name IN ('NATION_3', 'Supplier#000000003', 'NATION_7'))
+SELECT target, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM p""",
     "range_hunk_symbols": """WITH h(f, a, b) AS (VALUES ('Brand#2', 10, 400), ('Brand#7', 100, 900), ('x/Brand#3', 0, 50), ('Brand#9', NULL, NULL))
 SELECT DISTINCT p_brand AS path, p_name AS name, p_partkey::INTEGER AS line FROM part JOIN h ON p_brand = regexp_extract(f, '[^/]*$') AND (a IS NULL OR p_partkey BETWEEN a AND b)""",
     "diff_ranges": values("file, start, \"end\"", [(_A, 3, 4), (_A, 7, 7), (_D, None, None)]),

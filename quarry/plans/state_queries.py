@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import graph
 from quarry.plans.tables import table
+from quarry.sources import sinks
 from quarry.streaming import changes, locks, loops
 
 
@@ -50,16 +54,15 @@ def stream_window_counts(spark, sf_dir):
 
 
 def stream_session_counts(spark, sf_dir):
-    """Bursts of a user's events; those that the watermark has passed."""
+    """Bursts of a user's events from a stream, those that are open at its end included."""
     stream = _changes(changes.stream_of(spark, sf_dir, "events"))
-    out = changes.ran(changes.session_counts(stream, "6 hours"), "sessions")
+    out = f"{changes.shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    changes.ran(changes.session_counts(stream, "6 hours"), "sessions", "complete", lambda batch, number: batch.write.mode("overwrite").parquet(out))
     return spark.read.parquet(out).select("path", F.col("start").cast("string").alias("start"), "n")
 
 
 def stream_upserts(spark, sf_dir):
     """A table of files kept from the stream of changes."""
-    import uuid
-
     stream = _changes(changes.stream_of(spark, sf_dir, "events"))
     folder = f"{changes.shared_dir(spark)}/files-{uuid.uuid4().hex}"
     last = [0]
@@ -79,8 +82,27 @@ def lock_fold(spark, sf_dir):
 
 def stream_locks(spark, sf_dir):
     stream = _locks(changes.stream_of(spark, sf_dir, "events"))
-    out = changes.ran(locks.stream_folded(stream), "locks")
-    return spark.read.parquet(out).select("path", F.col("ts").cast("string").alias("ts"), "op", "block_key", "result", "held_by")
+    folder = f"{changes.shared_dir(spark)}/leases-{uuid.uuid4().hex}"
+    changes.ran(stream, "locks", "append", locks.maintain(stream, folder))
+    return spark.read.parquet(f"{folder}/results-*").select("path", F.col("ts").cast("string").alias("ts"), "op", "block_key", "result", "held_by")
+
+
+def lock_awaits(spark, sf_dir):
+    """Each user waits on the path of the last signup for five days; the holders are those of the last click on a path."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("path"))
+    held = e.where("event_type = 'click' AND event_id % 3 > 0").groupBy("path").agg(F.max_by("user_id", "event_id").cast("string").alias("block_key"))
+    last = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max_by(F.struct("path", "ts"), "event_id").alias("w"))
+    waits = last.select(F.col("user_id").cast("string").alias("waiter"), "w.path", F.col("w.ts").alias("since"), F.lit(5 * 86400).alias("seconds"))
+    now = e.agg(F.max("ts").cast("string").alias("now")).first()["now"]
+    return locks.awaited(waits, held, now)
+
+
+def wait_cycle(spark, sf_dir):
+    """A shortest cycle of waits."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").alias("path"))
+    held = e.where("event_type = 'click'").groupBy("path").agg(F.max_by("user_id", "event_id").cast("string").alias("dst"))
+    waits = e.where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("src"), "path").distinct()
+    return graph.cycle_path(waits.join(held, "path").select("src", "dst").distinct())
 
 
 def deadlock_cycles(spark, sf_dir):
@@ -92,7 +114,7 @@ def deadlock_cycles(spark, sf_dir):
 
 
 def session_outcomes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("block_key"), F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"))
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("block_key"), F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "timed_out").otherwise("running").alias("status"))
     return locks.outcome_counts(locks.sessions(e))
 
 
@@ -105,27 +127,59 @@ def loop_touched(spark, sf_dir):
     return loops.touched(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("role").alias("path"))).select("session", "iterations", F.array_join("files", ",").alias("files"))
 
 
+def loop_iterations(spark, sf_dir):
+    """Iterations kept one by one as artifacts of their session, and read back."""
+    ticks = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("iteration"), F.col("role").alias("goal"))
+    folder = f"{changes.shared_dir(spark)}/loops-{uuid.uuid4().hex}"
+    sinks.write_iterations(ticks, folder)
+    return sinks.read_session(spark, folder, "7").select("iteration", "goal")
+
+
 def usage_counters(spark, sf_dir):
     return loops.usage(table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("key")))
 
 
-_NAMES = "debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks deadlock_cycles session_outcomes loop_signals loop_touched usage_counters".split()
+_NAMES = "debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks lock_awaits wait_cycle deadlock_cycles session_outcomes loop_signals loop_touched loop_iterations usage_counters".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _WINDOWS = "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY ALL"
+_SESSIONS = """SELECT path, min(ts)::VARCHAR AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT user_id::VARCHAR AS path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY path, k"""
+# steps through the events of all paths at once: the k-th of each path hangs on the one before
+_FOLD = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, op, who) AS k FROM (
+  SELECT props->>'$.k' AS path, ts, CASE event_type WHEN 'click' THEN 'claim' ELSE 'release' END AS op, user_id::VARCHAR AS who FROM events WHERE event_type IN ('click', 'purchase'))),
+f AS (SELECT path, 0::BIGINT AS k, NULL::TIMESTAMP AS ts, '' AS op, '' AS who, '' AS result, NULL::VARCHAR AS holder, NULL::TIMESTAMP AS until FROM (SELECT DISTINCT path FROM e)
+  UNION ALL SELECT path, k, ts, op, who, CASE WHEN op = 'claim' AND (live IS NULL OR live = who) OR op = 'release' AND live = who THEN 'ok' WHEN live IS NULL THEN 'none' ELSE 'held' END,
+    CASE WHEN op = 'claim' THEN coalesce(live, who) WHEN live = who THEN NULL ELSE live END, CASE WHEN op = 'claim' AND (live IS NULL OR live = who) THEN ts + INTERVAL 600 SECONDS ELSE until END
+  FROM (SELECT e.path, e.k, e.ts, e.op, e.who, CASE WHEN f.until > e.ts THEN f.holder END AS live, f.until FROM f JOIN e ON e.path IS NOT DISTINCT FROM f.path AND e.k = f.k + 1))
+SELECT path, ts::VARCHAR AS ts, op, who AS block_key, result, holder AS held_by FROM f WHERE k > 0"""
 _LAST = "l AS (SELECT user_id::VARCHAR AS path, arg_max(event_type, ts) AS k, arg_max(event_id, ts)::VARCHAR AS content FROM events GROUP BY 1)"
 ORACLES = {
     "debounced_changes": "SELECT user_id::VARCHAR AS path, event_id::VARCHAR AS content FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) WHERE nx IS NULL OR nx - ts > INTERVAL 6 HOURS",
     "applied_changes": f"WITH {_LAST} SELECT c_custkey::VARCHAR AS path, c_name AS content FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT path FROM l) UNION ALL SELECT path, content FROM l WHERE k <> 'error'",
     "window_counts": _WINDOWS,
     "stream_window_counts": _WINDOWS,
+    "stream_session_counts": _SESSIONS,
+    "lock_fold": _FOLD,
+    "stream_locks": _FOLD,
+    "lock_awaits": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS u, event_type, event_id, ts, props->>'$.k' AS path FROM events), h AS (SELECT path, arg_max(u, event_id) AS h FROM e WHERE event_type = 'click' AND event_id % 3 > 0 GROUP BY path),
+w AS (SELECT u, arg_max(path, event_id) AS path, arg_max(ts, event_id) AS since FROM e WHERE event_type = 'signup' GROUP BY u), g AS (SELECT DISTINCT u AS a, h AS b FROM w JOIN h USING (path)),
+c AS (SELECT a, b FROM g UNION SELECT c.a, g.b FROM c JOIN g ON c.b = g.a), d AS (SELECT DISTINCT a FROM c WHERE a = b)
+SELECT u AS waiter, w.path, CASE WHEN h IS NULL THEN 'ready' WHEN u IN (SELECT a FROM d) THEN 'deadlock' WHEN (SELECT max(ts) FROM e) >= since + INTERVAL 5 DAYS THEN 'timeout' ELSE 'waiting' END AS status FROM w LEFT JOIN h USING (path)""",
+    "wait_cycle": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS u, event_type, event_id, props->>'$.k' AS path FROM events), h AS (SELECT path, arg_max(u, event_id) AS h FROM e WHERE event_type = 'click' GROUP BY path),
+g AS (SELECT DISTINCT u AS a, h AS b FROM e JOIN h USING (path) WHERE event_type = 'signup'), c AS (SELECT a, b FROM g UNION SELECT c.a, g.b FROM c JOIN g ON c.b = g.a),
+s AS (SELECT min(a) AS s FROM c WHERE a = b), p AS (SELECT [s] AS way, s AS here, FALSE AS closed FROM s WHERE s IS NOT NULL
+  UNION ALL SELECT list_append(way, b), b, b = way[1] FROM p JOIN g ON a = here WHERE NOT closed AND len(way) < 7 AND (b = way[1] OR NOT list_contains(way, b))),
+best AS (SELECT way FROM p WHERE closed ORDER BY len(way), way LIMIT 1)
+SELECT (i - 1)::INTEGER AS place, way[i] AS node FROM (SELECT way, unnest(range(1, len(way) + 1)) AS i FROM best)""",
     "stream_upserts": f"WITH {_LAST} SELECT path, content FROM l WHERE k <> 'error'",
     "deadlock_cycles": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS u, event_type, event_id, props->>'$.k' AS path FROM events), h AS (SELECT path, arg_max(u, event_id) AS h FROM e WHERE event_type = 'click' GROUP BY path),
 w AS (SELECT u, arg_max(path, event_id) AS path FROM e WHERE event_type = 'signup' GROUP BY u), g AS (SELECT DISTINCT u AS a, h AS b FROM w JOIN h USING (path)),
 c AS (SELECT a, b FROM g UNION SELECT c.a, g.b FROM c JOIN g ON c.b = g.a) SELECT DISTINCT a AS node FROM c WHERE a = b""",
-    "session_outcomes": "SELECT status, count(*) AS n FROM (SELECT user_id, coalesce(arg_min(CASE event_type WHEN 'purchase' THEN 'done' ELSE 'failed' END, ts) FILTER (event_type IN ('purchase', 'error')), 'running') AS status FROM events GROUP BY user_id) GROUP BY status",
+    "session_outcomes": "SELECT status, count(*) AS n FROM (SELECT user_id, coalesce(arg_min(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'timed_out' ELSE 'failed' END, ts) FILTER (event_type IN ('purchase', 'error', 'signup')), 'running') AS status FROM events GROUP BY user_id) GROUP BY status",
     "loop_signals": """SELECT conv_id AS session, i::INTEGER AS iteration, CASE WHEN i % 3 = 0 THEN 0 ELSE s END::INTEGER AS stale_count, i % 3 = 0 AS reindexed, TRUE AS recommended, s >= 5 AND i % 3 <> 0 AS pause, i >= 4 AS stop
 FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(text) % 9 AS s FROM conversations)""",
     "loop_touched": "SELECT conv_id AS session, count(*) AS iterations, array_to_string(list_sort(list(DISTINCT role)), ',') AS files FROM conversations GROUP BY 1",
+    "loop_iterations": "SELECT turn AS iteration, role AS goal FROM conversations WHERE conv_id = 7",
     "usage_counters": "SELECT event_type AS tool, props->>'$.k' AS key, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -131,6 +131,18 @@ def git_diff(root: str, base: str = "HEAD") -> str:
     return text or _git(root, "diff", "--unified=0", "HEAD")
 
 
+def git_show(root: str, sha: str) -> str:
+    """The diff of a commit against its first parent, without context."""
+    return _git(root, "show", "--first-parent", "--unified=0", "--format=", sha)
+
+
+def git_blame(root: str, path: str, line: int = 1) -> str:
+    """`<short sha> <subject>` of the commit that last changed a line."""
+    head = _git(root, "blame", "--porcelain", "-L", f"{line},{line}", "--", path).split("\n")
+    subject = next((x[8:] for x in head if x.startswith("summary ")), "")
+    return f"{head[0][:7]} {subject}" if head[0] else ""
+
+
 def churn(commits: DataFrame, days: int = 30, now: Column | None = None) -> DataFrame:
     """(path, churn): commits of the last days, up to the latest commit of all unless a time is given."""
     if now is None:

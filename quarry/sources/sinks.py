@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
 from quarry.operators import graph
+from quarry.sources.checkpoints import remove
 
 NODES = 80
 
@@ -62,3 +63,17 @@ def report(name: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, su
     out += ["## Packages", "", "| Package | Files | Score | Purpose |", "|---|---|---|---|", *(f"| {r['package']} | {r['files']} | {r['score']:.2f} | {r['purpose'] or ''} |" for r in packs), ""]
     out += ["## Hot symbols", "", *(f"- `{r['name']}`" for r in hot.collect()), "", "## Questions", "", *(f"- What breaks if `{r['node']}` changes? ({r['dependents']} dependents)" for r in top[:5] if r["dependents"]), ""]
     return "\n".join(out)
+
+
+def write_iterations(ticks: DataFrame, folder: str) -> None:
+    """Appends iterations (session, iteration, ...) to the log of loop sessions, which is kept by session."""
+    ticks.write.mode("append").partitionBy("session").parquet(folder)
+
+
+def read_session(spark: SparkSession, folder: str, session: str) -> DataFrame:
+    """The iterations of one session; only its part of the log is read."""
+    return spark.read.schema(spark.read.parquet(folder).schema).parquet(folder).where(F.col("session") == session)
+
+
+def delete_session(spark: SparkSession, folder: str, session: str) -> None:
+    remove(spark, f"{folder}/session={session}")

@@ -18,14 +18,14 @@ CHANGES = "repo string, path string, op string, ts timestamp, content string"
 
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change of each path."""
+    """The last change of each path; of equal times the last by op and content."""
     row = F.struct(*(c for c in changes.columns if c not in ("repo", "path")))
-    return changes.groupBy("repo", "path").agg(F.max_by(row, "ts").alias("_r")).select("repo", "path", "_r.*")
+    return changes.groupBy("repo", "path").agg(F.max_by(row, F.struct("ts", "op", "content")).alias("_r")).select("repo", "path", "_r.*")
 
 
 def debounced(changes: DataFrame, quiet: str = "100 milliseconds") -> DataFrame:
-    """The last change of every burst of a path: one that none follows within the quiet time."""
-    w = Window.partitionBy("path").orderBy("ts")
+    """The last change of every burst of a path: one that none follows within the quiet time; equal times go by op and content."""
+    w = Window.partitionBy("path").orderBy("ts", "op", "content")
     after = F.lead("ts").over(w)
     return changes.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") - F.col("ts") > F.expr(f"INTERVAL {quiet}"))).drop("_next")
 

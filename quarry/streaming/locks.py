@@ -8,17 +8,16 @@ the fold streams over events sorted by path and time, whatever their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from quarry.operators.graph import cycle_members
+from quarry.sources.checkpoints import cut
 from quarry.sources.package import send_package
 
 TTL = 600
@@ -42,7 +41,7 @@ class Lease:
         if self.holder == who:
             self.holder = None
             return "ok", None
-        if op == "done":
+        if op in ("done", "end"):
             return "none", self.holder
         return ("held" if self.holder else "none"), self.holder
 
@@ -63,47 +62,62 @@ def by_path(events: DataFrame) -> DataFrame:
     return events.where("op <> 'done'").unionByName(ends.select(*events.columns))
 
 
-def _rows(pdf: pd.DataFrame, path: str, lease: Lease, ttl: float) -> list[tuple]:
-    return [(path, r.ts, r.op, r.block_key, *lease.step(r.ts.timestamp(), r.op, r.block_key, ttl)) for r in pdf.itertuples()]
+ORDER = ["ts", "op", "block_key"]
 
 
-def folded(events: DataFrame, ttl: float = TTL) -> DataFrame:
-    """RESULT for every event, in order of time; of equal times the first by order, op and block."""
-    names = [c.split()[0] for c in RESULT.split(", ")]
+def folded(events: DataFrame, ttl: float = TTL, leases: DataFrame | None = None) -> DataFrame:
+    """RESULT and expires (of the lease afterwards) for every event, in order of time; of equal times by op, then block.
+
+    leases (path, holder, expires) are those that run before the first event. The events of one path are
+    one task's by nature, as each result hangs on the one before; paths are dealt to tasks.
+    """
+    names = [*(c.split()[0] for c in RESULT.split(", ")), "expires"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, lease = None, Lease()
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.itertuples():
-                if r.path != path:
-                    path, lease = r.path, Lease()
-                out.append((r.path, r.ts, r.op, r.block_key, *lease.step(r.ts.timestamp(), r.op, r.block_key, ttl)))
+            for at, ts, op, who, until in zip(*(batch[c].array for c in ("path", "ts", "op", "block_key", "expires")), strict=True):
+                if at != path:
+                    path, lease = at, Lease()
+                if op == "lease":
+                    lease = Lease(who, until)
+                else:
+                    out.append((at, ts, op, who, *lease.step(ts.timestamp(), op, who, ttl), lease.expires if lease.holder else None))
             yield pd.DataFrame(out, columns=names)
 
     send_package(events.sparkSession)
-    rows = by_path(events).select("path", "ts", "op", "block_key")
-    return rows.repartition("path").sortWithinPartitions("path", "ts", "op", "block_key").mapInPandas(run, RESULT)
-
-
-def stream_folded(events: DataFrame, ttl: float = TTL, late: str = "1 hour") -> DataFrame:
-    """The same over a stream; the state of a path is dropped when its lease has run out."""
-    names = [c.split()[0] for c in RESULT.split(", ")]
-
-    def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        lease = Lease(*state.get) if state.exists else Lease()
-        rows = pd.concat(list(batches)).sort_values(["ts", "op", "block_key"])
-        out: list[Any] = _rows(rows, key[0], lease, ttl)
-        state.update((lease.holder, lease.expires))
-        state.setTimeoutTimestamp(max(int(lease.expires * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
-
-    send_package(events.sparkSession)
-    marked = events.withWatermark("ts", late)
-    return marked.groupBy("path").applyInPandasWithState(run, RESULT, "holder string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = by_path(events).select("path", F.lit(1).alias("after"), *ORDER, F.lit(None).cast("double").alias("expires"))
+    if leases is not None:
+        rows = rows.unionByName(leases.select("path", F.lit(0).alias("after"), F.lit(None).cast("timestamp").alias("ts"), F.lit("lease").alias("op"), F.col("holder").alias("block_key"), "expires"))
+    return rows.repartition("path").sortWithinPartitions("path", "after", *ORDER).mapInPandas(run, f"{RESULT}, expires double")
+
+
+def maintain(stream: DataFrame, folder: str, ttl: float = TTL) -> Callable[[DataFrame, int], None]:
+    """A batch function that folds a stream of events, ends of sessions included, in the order of its batches.
+
+    Version n + 1 of the leases and of the paths that each running session has claimed is version n with the batch
+    folded; results of the batch are in folder/results-n. A repeated batch writes the same again.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = f"{folder}/v{number}"
+        leases = spark.read.parquet(f"{before}/leases") if number else spark.createDataFrame([], "path string, holder string, expires double")
+        claimed = spark.read.parquet(f"{before}/claimed") if number else spark.createDataFrame([], "path string, block_key string")
+        rows = cut(batch.select("op", "path", "ts", "block_key"))
+        claims = cut(claimed.unionByName(rows.where("op = 'claim'").select("path", "block_key")).distinct())
+        # an end reaches all that its session has claimed, in this batch or before
+        ends = rows.where("op = 'done'").drop("path").join(claims, "block_key").select(*rows.columns)
+        results = cut(folded(rows.where("op <> 'done'").unionByName(ends.withColumn("op", F.lit("end"))), ttl, leases))
+        results.withColumn("op", F.when(F.col("op") == "end", "done").otherwise(F.col("op"))).write.mode("overwrite").parquet(f"{folder}/results-{number}")
+        last = results.groupBy("path").agg(F.max_by(F.struct(F.col("held_by").alias("holder"), "expires"), F.struct(*ORDER)).alias("lease"))
+        kept = leases.join(last, "path", "left_anti").unionByName(last.where("lease.holder IS NOT NULL").select("path", "lease.*"))
+        kept.write.mode("overwrite").parquet(f"{folder}/v{number + 1}/leases")
+        ended = rows.where("op = 'done'").select("block_key").distinct()
+        claims.join(ended, "block_key", "left_anti").select("path", "block_key").write.mode("overwrite").parquet(f"{folder}/v{number + 1}/claimed")
+
+    return keep
 
 
 def holders(results: DataFrame, now: str, ttl: float = TTL) -> DataFrame:
@@ -114,14 +128,24 @@ def holders(results: DataFrame, now: str, ttl: float = TTL) -> DataFrame:
     return changed.where((F.col("op") == "claim") & (expires > F.lit(now).cast("timestamp"))).select("path", "block_key", expires.alias("expires"))
 
 
+def awaited(waits: DataFrame, held: DataFrame, now: str) -> DataFrame:
+    """(waiter, path, status) at a time of waits (waiter, path, since, seconds): ready if nobody else's lease (path, block_key) runs,
+    deadlock if the waiter waits for itself through the holders, timeout if it has waited its seconds, else waiting."""
+    cycle = deadlocked(waits, held).select(F.col("node").alias("waiter"), F.lit(True).alias("_cycle"))
+    late = F.lit(now).cast("timestamp") >= F.col("since") + F.make_dt_interval(secs=F.col("seconds").cast("double"))
+    status = F.when(F.col("block_key").isNull(), "ready").when(F.col("_cycle"), "deadlock").when(late, "timeout").otherwise("waiting")
+    return waits.join(held.select("path", "block_key"), "path", "left").join(cycle, "waiter", "left").select("waiter", "path", status.alias("status"))
+
+
 def deadlocked(waits: DataFrame, held: DataFrame) -> DataFrame:
     """(node): waiters (waiter, path) that wait for themselves through the holders (path, block_key)."""
     return cycle_members(waits.join(held, "path").select(F.col("waiter").alias("src"), F.col("block_key").alias("dst")))
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """(block_key, status, started, ended) from (ts, block_key, status): the first end counts, later ones are rejected."""
-    w = Window.partitionBy("block_key").orderBy("ts")
+    """(block_key, status, started, ended) from (ts, block_key, status): the first end (done, failed, timed_out) counts, of equal times
+    the first by name; later ones are rejected."""
+    w = Window.partitionBy("block_key").orderBy("ts", "status")
     ends = events.where(F.col("status") != "running").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("block_key", F.col("status").alias("_end"), F.col("ts").alias("ended"))
     starts = events.groupBy("block_key").agg(F.min("ts").alias("started"))
     return starts.join(ends, "block_key", "left").select("block_key", F.coalesce("_end", F.lit("running")).alias("status"), "started", "ended")
