@@ -90,10 +90,11 @@ def symbols(files: DataFrame) -> DataFrame:
 def _found(column: str, head: str, name: str, tail: str = "") -> Column:
     """struct(text, character) of a pattern whose name starts behind its head, or null."""
     pattern = f"{_U}{head}({name}){tail}"
-    before = f"{_U}({head}){name}{tail}"
+    before = f"{_U}({head})(?:{name}){tail}"
     return F.when(F.col(column).rlike(pattern), F.struct(F.regexp_extract(column, pattern, 1).alias("text"), F.length(F.regexp_extract(column, before, 1)).alias("character")))
 
 
+# Imports of relative modules.
 _TS_FROM = r"""(?:import|export)\s[\s\S]*?from\s+['"]([./][^'"]+)['"]"""
 _TS_SIDE = r"""import\s+['"]([./][^'"]+)['"]"""
 

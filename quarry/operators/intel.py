@@ -125,6 +125,12 @@ def violations(edges: DataFrame, layers: Sequence[tuple[str, Sequence[str]]], de
     return rule_violations(marked, spark.createDataFrame(list(deny), "src_layer string, dst_layer string"), spark.createDataFrame(list(allow), "src_layer string, dst_layer string") if allow else None)
 
 
+def checked_edges(edges: DataFrame, layers: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(checked, between): how many edges there are, and how many lie between two layers."""
+    a, b = layer_of(F.col("src"), layers), layer_of(F.col("dst"), layers)
+    return edges.agg(F.count("*").alias("checked"), F.count_if(a.isNotNull() & b.isNotNull() & (a != b)).alias("between"))
+
+
 def rule_violations(marked: DataFrame, deny: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Edges with layers (src_layer, dst_layer) against rule tables; rules are a list in the configuration."""
     on = ["src_layer", "dst_layer"]

@@ -124,3 +124,69 @@ def encoded_symbols(symbols: DataFrame) -> DataFrame:
     """(path, line, name, json): symbols with short keys; empty fields are left out."""
     code = F.coalesce(*(F.when(F.col("kind") == k, F.lit(c)) for k, c in KIND_CODES.items()))
     return symbols.select("path", "line", "name", F.to_json(F.struct(F.col("name").alias("n"), code.alias("k"), F.nullif(F.col("signature"), F.lit("")).alias("g"), F.col("line").alias("l"))).alias("json"))
+
+
+def _list(column: str) -> Column:
+    """A list, or null if it is empty."""
+    return F.when(F.size(column) > 0, F.col(column))
+
+
+def _coded(*fields: Column) -> Column:
+    """JSON of the fields that aren't null; the codes of empty texts and lists are left out."""
+    return F.to_json(F.struct(*fields))
+
+
+def _text(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(""))
+
+
+def _symbols(column: str) -> Column:
+    code = lambda k: F.coalesce(*(F.when(k == name, F.lit(c)) for name, c in KIND_CODES.items()))
+    return F.when(F.size(column) > 0, F.transform(column, lambda x: F.struct(x["name"].alias("n"), code(x["kind"]).alias("k"), x["line"].alias("l"))))
+
+
+def encoded_packages(summaries_: DataFrame, purposes_: DataFrame) -> DataFrame:
+    """(repo, package, json) of package summaries: name, purpose, files, score."""
+    rows = summaries_.join(purposes_, ["repo", "package"], "left")
+    return rows.select("repo", "package", _coded(F.col("package").alias("n"), _text("purpose").alias("p"), F.col("files").alias("f"), F.col("score").alias("s")).alias("json"))
+
+
+def encoded_details(entries: DataFrame) -> DataFrame:
+    """(repo, package, json) of file entries: a package's files with symbols, what they depend on and what on them."""
+    one = F.struct(F.col("path").alias("p"), _symbols("symbols").alias("sy"), _list("depends_on").alias("d"), _list("depended_by").alias("b"))
+    rows = entries.withColumn("package", paths.package(F.col("path"))).select("repo", "package", "path", one.alias("one"))
+    grouped_ = rows.groupBy("repo", "package").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", F.to_json("one").alias("json")))), lambda x: x["json"]).alias("f"))
+    return grouped_.select("repo", "package", F.concat(F.lit('{"n":'), F.to_json(F.array("package")).substr(F.lit(2), F.length(F.to_json(F.array("package"))) - 2), F.lit(',"f":['), F.array_join("f", ","), F.lit("]}")).alias("json"))
+
+
+def encoded_matches(found: DataFrame) -> DataFrame:
+    """found with json: the first letter of the kind, name, detail, score, hint."""
+    return found.withColumn("json", _coded(F.substring("kind", 1, 1).alias("k"), F.col("name").alias("n"), _text("detail").alias("d"), F.col("score").alias("s"), _text("hint").alias("h")))
+
+
+def encoded_focus(near: DataFrame) -> DataFrame:
+    """(node, json) of the neighbours (node, score, symbols) of a file."""
+    return near.select("node", _coded(F.col("node").alias("p"), F.col("score").alias("sc"), _symbols("symbols").alias("sy")).alias("json"))
+
+
+def encoded_impacts(impacts: DataFrame) -> DataFrame:
+    """(symbol, json): definition, references and their number, dependents, affected functions, fan-in, risk."""
+    place = lambda x: F.struct(x["path"].alias("p"), x["line"].alias("l"))
+    fields = (F.col("symbol").alias("sym"), F.when(F.col("definition").isNotNull(), place(F.col("definition"))).alias("def"), F.transform("references", place).alias("rf"), F.col("ref_count").alias("rc"))
+    more = (_list("dependents").alias("df"), _list("affected").alias("af"), F.nullif("fan_in", F.lit(0)).alias("fi"), F.col("risk").alias("risk"))
+    return impacts.select("symbol", _coded(*fields, *more).alias("json"))
+
+
+def encoded_task(query: str, found: DataFrame, names: DataFrame) -> DataFrame:
+    """(json): a question, its matches in order of score, and the symbols of the best package (name)."""
+    best = encoded_matches(found).select("score", "doc_id", "json").groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "json"))).alias("m"))
+    drill = names.groupBy().agg(F.array_sort(F.collect_list("name")).alias("sy"))
+    parts = best.join(F.broadcast(drill))
+    head = F.to_json(F.struct(F.lit(query).alias("q")))
+    drilled = F.when(F.size("sy") > 0, F.concat(F.lit(',"drill":'), F.to_json(F.struct(F.col("sy"))))).otherwise("")
+    return parts.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"m":['), F.array_join(F.transform("m", lambda x: x["json"]), ","), F.lit("]"), drilled, F.lit("}")).alias("json"))
+
+
+def encoded_signals(signals: DataFrame) -> DataFrame:
+    """(session, iteration, json) of loop signals: stale count, recommended, reindexed, pause, stop."""
+    return signals.select("session", "iteration", _coded(F.col("stale_count").alias("sc"), F.col("recommended").alias("rr"), F.col("reindexed").alias("ri"), F.col("pause").alias("sp"), F.col("stop").alias("ss")).alias("json"))

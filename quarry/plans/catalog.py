@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,8 +100,13 @@ class Catalog:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Catalog:
+        """The index as written; a table that is missing or can't be read is empty, with its usual columns."""
         made = cls(spark.read.parquet(f"{folder}/files"))
+        none = cls(made.files.limit(0))
         for t in TABLES[1:]:
             # a read table takes the place of the plan
-            made.__dict__[t] = spark.read.parquet(f"{folder}/{t}")
+            try:
+                made.__dict__[t] = spark.read.parquet(f"{folder}/{t}")
+            except AnalysisException:
+                made.__dict__[t] = getattr(none, t)
         return made

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.operators import extract, graph, packages, resolve
 from quarry.plans.fixtures import files, values
 
-LANGS = {"rust": "rust", "go": "go", "python": "python", "ts": "typescript", "csharp": "csharp"}
+LANGS = {"harbour": "rust", "market": "go", "kitchen": "python", "theatre": "typescript", "mill": "csharp"}
 
 
 def symbols(repo: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,92 +27,267 @@ def resolved(repo: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_sites(spark, sf_dir):
-    f = files(spark, "crate")
+    f = files(spark, "harbour")
     return extract.calls(f, extract.symbols(f)).select("caller_file", "caller_sym", "callee_name", "line")
 
 
 def call_resolution(spark, sf_dir):
-    f = files(spark, "crate")
+    f = files(spark, "harbour")
     s = extract.symbols(f)
     return resolve.resolve_calls(extract.calls(f, s), s).select("caller_sym", "callee_name", "callee_file", "resolved")
 
 
-def crate_hotspots(spark, sf_dir):
-    f = files(spark, "crate")
+def harbour_hotspots(spark, sf_dir):
+    f = files(spark, "harbour")
     return graph.hotspots(resolve.resolve_imports(extract.imports(f), f))
 
 
-def crate_shortest_path(spark, sf_dir):
-    f = files(spark, "crate")
-    return graph.shortest_path(resolve.resolve_imports(extract.imports(f), f), "src/lib.rs", "src/db.rs")
+def harbour_shortest_path(spark, sf_dir):
+    f = files(spark, "harbour")
+    return graph.shortest_path(resolve.resolve_imports(extract.imports(f), f), "src/lib.rs", "src/tide.rs")
 
 
-def crate_reverse_map(spark, sf_dir):
-    f = files(spark, "crate")
+def harbour_reverse_map(spark, sf_dir):
+    f = files(spark, "harbour")
     return resolve.reverse_map(resolve.resolve_imports(extract.imports(f), f)).select("path", "depends_on", "depended_by")
 
 
-def crate_conventions(spark, sf_dir):
-    return packages.conventions(files(spark, "crate")).select("package", "tags", "async_fn", "has_tests")
+def harbour_conventions(spark, sf_dir):
+    return packages.conventions(files(spark, "harbour")).select("package", "tags", "async_fn", "has_tests")
 
 
-def crate_purposes(spark, sf_dir):
-    f = files(spark, "crate")
+def harbour_purposes(spark, sf_dir):
+    f = files(spark, "harbour")
     return packages.purposes(extract.symbols(f), packages.conventions(f)).select("package", "purpose")
 
 
-def crate_packages(spark, sf_dir):
+def harbour_packages(spark, sf_dir):
     return packages.grouped(files(spark)).select("repo", "package", "files")
 
 
-def crate_api_surface(spark, sf_dir):
-    f = files(spark, "crate")
+def harbour_api_surface(spark, sf_dir):
+    f = files(spark, "harbour")
     return packages.api_surface(extract.symbols(f)).select("package", F.transform("exports", lambda x: x["name"]).alias("exports"), "internal_count")
 
 
-def crate_hot_symbols(spark, sf_dir):
-    return packages.hot_symbols(extract.symbols(files(spark, "crate")))
+def harbour_hot_symbols(spark, sf_dir):
+    return packages.hot_symbols(extract.symbols(files(spark, "harbour")))
 
 
-def crate_symbol_ids(spark, sf_dir):
-    s = extract.symbols(files(spark, "crate"))
+def harbour_symbol_ids(spark, sf_dir):
+    s = extract.symbols(files(spark, "harbour"))
     return packages.symbol_ids(s, packages.path_ids(s)).select("id", "p", "n", "l")
 
 
 QUERIES = {f"symbols_{LANGS[r]}": partial(symbols, r) for r in LANGS} | {f"imports_{LANGS[r]}": partial(imports, r) for r in LANGS} | {f"resolve_{LANGS[r]}": partial(resolved, r) for r in LANGS}
-QUERIES |= {"resolve_crate": partial(resolved, "crate"), "symbols_crate": partial(symbols, "crate")}
-QUERIES |= {f.__name__: f for f in (call_sites, call_resolution, crate_hotspots, crate_shortest_path, crate_reverse_map, crate_conventions, crate_purposes, crate_packages, crate_api_surface, crate_hot_symbols, crate_symbol_ids)}
+QUERIES |= {f.__name__: f for f in (call_sites, call_resolution, harbour_hotspots, harbour_shortest_path, harbour_reverse_map, harbour_conventions, harbour_purposes, harbour_packages, harbour_api_surface, harbour_hot_symbols, harbour_symbol_ids)}
 
-_S = "path, line, name, kind"
-_I = "path, line, text, \"character\""
-_A, _D, _L = "src/auth.rs", "src/db.rs", "src/lib.rs"
 ORACLES = {
-    "symbols_rust": values(_S, [("sample.rs", 1, "main", "Function"), ("sample.rs", 3, "Foo", "Struct"), ("sample.rs", 6, "Bar", "Enum"), ("sample.rs", 7, "Baz", "Trait"), ("sample.rs", 8, "utils", "Module"), ("sample.rs", 9, "twice", "Other"), ("sample.rs", 10, "LIMIT", "Variable"), ("sample.rs", 11, "Alias", "Other")]),
-    "symbols_go": values(_S, [("cmd/main.go", 8, "User", "Struct"), ("cmd/main.go", 11, "Store", "Trait"), ("cmd/main.go", 14, "Name", "Function"), ("cmd/main.go", 16, "main", "Function"), ("pkg/auth/handler.go", 5, "Login", "Function"), ("pkg/auth/models.go", 3, "Token", "Other")]),
-    "symbols_python": values(_S, [("src/app.py", 5, "App", "Struct"), ("src/app.py", 9, "start", "Function"), ("src/utils.py", 1, "helper", "Function"), ("auth/login.py", 1, "login", "Function")]),
-    "symbols_typescript": values(_S, [("src/app.ts", 9, "App", "Struct"), ("src/app.ts", 10, "start", "Variable"), ("src/app.ts", 11, "Shape", "Trait"), ("src/app.ts", 12, "Id", "Other"), ("src/app.ts", 13, "boot", "Function"), ("src/utils.ts", 1, "greet", "Function"), ("src/components/index.ts", 1, "x", "Variable"), ("src/side.js", 1, "y", "Variable")]),
-    "symbols_csharp": values(_S, [("src/Program.cs", 6, "Program", "Struct"), ("src/Program.cs", 7, "Main", "Function"), ("src/Program.cs", 10, "IShape", "Trait"), ("src/Program.cs", 11, "Color", "Enum"), ("src/Program.cs", 12, "Point", "Struct"), ("MyApp/Auth.cs", 1, "Auth", "Struct"), ("lib/deep/Away.cs", 1, "Away", "Struct")]),
-    "symbols_crate": values(_S, [(_L, 1, "auth", "Module"), (_L, 2, "db", "Module"), (_A, 3, "login", "Function"), (_A, 7, "logout", "Function"), (_D, 1, "User", "Struct"), (_D, 3, "find_user", "Function")]),
-    "imports_rust": values(_I, [("sample.rs", 8, "utils", 4)]),
-    "imports_go": values(_I, [("cmd/main.go", 4, "fmt", 2), ("cmd/main.go", 5, "mymod/pkg/auth", 2), ("pkg/auth/handler.go", 3, "fmt", 8)]),
-    "imports_python": values(_I, [("src/app.py", 1, ".utils", 5), ("src/app.py", 2, "auth.login", 7), ("src/app.py", 3, "os", 7)]),
-    "imports_typescript": values(_I, [("src/app.ts", 4, "./utils", 8), ("src/app.ts", 5, "./side", 8), ("src/app.ts", 7, "./components", 19)]),
-    "imports_csharp": values(_I, [("src/Program.cs", 2, "MyApp.Auth", 6), ("src/Program.cs", 3, "Far.Away", 6)]),
-    "resolve_rust": "SELECT '' AS src, '' AS dst WHERE FALSE",
-    "resolve_go": values("src, dst", [("cmd/main.go", "pkg/auth/handler.go"), ("cmd/main.go", "pkg/auth/models.go")]),
-    "resolve_python": values("src, dst", [("src/app.py", "src/utils.py"), ("src/app.py", "auth/login.py")]),
-    "resolve_typescript": values("src, dst", [("src/app.ts", "src/utils.ts"), ("src/app.ts", "src/side.js"), ("src/app.ts", "src/components/index.ts")]),
-    "resolve_csharp": values("src, dst", [("src/Program.cs", "MyApp/Auth.cs"), ("src/Program.cs", "lib/deep/Away.cs")]),
-    "resolve_crate": values("src, dst", [(_A, _D), (_L, _D), (_L, _A)]),
-    "call_sites": values("caller_file, caller_sym, callee_name, line", [(_A, "login", "find_user", 4), (_A, "login", "map", 4), (_A, "login", "to_string", 4), (_D, "find_user", "to_string", 5)]),
-    "call_resolution": values("caller_sym, callee_name, callee_file, resolved", [("login", "find_user", _D, True), ("login", "map", None, False), ("login", "to_string", None, False), ("find_user", "to_string", None, False)]),
-    "crate_hotspots": values("node, dependents", [(_D, 2), (_A, 1), (_L, 0)]),
-    "crate_shortest_path": values("place, node", [(0, _L), (1, _D)]),
-    "crate_reverse_map": values("path, depends_on, depended_by", [(_A, [_D], [_L]), (_D, [], [_A, _L]), (_L, [_A, _D], [])]),
-    "crate_conventions": values("package, tags, async_fn, has_tests", [("src", ["pub"], False, False)]),
-    "crate_purposes": values("package, purpose", [("src", "src: User, auth, db (pub)")]),
-    "crate_packages": values("repo, package, files", [("crate", "src", [_A, _D, _L]), ("rust", "root", ["sample.rs"]), ("go", "root", ["go.mod"]), ("go", "cmd", ["cmd/main.go"]), ("go", "pkg", ["pkg/auth/handler.go", "pkg/auth/models.go"]), ("python", "src", ["src/app.py", "src/utils.py"]), ("python", "auth", ["auth/login.py"]), ("ts", "src", ["src/app.ts", "src/side.js", "src/utils.ts"]), ("ts", "components", ["src/components/index.ts"]), ("csharp", "src", ["src/Program.cs"]), ("csharp", "MyApp", ["MyApp/Auth.cs"]), ("csharp", "lib", ["lib/deep/Away.cs"])]),
-    "crate_api_surface": values("package, exports, internal_count", [("src", ["User", "auth", "db", "find_user", "login", "logout"], 0)]),
-    "crate_hot_symbols": values("name, n", [("User", 0), ("auth", 0), ("db", 0), ("find_user", 0), ("login", 0), ("logout", 0)]),
-    "crate_symbol_ids": values("id, p, n, l", [("s1", "p1", "login", 3), ("s2", "p1", "logout", 7), ("s3", "p2", "User", 1), ("s4", "p2", "find_user", 3), ("s5", "p3", "auth", 1), ("s6", "p3", "db", 2)]),
+    "symbols_rust": values('path, line, name, kind', [
+        ('src/berth.rs', 4, 'Berth', 'Struct'),
+        ('src/berth.rs', 9, 'fits', 'Function'),
+        ('src/crane/hook.rs', 2, 'Hook', 'Struct'),
+        ('src/crane/hook.rs', 3, 'grab', 'Function'),
+        ('src/crane/hook.rs', 4, 'Tons', 'Other'),
+        ('src/crane/mod.rs', 1, 'hook', 'Module'),
+        ('src/crane/mod.rs', 5, 'Lifts', 'Trait'),
+        ('src/crane/mod.rs', 6, 'lift', 'Function'),
+        ('src/crane/mod.rs', 9, 'unload', 'Function'),
+        ('src/lib.rs', 2, 'crane', 'Module'),
+        ('src/lib.rs', 3, 'berth', 'Module'),
+        ('src/lib.rs', 4, 'tide', 'Module'),
+        ('src/lib.rs', 6, 'PIERS', 'Variable'),
+        ('src/tide.rs', 1, 'Level', 'Enum'),
+        ('src/tide.rs', 3, 'tide_at', 'Function'),
+        ('src/tide.rs', 7, 'metres', 'Function'),
+        ('src/tide.rs', 8, 'knots', 'Other'),
+    ]),
+    "symbols_go": values('path, line, name, kind', [
+        ('stall/fruit.go', 6, 'Fruit', 'Struct'),
+        ('stall/fruit.go', 7, 'ByKind', 'Other'),
+        ('stall/fruit.go', 8, 'Seller', 'Trait'),
+        ('stall/fruit.go', 10, 'Sell', 'Function'),
+        ('stall/fruit.go', 11, 'Arrange', 'Function'),
+        ('till/ring.go', 9, 'Ring', 'Function'),
+        ('till/tape/print.go', 3, 'Print', 'Function'),
+    ]),
+    "symbols_python": values('path, line, name, kind', [
+        ('oven.py', 4, 'heat', 'Function'),
+        ('pantry/label.py', 1, 'write', 'Function'),
+        ('pantry/shelf.py', 5, 'Jar', 'Struct'),
+        ('pantry/shelf.py', 9, 'stock', 'Function'),
+        ('src/stove.py', 2, 'light', 'Function'),
+    ]),
+    "symbols_typescript": values('path, line, name, kind', [
+        ('props/index.ts', 2, 'Sword', 'Struct'),
+        ('stage/cast/index.tsx', 1, 'bow', 'Function'),
+        ('stage/curtain.js', 1, 'open', 'Variable'),
+        ('stage/lights.ts', 1, 'dim', 'Variable'),
+        ('stage/lights.ts', 2, 'Lamp', 'Trait'),
+        ('stage/main.tsx', 8, 'Act', 'Struct'),
+        ('stage/main.tsx', 10, 'seats', 'Variable'),
+        ('stage/main.tsx', 11, 'Row', 'Other'),
+    ]),
+    "symbols_csharp": values('path, line, name, kind', [
+        ('Mill/Grinder.cs', 8, 'Grinder', 'Struct'),
+        ('Mill/Grinder.cs', 9, 'Grind', 'Function'),
+        ('Mill/Grinder.cs', 13, 'Flour', 'Struct'),
+        ('Mill/Sacks.cs', 1, 'ISack', 'Trait'),
+        ('Mill/Sacks.cs', 2, 'Size', 'Enum'),
+        ('Mill/Stones/Upper.cs', 1, 'Upper', 'Struct'),
+    ]),
+    "imports_rust": values('path, line, text, "character"', [
+        ('src/berth.rs', 1, 'crate::tide::Level', 4),
+        ('src/crane/mod.rs', 1, 'hook', 4),
+        ('src/crane/mod.rs', 2, 'super::berth::Berth', 8),
+        ('src/crane/mod.rs', 3, 'crate::crane::hook::Hook', 4),
+        ('src/lib.rs', 2, 'crane', 8),
+        ('src/lib.rs', 3, 'berth', 4),
+        ('src/lib.rs', 4, 'tide', 15),
+    ]),
+    "imports_go": values('path, line, text, "character"', [
+        ('stall/fruit.go', 3, 'sort', 8),
+        ('stall/fruit.go', 4, 'example.org/market/till', 8),
+        ('till/ring.go', 4, 'os', 2),
+        ('till/ring.go', 6, 'example.org/market/till/tape', 2),
+    ]),
+    "imports_python": values('path, line, text, "character"', [
+        ('oven.py', 1, 'stove', 7),
+        ('oven.py', 2, 'typing', 5),
+        ('pantry/__init__.py', 1, '.shelf', 5),
+        ('pantry/__init__.py', 2, '.', 5),
+        ('pantry/shelf.py', 1, 'json', 7),
+        ('pantry/shelf.py', 2, 'pantry.label', 7),
+        ('pantry/shelf.py', 3, '..oven', 5),
+    ]),
+    "imports_typescript": values('path, line, text, "character"', [
+        ('props/index.ts', 1, '../stage/lights', 21),
+        ('stage/main.tsx', 1, './lights', 21),
+        ('stage/main.tsx', 3, '../props', 8),
+        ('stage/main.tsx', 4, './curtain', 8),
+        ('stage/main.tsx', 6, './cast', 15),
+    ]),
+    "imports_csharp": values('path, line, text, "character"', [
+        ('Mill/Grinder.cs', 2, 'Mill.Stones.Upper', 13),
+        ('Mill/Grinder.cs', 3, 'Mill.Sacks', 6),
+    ]),
+    "resolve_rust": values('src, dst', [
+        ('src/berth.rs', 'src/tide.rs'),
+        ('src/crane/mod.rs', 'src/berth.rs'),
+        ('src/crane/mod.rs', 'src/crane/hook.rs'),
+        ('src/lib.rs', 'src/berth.rs'),
+        ('src/lib.rs', 'src/crane/mod.rs'),
+        ('src/lib.rs', 'src/tide.rs'),
+    ]),
+    "resolve_go": values('src, dst', [
+        ('stall/fruit.go', 'till/open.go'),
+        ('stall/fruit.go', 'till/ring.go'),
+        ('till/ring.go', 'till/tape/print.go'),
+    ]),
+    "resolve_python": values('src, dst', [
+        ('oven.py', 'src/stove.py'),
+        ('pantry/__init__.py', 'pantry/__init__.py'),
+        ('pantry/__init__.py', 'pantry/shelf.py'),
+        ('pantry/shelf.py', 'oven.py'),
+        ('pantry/shelf.py', 'pantry/label.py'),
+    ]),
+    "resolve_typescript": values('src, dst', [
+        ('props/index.ts', 'stage/lights.ts'),
+        ('stage/main.tsx', 'props/index.ts'),
+        ('stage/main.tsx', 'stage/cast/index.tsx'),
+        ('stage/main.tsx', 'stage/curtain.js'),
+        ('stage/main.tsx', 'stage/lights.ts'),
+    ]),
+    "resolve_csharp": values('src, dst', [
+        ('Mill/Grinder.cs', 'Mill/Sacks.cs'),
+        ('Mill/Grinder.cs', 'Mill/Stones/Upper.cs'),
+    ]),
+    "call_sites": values('caller_file, caller_sym, callee_name, line', [
+        ('src/berth.rs', 'fits', 'metres', 12),
+        ('src/berth.rs', 'fits', 'tide_at', 11),
+        ('src/crane/mod.rs', 'unload', 'grab', 10),
+        ('src/crane/mod.rs', 'unload', 'unload_rest', 11),
+        ('src/crane/mod.rs', 'unload', 'weigh', 11),
+    ]),
+    "call_resolution": values('caller_sym, callee_name, callee_file, resolved', [
+        ('fits', 'metres', 'src/tide.rs', True),
+        ('fits', 'tide_at', 'src/tide.rs', True),
+        ('unload', 'grab', 'src/crane/hook.rs', True),
+        ('unload', 'unload_rest', None, False),
+        ('unload', 'weigh', None, False),
+    ]),
+    "harbour_hotspots": values('node, dependents', [
+        ('src/berth.rs', 2),
+        ('src/crane/hook.rs', 1),
+        ('src/crane/mod.rs', 1),
+        ('src/lib.rs', 0),
+        ('src/tide.rs', 2),
+    ]),
+    "harbour_shortest_path": values('place, node', [
+        (0, 'src/lib.rs'),
+        (1, 'src/tide.rs'),
+    ]),
+    "harbour_reverse_map": values('path, depends_on, depended_by', [
+        ('src/berth.rs', ['src/tide.rs'], ['src/crane/mod.rs', 'src/lib.rs']),
+        ('src/crane/hook.rs', [], ['src/crane/mod.rs']),
+        ('src/crane/mod.rs', ['src/berth.rs', 'src/crane/hook.rs'], ['src/lib.rs']),
+        ('src/lib.rs', ['src/berth.rs', 'src/crane/mod.rs', 'src/tide.rs'], []),
+        ('src/tide.rs', [], ['src/berth.rs', 'src/lib.rs']),
+    ]),
+    "harbour_conventions": values('package, tags, async_fn, has_tests', [
+        ('crane', ['pub'], False, False),
+        ('src', ['pub'], False, False),
+    ]),
+    "harbour_purposes": values('package, purpose', [
+        ('crane', 'crane: Hook, Lifts, Tons (pub)'),
+        ('src', 'src: Berth, Level, PIERS (pub)'),
+    ]),
+    "harbour_packages": values('repo, package, files', [
+        ('harbour', 'crane', ['src/crane/hook.rs', 'src/crane/mod.rs']),
+        ('harbour', 'src', ['src/berth.rs', 'src/lib.rs', 'src/tide.rs']),
+        ('kitchen', 'pantry', ['pantry/__init__.py', 'pantry/label.py', 'pantry/shelf.py']),
+        ('kitchen', 'root', ['oven.py']),
+        ('kitchen', 'src', ['src/stove.py']),
+        ('market', 'root', ['go.mod']),
+        ('market', 'stall', ['stall/fruit.go']),
+        ('market', 'till', ['till/open.go', 'till/ring.go', 'till/tape/print.go']),
+        ('mill', 'Mill', ['Mill/Grinder.cs', 'Mill/Sacks.cs', 'Mill/Stones/Upper.cs']),
+        ('theatre', 'props', ['props/index.ts']),
+        ('theatre', 'stage', ['stage/cast/index.tsx', 'stage/curtain.js', 'stage/lights.ts', 'stage/main.tsx']),
+    ]),
+    "harbour_api_surface": values('package, exports, internal_count', [
+        ('crane', ['Hook', 'Lifts', 'grab', 'lift', 'unload'], 2),
+        ('src', ['Berth', 'Level', 'PIERS', 'crane', 'fits', 'metres', 'tide_at'], 3),
+    ]),
+    "harbour_hot_symbols": values('name, n', [
+        ('Berth', 0),
+        ('Hook', 0),
+        ('Level', 0),
+        ('Lifts', 0),
+        ('PIERS', 0),
+        ('Tons', 0),
+        ('berth', 0),
+        ('crane', 0),
+        ('fits', 0),
+        ('grab', 0),
+    ]),
+    "harbour_symbol_ids": values('id, p, n, l', [
+        ('s1', 'p1', 'Berth', 4),
+        ('s10', 'p4', 'crane', 2),
+        ('s11', 'p4', 'berth', 3),
+        ('s12', 'p4', 'tide', 4),
+        ('s13', 'p4', 'PIERS', 6),
+        ('s14', 'p5', 'Level', 1),
+        ('s15', 'p5', 'tide_at', 3),
+        ('s16', 'p5', 'metres', 7),
+        ('s17', 'p5', 'knots', 8),
+        ('s2', 'p1', 'fits', 9),
+        ('s3', 'p2', 'Hook', 2),
+        ('s4', 'p2', 'grab', 3),
+        ('s5', 'p2', 'Tons', 4),
+        ('s6', 'p3', 'hook', 1),
+        ('s7', 'p3', 'Lifts', 5),
+        ('s8', 'p3', 'lift', 6),
+        ('s9', 'p3', 'unload', 9),
+    ]),
 }

@@ -25,16 +25,16 @@ def section_extent(spark, sf_dir):
 
 
 def path_like_links(spark, sf_dir):
-    f = files(spark, "crate")
+    f = files(spark, "harbour")
     return docs.links(docs.sections(doc_files(spark)), f, extract.symbols(f)).select("id", "target", "kind", "broken")
 
 
-REFS = ["src/auth.rs::login", "src/auth.rs#3-4", "src/db.rs", "docs/guide.md::## auth flow", "src/auth.rs::nothing", "src/none.rs", "src/auth.rs#3-99", "docs/guide.md::# Nowhere"]
+REFS = ["src/tide.rs::metres", "src/berth.rs#4-6", "src/crane/hook.rs", "manual/harbour.md::## moving ships", "src/tide.rs::storm", "src/pilot.rs", "src/tide.rs#2-70", "manual/harbour.md::## Sinking"]
 
 
 def doc_slices(spark, sf_dir):
-    f = files(spark, "crate")
-    refs = spark.createDataFrame([("crate", r) for r in REFS], "repo string, ref string")
+    f = files(spark, "harbour")
+    refs = spark.createDataFrame([("harbour", r) for r in REFS], "repo string, ref string")
     return docs.slices(refs, f.unionByName(doc_files(spark)), extract.symbols(f)).select("ref", "start_line", "end_line", "error")
 
 
@@ -49,7 +49,7 @@ def doc_staleness(spark, sf_dir):
 
 
 def doc_status(spark, sf_dir):
-    f = files(spark, "crate")
+    f = files(spark, "harbour")
     s = docs.sections(doc_files(spark))
     linked = docs.links(s, f, extract.symbols(f))
     return docs.status(s, linked, s.select("id", (F.col("level") == 2).alias("stale")))
@@ -65,7 +65,7 @@ def security_proofs(spark, sf_dir):
 
 def gate_decision(spark, sf_dir):
     f = fragments(spark)
-    return security.gate(f, security.findings(f, prove=True)).select("path", "action", "n_findings", "n_proved")
+    return security.gate(f, security.findings(f, prove=True)).select("path", "action", "n_sites", "n_findings", "n_proved")
 
 
 def secret_scan(spark, sf_dir):
@@ -74,42 +74,110 @@ def secret_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (md_sections, section_extent, path_like_links, doc_slices, doc_staleness, doc_status, security_findings, security_proofs, gate_decision, secret_scan)}
 
-_G = "docs/guide.md"
-_FOUND = [
-    ("mul.c", 1, "CWE-190", "pattern_only"), ("two.c", 1, "CWE-131", "pattern_only"), ("sub.c", 1, "CWE-191", "pattern_only"), ("div.c", 1, "CWE-369", "pattern_only"),
-    ("copy.c", 1, "CWE-680", "pattern_only"), ("one.c", 1, "CWE-190", "pattern_only"), ("shift.c", 1, "CWE-190", "pattern_only"), ("odd.c", 1, "CWE-190", "unknown"),
-    ("loose.c", 1, "CWE-190", "pattern_only"), ("vec.rs", 1, "CWE-190", "pattern_only"),
-]
-_MORE = [("fmt.c", 1, "CWE-134", "pattern_only"), ("fmt.c", 2, "CWE-134", "pattern_only"), ("fmt.c", 2, "CWE-134", "pattern_only"), ("cmd.c", 1, "CWE-78", "pattern_only"), ("load.py", 1, "CWE-502", "pattern_only"), ("path.py", 1, "CWE-22", "pattern_only"), ("path.py", 2, "CWE-22", "pattern_only"), ("key.py", 1, "CWE-798", "pattern_only")]
-_TOP = "n = 9223372036854775808"
-_PROOFS = {"mul.c": ("proven_vulnerable", _TOP), "two.c": ("proven_vulnerable", "a = b = 4294967296"), "sub.c": ("proven_vulnerable", "n = 0"), "div.c": ("proven_vulnerable", "count = 0"), "copy.c": ("proven_vulnerable", _TOP), "one.c": ("proven_safe", None), "shift.c": ("proven_vulnerable", _TOP), "odd.c": ("unknown", None), "loose.c": ("pattern_only", None), "vec.rs": ("proven_vulnerable", _TOP)}
-_ACTION = {"proven_vulnerable": "block", "proven_safe": "allow", "unknown": "warn", "pattern_only": "warn"}
-_PLAIN = ("plain.c", "const.c", "fmt.c", "cmd.c", "load.py", "path.py", "key.py")
-
 ORACLES = {
-    "md_sections": values("id, level, start_line, end_line, snippet", [
-        (f"{_G}::# Guide", 1, 1, 14, "Intro to login.\n\n## Auth Flow\n\n<!-- quarry: src/auth.rs -->\nSee src/db.rs and src/missing.rs.\n\n### Tokens\ndetail on find_user\n\n## Storage\nlast"),
-        (f"{_G}::## Auth Flow", 2, 5, 12, "<!-- quarry: src/auth.rs -->\nSee src/db.rs and src/missing.rs.\n\n### Tokens\ndetail on find_user"),
-        (f"{_G}::### Tokens", 3, 10, 12, "detail on find_user"), (f"{_G}::## Storage", 2, 13, 14, "last"), ("docs/plain.md", 0, 1, 1, "No heading here, but logout is named."),
+    "md_sections": values('id, level, start_line, end_line, snippet', [
+        ('manual/harbour.md::# Harbour', 1, 1, 12, 'How grab and tide_at work.\n\n## Moving ships\n\nSee src/berth.rs, then src/pilot.rs.\n\n## Lifting\n<!-- quarry: src/crane/hook.rs -->\n### Weights\nabout weigh and metres'),
+        ('manual/harbour.md::## Lifting', 2, 9, 12, '<!-- quarry: src/crane/hook.rs -->\n### Weights\nabout weigh and metres'),
+        ('manual/harbour.md::## Moving ships', 2, 5, 8, 'See src/berth.rs, then src/pilot.rs.'),
+        ('manual/harbour.md::### Weights', 3, 11, 12, 'about weigh and metres'),
+        ('manual/notes.md', 0, 1, 1, 'Only a note on unload, without a heading.'),
     ]),
     "section_extent": """WITH l AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS every FROM documents),
 x AS (SELECT path, len(every) AS n, unnest(range(1, len(every) + 1)) AS line, unnest(every) AS t FROM l),
 h AS (SELECT path, n, line, len(string_split(t, ' ')) % 6 + 1 AS level FROM x WHERE regexp_matches(t, '\\S') AND NOT starts_with(t, '#'))
 SELECT h.path, h.line::INTEGER AS start_line, coalesce((SELECT min(b.line) - 1 FROM h b WHERE b.path = h.path AND b.line > h.line AND b.level <= h.level), h.n)::INTEGER AS end_line, h.level::INTEGER AS level FROM h""",
-    "path_like_links": values("id, target, kind, broken", [
-        *((f"{_G}::{h}", "src/auth.rs", "explicit", False) for h in ("# Guide", "## Auth Flow")),
-        *((f"{_G}::{h}", "src/db.rs", "heuristic", False) for h in ("# Guide", "## Auth Flow")),
-        *((f"{_G}::{h}", "src/missing.rs", "heuristic", True) for h in ("# Guide", "## Auth Flow")),
-        *((f"{_G}::{h}", "::find_user", "heuristic", False) for h in ("# Guide", "## Auth Flow", "### Tokens")),
-        *((f"{_G}::{h}", "::auth", "heuristic", False) for h in ("# Guide", "## Auth Flow")),
-        (f"{_G}::# Guide", "::login", "heuristic", False), ("docs/plain.md", "::logout", "heuristic", False),
+    "path_like_links": values('id, target, kind, broken', [
+        ('manual/harbour.md::# Harbour', '::berth', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', '::crane', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', '::grab', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', '::hook', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', '::metres', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', '::tide_at', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', 'src/berth.rs', 'heuristic', False),
+        ('manual/harbour.md::# Harbour', 'src/crane/hook.rs', 'explicit', False),
+        ('manual/harbour.md::# Harbour', 'src/pilot.rs', 'heuristic', True),
+        ('manual/harbour.md::## Lifting', '::crane', 'heuristic', False),
+        ('manual/harbour.md::## Lifting', '::hook', 'heuristic', False),
+        ('manual/harbour.md::## Lifting', '::metres', 'heuristic', False),
+        ('manual/harbour.md::## Lifting', 'src/crane/hook.rs', 'explicit', False),
+        ('manual/harbour.md::## Moving ships', '::berth', 'heuristic', False),
+        ('manual/harbour.md::## Moving ships', 'src/berth.rs', 'heuristic', False),
+        ('manual/harbour.md::## Moving ships', 'src/pilot.rs', 'heuristic', True),
+        ('manual/harbour.md::### Weights', '::metres', 'heuristic', False),
+        ('manual/notes.md', '::unload', 'heuristic', False),
+    ]),
+    "doc_slices": values('ref, start_line, end_line, error', [
+        ('manual/harbour.md::## Sinking', None, None, 'HeadingNotFound'),
+        ('manual/harbour.md::## moving ships', 5, 8, None),
+        ('src/berth.rs#4-6', 4, 6, None),
+        ('src/crane/hook.rs', 1, 4, None),
+        ('src/pilot.rs', None, None, 'FileNotFound'),
+        ('src/tide.rs#2-70', None, None, 'LineRangeOutOfBounds'),
+        ('src/tide.rs::metres', 7, 7, None),
+        ('src/tide.rs::storm', None, None, 'SymbolNotFound'),
     ]),
-    "doc_slices": values("ref, start_line, end_line, error", [(REFS[0], 3, 5, None), (REFS[1], 3, 4, None), (REFS[2], 1, 6, None), (REFS[3], 5, 12, None), (REFS[4], None, None, "SymbolNotFound"), (REFS[5], None, None, "FileNotFound"), (REFS[6], None, None, "LineRangeOutOfBounds"), (REFS[7], None, None, "HeadingNotFound")]),
     "doc_staleness": """WITH c AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY 1), v AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT u.user_id::VARCHAR AS id, coalesce(c.ts > coalesce(v.ts, TIMESTAMP '0001-01-01'), FALSE) AS stale FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c ON c.user_id = u.user_id + 1 LEFT JOIN v ON v.user_id = u.user_id""",
-    "doc_status": values("files, sections, stale_ids, broken_links", [(2, 5, [f"{_G}::## Auth Flow", f"{_G}::## Storage"], 2)]),
-    "security_findings": values("path, line, cwe, status", _FOUND + _MORE),
-    "security_proofs": values("path, cwe, status, witness", [(p, c, *_PROOFS[p]) for p, _, c, _ in _FOUND]),
-    "gate_decision": values("path, action, n_findings, n_proved", [(p, _ACTION[s], 1, int(s.startswith("proven"))) for p, (s, _) in _PROOFS.items()] + [(p, "allow", 0, 0) for p in _PLAIN]),
+    "doc_status": values('files, sections, stale_ids, broken_links', [
+        (2, 5, ['manual/harbour.md::## Lifting', 'manual/harbour.md::## Moving ships'], 2),
+    ]),
+    "security_findings": values('path, line, cwe, status', [
+        ('both.c', 1, 'CWE-190', 'pattern_only'),
+        ('both.c', 2, 'CWE-191', 'pattern_only'),
+        ('copies.c', 1, 'CWE-680', 'pattern_only'),
+        ('file.py', 1, 'CWE-22', 'pattern_only'),
+        ('file.py', 2, 'CWE-22', 'pattern_only'),
+        ('grow.c', 1, 'CWE-190', 'pattern_only'),
+        ('less.c', 1, 'CWE-191', 'pattern_only'),
+        ('login.py', 1, 'CWE-798', 'pattern_only'),
+        ('loose.c', 1, 'CWE-190', 'pattern_only'),
+        ('opaque.c', 1, 'CWE-190', 'unknown'),
+        ('print.c', 1, 'CWE-134', 'pattern_only'),
+        ('print.c', 3, 'CWE-134', 'pattern_only'),
+        ('print.c', 3, 'CWE-134', 'pattern_only'),
+        ('product.c', 1, 'CWE-190', 'pattern_only'),
+        ('room.rs', 1, 'CWE-190', 'pattern_only'),
+        ('share.c', 1, 'CWE-369', 'pattern_only'),
+        ('shell.py', 1, 'CWE-78', 'pattern_only'),
+        ('shell.py', 2, 'CWE-78', 'pattern_only'),
+        ('shifted.c', 1, 'CWE-190', 'pattern_only'),
+        ('state.py', 2, 'CWE-502', 'pattern_only'),
+        ('unit.c', 1, 'CWE-190', 'pattern_only'),
+    ]),
+    "security_proofs": values('path, cwe, status, witness', [
+        ('both.c', 'CWE-190', 'proven_vulnerable', 'x = 9223372036854775808'),
+        ('both.c', 'CWE-191', 'proven_vulnerable', 'y = 0'),
+        ('copies.c', 'CWE-680', 'proven_vulnerable', 'blocks = 9223372036854775808'),
+        ('grow.c', 'CWE-190', 'proven_vulnerable', 'used = 9223372036854775808'),
+        ('less.c', 'CWE-191', 'proven_vulnerable', 'size = 0'),
+        ('loose.c', 'CWE-190', 'pattern_only', None),
+        ('opaque.c', 'CWE-190', 'unknown', None),
+        ('product.c', 'CWE-190', 'proven_vulnerable', 'height = 9223372036854775808'),
+        ('room.rs', 'CWE-190', 'proven_vulnerable', 'items = 9223372036854775808'),
+        ('share.c', 'CWE-369', 'proven_vulnerable', 'workers = 0'),
+        ('shifted.c', 'CWE-190', 'proven_vulnerable', 'order = 9223372036854775808'),
+        ('unit.c', 'CWE-190', 'proven_safe', None),
+    ]),
+    "gate_decision": values('path, action, n_sites, n_findings, n_proved', [
+        ('array.c', 'allow', 1, 0, 0),
+        ('both.c', 'block', 2, 2, 2),
+        ('copies.c', 'block', 1, 1, 1),
+        ('file.py', 'allow', 2, 0, 0),
+        ('fixed.c', 'allow', 1, 0, 0),
+        ('grow.c', 'block', 1, 1, 1),
+        ('less.c', 'block', 1, 1, 1),
+        ('login.py', 'allow', 1, 0, 0),
+        ('loose.c', 'warn', 1, 1, 0),
+        ('opaque.c', 'warn', 1, 1, 0),
+        ('print.c', 'allow', 3, 0, 0),
+        ('product.c', 'block', 1, 1, 1),
+        ('room.rs', 'block', 1, 1, 1),
+        ('share.c', 'block', 1, 1, 1),
+        ('shell.py', 'allow', 2, 0, 0),
+        ('shifted.c', 'block', 1, 1, 1),
+        ('state.py', 'allow', 2, 0, 0),
+        ('sum.c', 'allow', 0, 0, 0),
+        ('unit.c', 'allow', 1, 1, 1),
+    ]),
     "secret_scan": r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:password|passwd|api[_-]?key|secret|token)\s*[:=]\s*["''][^"'']{8,}["'']'))::INTEGER AS n FROM documents WHERE regexp_matches(text, '(?i)(?:password|passwd|api[_-]?key|secret|token)\s*[:=]\s*["''][^"'']{8,}["'']')""",
 }

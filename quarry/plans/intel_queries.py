@@ -161,9 +161,9 @@ def diff_ranges(spark, sf_dir):
 
 
 def review_bundle(spark, sf_dir):
-    c = Catalog(code_files(spark, "crate"))
+    c = Catalog(code_files(spark, "harbour"))
     hunks = repos.diff_hunks(spark.createDataFrame([(1, DIFF)], "diff_id int, content string"))
-    log = spark.createDataFrame([("src/db.rs", "2024-01-02 00:00:00", "1", "fix it")], "path string, ts string, sha string, subject string").withColumn("ts", F.col("ts").cast("timestamp"))
+    log = spark.createDataFrame([("src/tide.rs", "2024-01-02 00:00:00", "1", "fix it")], "path string, ts string, sha string, subject string").withColumn("ts", F.col("ts").cast("timestamp"))
     return intel.review(hunks, c.symbols, c.edges, c.calls, log).select("symbol", F.col("definition.path").alias("path"), "fan_in", "risk", "fragile")
 
 
@@ -196,32 +196,32 @@ def mermaid_edges(spark, sf_dir):
 
 
 def index_counts(spark, sf_dir):
-    c = Catalog(code_files(spark, "crate"))
+    c = Catalog(code_files(spark, "harbour"))
     return sinks.counts(c.files, c.symbols, c.edges)
 
 
 def explain_names(spark, sf_dir):
-    c = Catalog(code_files(spark, "crate"))
+    c = Catalog(code_files(spark, "harbour"))
     out = None
-    for name in ("src", "db.rs", "login"):
+    for name in ("src", "tide.rs", "grab"):
         part = intel.explain(c.edges, c.symbols, name)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def why_file(spark, sf_dir):
-    c = Catalog(code_files(spark, "crate"))
-    log = spark.createDataFrame([("src/db.rs", "2024-01-02 00:00:00", "1", "fix it"), ("src/db.rs", "2024-01-03 00:00:00", "2", "more")], "path string, ts string, sha string, subject string").withColumn("ts", F.col("ts").cast("timestamp"))
-    return intel.why_file(c.edges, log, "src/db.rs").select("path", "package", F.array_join("depends_on", ",").alias("depends_on"), F.array_join("depended_by", ",").alias("depended_by"), F.array_join("commits", ",").alias("commits"))
+    c = Catalog(code_files(spark, "harbour"))
+    log = spark.createDataFrame([("src/tide.rs", "2024-01-02 00:00:00", "1", "fix it"), ("src/tide.rs", "2024-01-03 00:00:00", "2", "more")], "path string, ts string, sha string, subject string").withColumn("ts", F.col("ts").cast("timestamp"))
+    return intel.why_file(c.edges, log, "src/tide.rs").select("path", "package", F.array_join("depends_on", ",").alias("depends_on"), F.array_join("depended_by", ",").alias("depended_by"), F.array_join("commits", ",").alias("commits"))
 
 
-def query_login(spark, sf_dir):
-    return Catalog(code_files(spark, "crate"), docs(spark)).query("login", ["src/auth.rs"], 3).select("kind", "name")
+def query_matches(spark, sf_dir):
+    return Catalog(code_files(spark, "harbour"), docs(spark)).query("lift a hook", ["src/crane/hook.rs"], 4).select("kind", "name")
 
 
-def navigate_login(spark, sf_dir):
-    c = Catalog(code_files(spark, "crate"))
-    return intel.navigate(c.index(), c.edges, c.symbols, "find user").select("path")
+def navigate_files(spark, sf_dir):
+    c = Catalog(code_files(spark, "harbour"))
+    return intel.navigate(c.index(), c.edges, c.symbols, "tide level").select("path")
 
 
 def dep_requirements(spark, sf_dir):
@@ -250,7 +250,7 @@ def package_of_paths(spark, sf_dir):
 
 _NAMES = """focus_neighbors focus_two_hops package_proximity impact_references symbol_risk impact_risk_tier arch_violations test_gap_anti test_gap_texts similar_symbols api_surface_counts package_summary purpose_string hot_symbols_usage
 convention_tags_top5 churn_30d bugfix_ratio_last30 fragile_score logistic_risk range_hunk_symbols diff_ranges review_bundle asof_enclosing dict_path_ids dict_delta dict_expand
-mermaid_edges index_counts explain_names why_file query_login navigate_login dep_requirements stale_files package_of_paths""".split()
+mermaid_edges index_counts explain_names why_file query_matches navigate_files dep_requirements stale_files package_of_paths""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _E = f"e AS ({SUPPLY_SQL}), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
@@ -259,7 +259,6 @@ _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
 _HOT = "hot AS (SELECT node, count(dst) AS dependents FROM nodes LEFT JOIN e ON dst = node GROUP BY node ORDER BY dependents DESC, node LIMIT {k})"
 _CH = """ev AS (SELECT 'n' || (user_id % 25) AS path, ts, event_id, event_type FROM events), ch AS (SELECT path, count(*) AS churn FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 30 DAYS GROUP BY path),
 bf AS (SELECT path, avg((event_type = 'error')::INT) AS bugfix FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k <= 30 GROUP BY path)"""
-_A, _D, _L = "src/auth.rs", "src/db.rs", "src/lib.rs"
 ORACLES = {
     "focus_neighbors": f"WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT 's3' AS node, 1.0 AS score UNION SELECT dst, 0.5 FROM b WHERE src = 's3' AND dst <> 's3') SELECT node, score::DOUBLE AS score, count(y.path)::INTEGER AS n FROM n LEFT JOIN y ON y.path = node GROUP BY node, score",
     "focus_two_hops": f"""WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = 'n3'), h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node),
@@ -309,18 +308,48 @@ p AS (SELECT name AS target, 1 / (1 + exp(-(0.15::DOUBLE * coalesce(dependents,
 SELECT target, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM p""",
     "range_hunk_symbols": """WITH h(f, a, b) AS (VALUES ('Brand#2', 10, 400), ('Brand#7', 100, 900), ('x/Brand#3', 0, 50), ('Brand#9', NULL, NULL))
 SELECT DISTINCT p_brand AS path, p_name AS name, p_partkey::INTEGER AS line FROM part JOIN h ON p_brand = regexp_extract(f, '[^/]*$') AND (a IS NULL OR p_partkey BETWEEN a AND b)""",
-    "diff_ranges": values("file, start, \"end\"", [(_A, 3, 4), (_A, 7, 7), (_D, None, None)]),
-    "review_bundle": values("symbol, path, fan_in, risk, fragile", [("login", _A, 0, "high", True), ("logout", _A, 0, "high", True), ("User", _D, 0, "high", True), ("find_user", _D, 1, "high", True)]),
+    "diff_ranges": values('file, start, "end"', [
+        ('src/crane/hook.rs', None, None),
+        ('src/tide.rs', 3, 5),
+        ('src/tide.rs', 6, 6),
+    ]),
+    "review_bundle": values('symbol, path, fan_in, risk, fragile', [
+        ('Hook', 'src/crane/hook.rs', 0, 'high', True),
+        ('Tons', 'src/crane/hook.rs', 0, 'high', True),
+        ('grab', 'src/crane/hook.rs', 1, 'high', True),
+        ('tide_at', 'src/tide.rs', 1, 'high', True),
+    ]),
     "asof_enclosing": "SELECT p.event_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts",
     "dict_path_ids": f"WITH p AS (SELECT DISTINCT {_PATH} AS path FROM documents) SELECT 'p' || row_number() OVER (ORDER BY path) AS id, path FROM p",
     "dict_delta": f"WITH p AS (SELECT DISTINCT {_PATH} AS path FROM documents) SELECT 'p' || (row_number() OVER (ORDER BY path) + (SELECT count(*) FROM p WHERE starts_with(path, 'src1'))) AS id, path FROM p WHERE NOT starts_with(path, 'src1')",
     "dict_expand": f"WITH p AS (SELECT DISTINCT {_PATH} AS path FROM documents), i AS (SELECT 'p' || row_number() OVER (ORDER BY path) AS id, path FROM p) SELECT r AS ref, coalesce(path, r) AS path FROM (VALUES ('p1'), ('p2'), ('other/x.rs')) v(r) LEFT JOIN i ON id = r",
     "mermaid_edges": f"WITH {_E}, f AS (SELECT * FROM e WHERE src NOT LIKE 'p%'), k AS (SELECT node FROM (SELECT src AS node FROM f UNION SELECT dst FROM f) ORDER BY node LIMIT 80) SELECT DISTINCT src, dst FROM f WHERE src IN (FROM k) AND dst IN (FROM k)",
-    "index_counts": values("metric, value", [("packages", 1), ("files", 3), ("symbols", 6), ("nodes", 3), ("edges", 3)]),
-    "explain_names": values("kind, name, detail", [("package", "src", "3 files; User, auth, db, find_user, login, logout"), ("file", _D, "2 dependents"), ("symbol", "login", f"{_A}:3 pub fn login(name: &str) -> Option<String> {{")]),
-    "why_file": values("path, package, depends_on, depended_by, commits", [(_D, "src", "", f"{_A},{_L}", "more,fix it")]),
-    "query_login": values("kind, name", [("hot_symbol", "login"), ("symbol", "login")]),
-    "navigate_login": values("path", [(_D,), (_A,), (_L,)]),
+    "index_counts": values('metric, value', [
+        ('edges', 6),
+        ('files', 5),
+        ('nodes', 5),
+        ('packages', 2),
+        ('symbols', 17),
+    ]),
+    "explain_names": values('kind, name, detail', [
+        ('file', 'src/tide.rs', '2 dependents'),
+        ('package', 'src', '3 files; Berth, Level, PIERS, berth, crane, fits, knots, metres'),
+        ('symbol', 'grab', 'src/crane/hook.rs:3 pub fn grab(ship: &str) -> Hook { Hook(count(ship)) }'),
+    ]),
+    "why_file": values('path, package, depends_on, depended_by, commits', [
+        ('src/tide.rs', 'src', '', 'src/berth.rs,src/lib.rs', 'more,fix it'),
+    ]),
+    "query_matches": values('kind, name', [
+        ('hot_symbol', 'Lifts'),
+        ('package', 'crane'),
+        ('symbol', 'Lifts'),
+        ('symbol', 'lift'),
+    ]),
+    "navigate_files": values('path', [
+        ('src/berth.rs',),
+        ('src/lib.rs',),
+        ('src/tide.rs',),
+    ]),
     "dep_requirements": values("ecosystem, name, version, status", [("cargo", "serde", "1.0.1", "current"), ("cargo", "tokio", "1.2.0", "minor"), ("npm", "react", "17.0.2", "major"), ("go", "github.com/a/b", "1.4.0", "unknown")]),
     "stale_files": """WITH n AS (SELECT user_id::VARCHAR AS path, max(ts) AS a FROM events GROUP BY 1), i AS (SELECT user_id::VARCHAR AS path, max(ts) AS b FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1 UNION ALL SELECT 'old', TIMESTAMP '2024-01-01')
 SELECT path, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'gone' ELSE 'changed' END AS reason FROM n FULL JOIN i USING (path) WHERE b IS NULL OR a IS NULL OR a > b""",

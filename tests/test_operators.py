@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import random
 import subprocess
 
 import pytest
@@ -88,8 +90,8 @@ def test_bm25_of_empty_documents(spark):
 
 
 def test_python_methods_are_no_symbols(spark):
-    names = [r["name"] for r in extract.symbols(files(spark, "python")).collect()]
-    assert "inner" not in names and "App" in names
+    names = [r["name"] for r in extract.symbols(files(spark, "kitchen")).collect()]
+    assert "open" not in names and "Jar" in names
 
 
 def test_impact_tiers(spark):
@@ -218,13 +220,74 @@ def test_paths_stay_inside(tmp_path):
 
 
 def test_catalog_round_trip(spark, tmp_path):
-    made = Catalog(files(spark, "crate"))
+    made = Catalog(files(spark, "harbour"))
     made.write(str(tmp_path / "index"))
     again = Catalog.read(spark, str(tmp_path / "index"))
     assert sorted(map(repr, made.symbols.collect())) == sorted(map(repr, again.symbols.collect()))
-    assert again.edges.count() == 3
-    assert [r["node"] for r in again.focus("src/auth.rs", 2).select("node").collect()] == ["src/auth.rs", "src/db.rs", "src/lib.rs"]
-    assert "| 1 | `src/db.rs` | 2 |" in again.report("crate")
-    assert sinks.mermaid(again.edges).count("-->") == 3
-    assert again.drill("crate/src").count() == 3
-    assert packages.encoded_symbols(again.symbols).count() == 6
+    assert again.edges.count() == 6
+    assert [r["node"] for r in again.focus("src/berth.rs", 1).select("node").collect()] == ["src/berth.rs", "src/crane/mod.rs", "src/lib.rs", "src/tide.rs"]
+    assert "| 1 | `src/berth.rs` | 2 |" in again.report("harbour")
+    assert sinks.mermaid(again.edges).count("-->") == 6
+    assert again.drill("harbour/src").count() == 3
+    assert packages.encoded_symbols(again.symbols).count() == 17
+    task = packages.encoded_task("crane hook", *intel.task_context(again.index(), again.edges, again.symbols, "crane hook"))
+    found = json.loads(task.first()["json"])
+    assert found["q"] == "crane hook" and found["m"] and found["drill"]["sy"]
+
+
+def test_a_missing_table_of_an_index_is_empty(spark, tmp_path):
+    made = Catalog(files(spark, "harbour"))
+    made.write(str(tmp_path / "index"))
+    sinks.remove(spark, str(tmp_path / "index" / "calls"))
+    again = Catalog.read(spark, str(tmp_path / "index"))
+    assert again.calls.count() == 0 and again.calls.columns == made.calls.columns and again.symbols.count() == 17
+
+
+def test_cycles_and_paths_against_brute_force(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        n = rng.randint(3, 9)
+        pairs = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randint(2, 2 * n))})
+        after = {a: {y for x, y in pairs if x == a} for a, _ in pairs}
+        reach = {a: set(after[a]) for a in after}
+        for _ in range(n):
+            for a in reach:
+                reach[a] |= {z for y in set(reach[a]) for z in after.get(y, ())}
+        edges = spark.createDataFrame(pairs, "src string, dst string")
+        expected = {a for a in reach if a in reach[a]}
+        assert {r["node"] for r in graph.cycle_members(edges).collect()} == expected
+        cycle = [r["node"] for r in graph.cycle_path(edges).orderBy("place").collect()]
+        if expected:
+            assert cycle[0] == cycle[-1] == min(expected) and all(y in after[x] for x, y in zip(cycle, cycle[1:], strict=False))
+        else:
+            assert cycle == []
+
+
+def test_names_that_hold_each_other(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 7)))
+    names, targets = {word() for _ in range(60)}, {word() for _ in range(6)}
+    found = intel.covered(spark.createDataFrame([(x,) for x in names], "_low string"), spark.createDataFrame([(x,) for x in targets], "target string"))
+    assert {r["_low"] for r in found.collect()} == {x for x in names if any(t in x or x in t for t in targets)}
+
+
+def test_commit_diff_and_blame(tmp_path):
+    def git(*args: str) -> str:
+        return subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@example.org", *args], check=True, capture_output=True, text=True).stdout
+
+    git("init", "-q")
+    for text_, subject in (("one\n", "begin"), ("one\ntwo\n", "more")):
+        (tmp_path / "a.txt").write_text(text_)
+        git("add", ".")
+        git("commit", "-qm", subject)
+    assert "+two" in repos.git_show(str(tmp_path), "HEAD") and "+one" not in repos.git_show(str(tmp_path), "HEAD")
+    assert repos.git_blame(str(tmp_path), "a.txt", 1).endswith(" begin") and repos.git_blame(str(tmp_path), "a.txt", 2).endswith(" more")
+
+
+def test_loop_sessions_are_kept_and_deleted(spark, tmp_path):
+    folder = str(tmp_path / "loops")
+    for i in (1, 2):
+        sinks.write_iterations(spark.createDataFrame([("a", i, "x"), ("b", i, "y")], "session string, iteration int, goal string"), folder)
+    assert sinks.read_session(spark, folder, "a").count() == 2
+    sinks.delete_session(spark, folder, "a")
+    assert sinks.read_session(spark, folder, "a").count() == 0 and sinks.read_session(spark, folder, "b").count() == 2
