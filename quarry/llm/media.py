@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, map_arrow, remove, shared_dir, table
+from quarry.llm.graph import matched
 
 FRAME = 576
 MIN, MAX = 1024, 16384
@@ -204,14 +205,16 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
     """Stores the texts of docs (doc_id, text) under path, reads them back, and returns a row for each document."""
     listed = cut(manifest(docs))
     write_store(docs, listed, path)
-    restored = read_store(docs.sparkSession, path)
-    return listed.select("doc_id", "n_bytes", "payload").join(restored, "payload").drop("payload")
+    copies = listed.groupBy("payload").agg(F.count("*").alias("copies"))
+    # computed once here, so that the result doesn't read the store again
+    restored = cut(read_store(docs.sparkSession, path).join(copies, "payload"))
+    return matched(listed.select("doc_id", "n_bytes", "payload"), restored, "payload", "copies", listed.count()).drop("payload", "copies")
 
 
 def op4_chunked_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/chunk-store-{uuid.uuid4().hex}"
-    out = cut(chunked(table(spark, sf_dir, "documents", "doc_id", "text"), path))
-    # the digests are read back from the store, which isn't needed then
+    out = chunked(table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    # all is read back by now
     remove(spark, path)
     return out
 

@@ -5,11 +5,13 @@ import random
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -71,6 +73,25 @@ def test_odd_tables(spark, odd, name):
     assert len(found) == {"op3_host_reputation": 11, "license_variants": planted}.get(name, len(odd_documents()))
 
 
+def test_odd_texts_give_defined_results(spark, odd):
+    """Nulls, empty texts and repeats: what the docstrings say."""
+    texts = defaultdict(set)
+    for i, t, *_ in odd_documents():
+        texts[t].add(i)
+    by_id = {name: {r["doc_id"]: r for r in QUERIES[name](spark, odd).collect()} for name in QUERIES if name[:4] in ("op4_", "op5_", "op6_", "op7_", "op8_")}
+    for name, rows in by_id.items():
+        column = {"op4": "media_sha256", "op5": "score", "op7": "lang_pred", "op8": "fingerprint"}.get(name[:3])
+        for t, ids in texts.items():
+            if column and None not in ids:
+                assert len({rows[i][column] for i in ids}) == 1, (name, t)
+    op4, op5, op6, op7, op8 = (by_id[n] for n in sorted(by_id))
+    assert op4[1]["payload_bytes"] == op4[2]["payload_bytes"] == 576 and op4[1]["n_bytes"] == 0
+    assert op5[1]["score"] == op5[2]["score"] == op5[3]["score"]
+    assert all(0 <= r["score"] <= 1 for rows in (op5, op6, op7) for r in rows.values())
+    assert all((op7[i]["lang_pred"], op7[i]["score"]) == ("und", 0.0) for i in (1, 2, 3, 7))
+    assert op8[1]["fingerprint"] == op8[2]["fingerprint"] == "0" * 16 and op8[3]["component_id"] == 1
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
     planted = license_scan.NOISES * len(KNOWN) if name == "license_variants" else 0
@@ -204,6 +225,32 @@ def test_payloads_come_back(spark, odd):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in found) == expected
 
 
+def test_stored_form_and_features_against_a_slow_chunker(spark, odd):
+    """media_bytes, media_sha256 and feature, byte by byte."""
+    z = zstandard.ZstdCompressor(level=media.LEVEL)
+    expected = Counter()
+    for r in spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        load = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        marks = {i + 1 for i, h in enumerate(gear_slowly(load)) if h >> 20 == 0}
+        cut, at = [], 0
+        while at < len(load):
+            if len(load) - at <= media.MIN:
+                to = len(load)
+            else:
+                to = next((i for i in range(at + media.MIN, min(len(load), at + media.MAX)) if i in marks), min(len(load), at + media.MAX))
+            cut.append(load[at:to])
+            at = to
+        kept = b"CDC1" + len(cut).to_bytes(4, "little")
+        frames = [z.compress(c) for c in cut]
+        kept += b"".join(hashlib.sha256(c).digest()[:16] + len(f).to_bytes(4, "little") for c, f in zip(cut, frames, strict=True)) + b"".join(frames)
+        share = [load.count(bytes([i])) / len(load) for i in set(load)]
+        feature = f"chunks={len(cut)};mean={sum(load) / len(load):.3f};entropy={-sum(p * np.log2(p) for p in share):.4f};distinct={len(share)}"
+        expected[r["doc_id"], len(kept), hashlib.sha256(kept).hexdigest(), feature] += 1
+    found = QUERIES["op4_chunked_payloads"](spark, odd).collect()
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in found) == expected
+
+
 def test_store_keeps_each_chunk_once_and_notices_damage(spark, tmp_path):
     rng = random.Random(2)
     base = " ".join(str(rng.randrange(10**6)) for _ in range(6000))
@@ -391,6 +438,30 @@ def test_viterbi_shortcut_is_exact():
         assert abs(total(path.tolist()) - total(model.decode(tagger.scores[:n]).tolist())) < 1e-6
 
 
+def test_word_scores_and_paths_against_all_paths(spark):
+    """Trigram counts, word scores and the best path, written out; paths by trying all."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and dog", "en"), ("le chat et lui", "fr"), ("un deux the", "fr"), ("кот и да", "ru")])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), remainder=9)
+    counts: dict = defaultdict(Counter)
+    for _, t, lang in rows:
+        for w in t.split():
+            counts[lang].update(f"^{w}$"[i : i + 3] for i in range(len(w)))
+    every = sorted({g for c in counts.values() for g in c})
+    assert model.langs == ["en", "fr", "ru"] and sorted(model.grams) == every
+    texts = ["the chat", "dog lui кот", "et and un et", "кот", "zzz the cat et lui et chat"]
+    for t in texts:
+        ws = t.split()
+        score = []
+        for w in ws:
+            own = "ru" if w[0] > "z" else "latin"
+            row = [sum(np.log((counts[lang][g] + langid.SMOOTHING) / (sum(counts[lang].values()) + langid.SMOOTHING * (len(every) + 1))) for g in (f"^{w}$"[i : i + 3] for i in range(len(w)))) for lang in model.langs]
+            score.append([x if (lang == "ru") == (own == "ru") else langid.FOREIGN + min(0, x) for x, lang in zip(row, model.langs, strict=True)])
+        assert np.allclose(model.word_scores(ws), score)
+        total = lambda p: sum(score[i][k] for i, k in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        best = max(total(p) for p in product(range(3), repeat=len(ws)))
+        assert abs(total(model.decode(np.array(score)).tolist()) - best) < 1e-9
+
+
 def test_mixed_languages_give_spans(spark):
     rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat and the dog went through the town with them", "en"), ("le chat et la souris avec les enfants dans la maison", "fr"), ("кот и собака пошли через город", "ru")] * 30)]
     model = langid.train(spark.createDataFrame(rows, DOCS))
@@ -659,6 +730,34 @@ def test_pipeline_stages(spark, small):
     assert found and not left
 
 
+def test_toxicity_and_mixing_stages_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = docs.collect()
+    scores = model.scores([r["text"] for r in rows], {})
+    kept = corpus_pipeline.drop_toxic(spark, docs, small).collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD}
+    assert {r["doc_id"]: r for r in kept}.items() <= {r["doc_id"]: r for r in rows}.items()
+    size = lambda r: len((r["text"] or "").encode().split())
+    total = defaultdict(int)
+    for r in rows:
+        total[r["source"]] += size(r)
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    level = 0.0
+    while sum(min(2 * total[s], level * weight[s]) for s in order) < 1.5 * sum(total.values()) - 1:
+        level += 1
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, small).collect())
+    for s in order:
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(f"mix|{r['doc_id']}|{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:9])
+        target = min(2 * total[s], level * weight[s])
+        whole = int(target // total[s]) if total[s] else 0
+        times = [mixed[r["doc_id"]] for r in own]
+        # whole repeats, and once more for those of the smallest hashes
+        assert times == sorted(times, reverse=True) and set(times) <= {whole, whole + 1} | ({1, 2} if target > 2 * total[s] - 3 else set())
+        assert abs(sum(t * size(r) for t, r in zip(times, own, strict=True)) - target) <= max(map(size, own)) + 3
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
     assert corpus_pipeline.run(spark, odd).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
