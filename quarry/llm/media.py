@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, map_arrow, remove, shared_dir, table
-from quarry.llm.graph import matched
+from quarry.llm.graph import FLOOR, HOT
 
 FRAME = 576
 MIN, MAX = 1024, 16384
@@ -205,10 +205,15 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
     """Stores the texts of docs (doc_id, text) under path, reads them back, and returns a row for each document."""
     listed = cut(manifest(docs))
     write_store(docs, listed, path)
-    copies = listed.groupBy("payload").agg(F.count("*").alias("copies"))
     # computed once here, so that the result doesn't read the store again
-    restored = cut(read_store(docs.sparkSession, path).join(copies, "payload"))
-    return matched(listed.select("doc_id", "n_bytes", "payload"), restored, "payload", "copies", listed.count()).drop("payload", "copies")
+    restored = cut(read_store(docs.sparkSession, path))
+    own, total = listed.select("doc_id", "n_bytes", "payload"), listed.count()
+    # fewer than HOT payloads are those of so many documents; their rows are broadcast and the documents stay where they are
+    hot = cut(own.groupBy("payload").agg(F.count("*").alias("n")).where(F.col("n") > max(float(FLOOR), total / HOT)).select("payload"))
+    if hot.isEmpty():
+        return own.join(restored, "payload").drop("payload")
+    parts = [own.join(F.broadcast(restored.join(F.broadcast(hot), "payload", "left_semi")), "payload"), own.join(F.broadcast(hot), "payload", "left_anti").join(restored, "payload")]
+    return parts[0].unionByName(parts[1]).drop("payload")
 
 
 def op4_chunked_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
