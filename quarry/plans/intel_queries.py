@@ -87,12 +87,12 @@ def test_gap_texts(spark, sf_dir):
     The words of an item but its first and last are whole words of any text that holds it. So the second to eighth word are
     looked up among all runs of seven words, and only those texts are searched; items of fewer words meet all texts.
     """
-    words = F.split("text", " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target"), words.alias("words"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target"), F.split("text", " ").alias("words"))
     long = b.where(F.size("words") >= 9)
     run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 7), " "))
     docs_ = table(spark, sf_dir, "documents").select("text")
-    runs = docs_.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 6, F.lit(1))), lambda i: run(words, i)))))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 6, F.lit(1)))
+    runs = docs_.withColumn("words", F.split("text", " ")).withColumn("run", F.explode(F.array_distinct(F.transform(starts, lambda i: run(F.col("words"), i))))).drop("words")
     held = runs.join(long.select("item_id", "target", run(F.col("words"), 2).alias("run")), "run").where(F.contains("text", F.col("target"))).select("item_id")
     short = docs_.join(b.where(F.size("words") < 9), F.contains("text", F.col("target"))).select("item_id")
     return b.join(held.unionByName(short).distinct(), "item_id", "left_anti").select("item_id")
