@@ -74,11 +74,19 @@ def arch_violations(spark, sf_dir):
     return intel.rule_violations(edges, deny).groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
 
 
-def test_gap_anti(spark, sf_dir):
+def _nation_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as functions, with tests for those of the first region."""
     n = table(spark, sf_dir, "nation").select(F.lit("src/n.py").alias("path"), F.concat(F.lower("n_name"), F.lit("_fn")).alias("name"), F.col("n_nationkey").alias("line"))
     t = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == 0).select(F.lit("tests/t.py").alias("path"), F.concat(F.lit("test_"), F.lower("n_name"), F.lit("_f")).alias("name"), F.col("n_nationkey").alias("line"))
-    return intel.test_gaps(n.unionByName(t).withColumn("kind", F.lit("Function")), None)
+    return n.unionByName(t).withColumn("kind", F.lit("Function"))
+
+
+def test_gap_anti(spark, sf_dir):
+    return intel.test_gaps(_nation_functions(spark, sf_dir), None)
+
+
+def coverage_counts(spark, sf_dir):
+    return intel.test_coverage(_nation_functions(spark, sf_dir))
 
 
 def test_gap_texts(spark, sf_dir):
@@ -248,7 +256,7 @@ def package_of_paths(spark, sf_dir):
     return spark.createDataFrame(rows, "path string").select("path", paths.package(F.col("path")).alias("package"))
 
 
-_NAMES = """focus_neighbors focus_two_hops package_proximity impact_references symbol_risk impact_risk_tier arch_violations test_gap_anti test_gap_texts similar_symbols api_surface_counts package_summary purpose_string hot_symbols_usage
+_NAMES = """focus_neighbors focus_two_hops package_proximity impact_references symbol_risk impact_risk_tier arch_violations test_gap_anti coverage_counts test_gap_texts similar_symbols api_surface_counts package_summary purpose_string hot_symbols_usage
 convention_tags_top5 churn_30d bugfix_ratio_last30 fragile_score logistic_risk range_hunk_symbols diff_ranges review_bundle asof_enclosing dict_path_ids dict_delta dict_expand
 mermaid_edges index_counts explain_names why_file query_matches navigate_files dep_requirements stale_files package_of_paths""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -259,6 +267,8 @@ _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
 _HOT = "hot AS (SELECT node, count(dst) AS dependents FROM nodes LEFT JOIN e ON dst = node GROUP BY node ORDER BY dependents DESC, node LIMIT {k})"
 _CH = """ev AS (SELECT 'n' || (user_id % 25) AS path, ts, event_id, event_type FROM events), ch AS (SELECT path, count(*) AS churn FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 30 DAYS GROUP BY path),
 bf AS (SELECT path, avg((event_type = 'error')::INT) AS bugfix FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k <= 30 GROUP BY path)"""
+_GAPS = """WITH t AS (SELECT unnest(['test_' || lower(n_name) || '_f', lower(n_name) || '_f', '_' || lower(n_name) || '_f']) AS t FROM nation WHERE n_regionkey = 0)
+SELECT 'src/n.py' AS path, n_nationkey AS line, lower(n_name) || '_fn' AS name FROM nation WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(lower(n_name) || '_fn', t) OR contains(t, lower(n_name) || '_fn'))"""
 ORACLES = {
     "focus_neighbors": f"WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT 's3' AS node, 1.0 AS score UNION SELECT dst, 0.5 FROM b WHERE src = 's3' AND dst <> 's3') SELECT node, score::DOUBLE AS score, count(y.path)::INTEGER AS n FROM n LEFT JOIN y ON y.path = node GROUP BY node, score",
     "focus_two_hops": f"""WITH {_E}, {_SYM}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = 'n3'), h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node),
@@ -278,8 +288,8 @@ SELECT name AS symbol, n::INTEGER AS n_dependents, 0::BIGINT AS fan_in, CASE WHE
     "arch_violations": """WITH g AS (SELECT n_nationkey AS k, r_name AS layer FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT a.layer AS src_layer, b.layer AS dst_layer, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN g a ON c_nationkey = a.k
 JOIN supplier ON l_suppkey = s_suppkey JOIN g b ON s_nationkey = b.k WHERE (a.layer, b.layer) IN (('ASIA', 'EUROPE'), ('AFRICA', 'AMERICA')) GROUP BY ALL""",
-    "test_gap_anti": """WITH t AS (SELECT unnest(['test_' || lower(n_name) || '_f', lower(n_name) || '_f', '_' || lower(n_name) || '_f']) AS t FROM nation WHERE n_regionkey = 0)
-SELECT 'src/n.py' AS path, n_nationkey AS line, lower(n_name) || '_fn' AS name FROM nation WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(lower(n_name) || '_fn', t) OR contains(t, lower(n_name) || '_fn'))""",
+    "test_gap_anti": _GAPS,
+    "coverage_counts": f"WITH g AS (SELECT count(*) AS n FROM ({_GAPS})) SELECT count(*) - any_value(g.n) AS tested, any_value(g.n) AS untested, count(*) FILTER (n_regionkey = 0) AS tests FROM nation, g",
     "test_gap_texts": "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))",
     "similar_symbols": """WITH s AS (SELECT p_name AS name, p_brand AS path, p_partkey::INTEGER AS line, p_brand || ' ' || p_type AS sig, p_type AS kind FROM part),
 t AS (SELECT * FROM s WHERE name = 'red widget' ORDER BY path, line LIMIT 1),

@@ -73,7 +73,7 @@ def stream_upserts(spark, sf_dir):
         last[0] = number + 1
 
     changes.ran(stream, "upserts", "append", both)
-    return spark.read.parquet(f"{folder}/v{last[0]}").select("path", "content")
+    return spark.read.parquet(f"{folder}/v{last[0]}/files").select("path", "content")
 
 
 def lock_fold(spark, sf_dir):

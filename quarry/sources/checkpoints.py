@@ -27,8 +27,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that isn't read any more, wherever it lies."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, system = _located(spark, path)
+    system.delete(where, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as readers of files report it, with its file system."""
+    where, system = _located(spark, path)
+    return system.makeQualified(where).toString()
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file wherever it lies, so that executors can read it."""
+    where, system = _located(spark, path)
+    out = system.create(where)
+    out.write(content)
+    out.close()

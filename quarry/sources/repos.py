@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import paths
 from quarry.operators.extract import lines
+from quarry.sources.checkpoints import qualified
 
 # Folders that are never scanned.
 IGNORED_DIRS = (
@@ -77,7 +78,7 @@ def scan(spark: SparkSession, root: str, repo: str = "", extra_dirs: Sequence[st
     """Files below root as FILE_SCHEMA: ignored folders, globs and rules fall out by path, before contents are decoded; texts that aren't UTF-8 are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
     base = F.regexp_replace("path", r"^\w+:/*", "/")
-    top = str(Path(root).resolve()).rstrip("/") + "/"
+    top = re.sub(r"^\w+:/*", "/", qualified(spark, root)).rstrip("/") + "/"
     rel = F.when(base.startswith(top), F.substring(base, len(top) + 1, 10_000)).otherwise(base)
     rows = found.withColumn("path", rel)
     rows = rows.where(~F.arrays_overlap(F.split(paths.parent(F.col("path")), "/"), F.array(*(F.lit(d) for d in (*IGNORED_DIRS, *extra_dirs)))))

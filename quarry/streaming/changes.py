@@ -5,14 +5,14 @@ Changes are (path, op, ts, content): op is upsert or delete.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from quarry.sources.checkpoints import shared_dir
+from quarry.sources.checkpoints import cut, remove, shared_dir
 
 CHANGES = "repo string, path string, op string, ts timestamp, content string"
 
@@ -75,12 +75,22 @@ def ran(stream: DataFrame, name: str, mode: str = "append", keep: Callable[[Data
     return f"{folder}/out"
 
 
-def maintain(stream: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps a table of files: version n + 1 is version n with the batch applied; a repeated batch writes the same version again."""
+def maintain(stream: DataFrame, folder: str, derived: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps a table of files and the tables derived from them file by file, of which only the changed files' rows are made anew.
+
+    Version n + 1 is version n with the batch applied; a repeated batch writes the same version again. Versions before n are removed.
+    """
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{folder}/v{number}") if number else spark.createDataFrame([], "repo string, path string, content string")
-        applied(before, batch).write.mode("overwrite").parquet(f"{folder}/v{number + 1}")
+        before, after = f"{folder}/v{number}", f"{folder}/v{number + 1}"
+        none = spark.createDataFrame([], "repo string, path string, content string")
+        last = cut(latest(batch))
+        applied(spark.read.parquet(f"{before}/files") if number else none, last).write.mode("overwrite").parquet(f"{after}/files")
+        for name, extract in (derived or {}).items():
+            old = spark.read.parquet(f"{before}/{name}") if number else extract(none)
+            refreshed(old, last, extract).write.mode("overwrite").parquet(f"{after}/{name}")
+        if number > 1:
+            remove(spark, f"{folder}/v{number - 1}")
 
     return keep

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators.graph import cycle_members
-from quarry.sources.checkpoints import cut
+from quarry.sources.checkpoints import cut, remove
 from quarry.sources.package import send_package
 
 TTL = 600
@@ -97,7 +97,7 @@ def maintain(stream: DataFrame, folder: str, ttl: float = TTL) -> Callable[[Data
     """A batch function that folds a stream of events, ends of sessions included, in the order of its batches.
 
     Version n + 1 of the leases and of the paths that each running session has claimed is version n with the batch
-    folded; results of the batch are in folder/results-n. A repeated batch writes the same again.
+    folded; results of the batch are in folder/results-n. A repeated batch writes the same again; versions before n are removed.
     """
     spark = stream.sparkSession
 
@@ -116,6 +116,8 @@ def maintain(stream: DataFrame, folder: str, ttl: float = TTL) -> Callable[[Data
         kept.write.mode("overwrite").parquet(f"{folder}/v{number + 1}/leases")
         ended = rows.where("op = 'done'").select("block_key").distinct()
         claims.join(ended, "block_key", "left_anti").select("path", "block_key").write.mode("overwrite").parquet(f"{folder}/v{number + 1}/claimed")
+        if number > 1:
+            remove(spark, f"{folder}/v{number - 1}")
 
     return keep
 
