@@ -47,9 +47,12 @@ def part_of(term: Column) -> Column:
 def term_frequencies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, term, tf) of the tokens.
 
+    Texts are dealt by id once, and all counts by document stay in that partitioning: nothing longer than the texts is shuffled.
+    An id names one document: rows that share an id are counted together, in one task.
     Parts are exploded before they are stemmed, so that the stemmer runs in generated code; prefixes are added to the counted terms.
     """
-    parts = docs.select(F.col(id_column).alias("doc_id"), F.explode(text.loose_parts(F.col(text_column))).alias("part")).where("part <> ''")
+    dealt = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).repartition("doc_id")
+    parts = dealt.select("doc_id", F.explode(text.loose_parts(F.col("text"))).alias("part")).where("part <> ''")
     low = parts.select("doc_id", F.lower("part").alias("low")).where(text.is_term(F.col("low")))
     counted = low.groupBy("doc_id", "low").agg(F.count("*").alias("n")).select("doc_id", text.stem(F.col("low")).alias("term"), "n")
     both = F.when(F.length("term") >= text.PREFIX, F.array(F.substring("term", 1, text.PREFIX), F.col("term"))).otherwise(F.array("term"))
@@ -58,8 +61,10 @@ def term_frequencies(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def postings(tf: DataFrame) -> DataFrame:
     """tf with a zero entry for the four-character prefix of every longer term that is no term of the document itself."""
-    prefixes = tf.where(F.length("term") >= text.PREFIX).select("doc_id", F.substring("term", 1, text.PREFIX).alias("term"), F.lit(0).cast("long").alias("tf"))
-    return tf.unionByName(prefixes).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
+    own = F.struct("term", "tf")
+    prefix = F.struct(F.substring("term", 1, text.PREFIX).alias("term"), F.lit(0).cast("long").alias("tf"))
+    both = F.when(F.length("term") >= text.PREFIX, F.array(own, prefix)).otherwise(F.array(own))
+    return tf.select("doc_id", F.explode(both).alias("_entry")).select("doc_id", "_entry.*").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
 
 
 def document_frequencies(entries: DataFrame) -> DataFrame:
