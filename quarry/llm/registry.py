@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("license_scan", "sharding", "url_filter", "media", "toxicity", "quality", "langid", "simhash", "decontaminate", "mixing", "pairs", "conversations")
+MODULES = ("license_scan", "sharding", "url_filter", "media", "toxicity", "quality", "langid", "simhash", "decontaminate", "mixing", "pairs", "conversations", "warc")
 
 
 def _merged(name: str) -> dict:

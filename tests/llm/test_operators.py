@@ -53,7 +53,10 @@ def odd(spark, tmp_path_factory):
         extra = extra.withColumn(c, F.lit("x"))
     extra.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(4, 1, 1), (5, 0, 0), (6, 1, None), (6, 0, 1), (None, 1, 1), (11, 0, 0), (999, 1, 1)] + [(100 + i, i % 2, i % 3 // 2) for i in range(30)], "doc_id long, quality int, toxic int").withColumn("label", F.lit(9)).write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://A.net"), (5, "http://a.net/"), (6, "https://x.example.net/en/4?q"), (7, "http://example.com/de"), (8, "http://example.com/de/x"), (9, "http://y.org/fr/4"), (None, "http://z.org/4"), (4, "http://A.net")], "page_id long, url string").withColumn("host", F.lit("x")).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://A.net"), (5, "http://a.net/"), (6, "https://x.example.net/en/4?q"), (7, "http://example.com/de"), (8, "http://example.com/de/x"), (9, "http://y.org/fr/4"), (None, "http://z.org/4"), (4, "http://A.net")], "page_id long, url string").withColumns({"host": F.lit("x"), "html": F.lit("<p>")}).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, 1, "user", "a?"), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(1, None), (None, "x")], "sale_id long, bucket string").write.parquet(f"{folder}/sales.parquet")
+    spark.createDataFrame([(1, 3), (None, None), (2, 4)], "sale_id long, item_id long").write.parquet(f"{folder}/sale_lines.parquet")
     spark.createDataFrame([(1, None), (2, ""), (3, "red red"), (None, "the of red blue ring bolt the of red blue ring bolt"), (5, " ".join(odd_documents()[3][1].split()[100:140])), (5, "ring")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
@@ -61,7 +64,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory, small):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "conversations", "sales", "sale_lines"):
         spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder
 
@@ -70,7 +73,7 @@ def empty(spark, tmp_path_factory, small):
 def test_odd_tables(spark, odd, name):
     found = QUERIES[name](spark, odd).collect()
     planted = license_scan.NOISES * len(KNOWN) + 1
-    assert len(found) == {"op3_host_reputation": 11, "license_variants": planted}.get(name, len(odd_documents()))
+    assert len(found) == {"op3_host_reputation": 11, "op13_two_level_index": 11, "op12_retained_subsequence": 2, "op11_contingency_pair": 5, "license_variants": planted}.get(name, len(odd_documents()))
 
 
 def test_odd_texts_give_defined_results(spark, odd):
@@ -100,7 +103,7 @@ def test_empty_tables(spark, empty, name):
 
 @pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n[:4] in ("op1_", "op10", "op2_", "op9_", "op3_", "lice")])
 def test_odd_tables_match_sql(spark, odd, name, tmp_path):
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "conversations", "sales", "sale_lines"):
         spark.read.parquet(f"{odd}/{t}.parquet").coalesce(1).toPandas().to_parquet(tmp_path / f"{t}.parquet")
     check(spark, str(tmp_path), QUERIES[name], ORACLES[name])
 
