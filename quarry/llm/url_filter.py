@@ -4,11 +4,14 @@ Rules are (host, path prefix); a rule fits its host and all subdomains if the ur
 path starts with the rule's path, and the longest fitting rule wins. Every other url
 gets the method's verdict: labelled page outcomes are counted by host, registered
 domain and public suffix; each level's rate is shrunk towards its parent's by a
-beta-binomial prior whose strength is the level's moment estimate; a url is blocked
-if the lower posterior bound of its host's rate of bad pages exceeds the rate of all
-labelled pages `worse` times over: if its host is credibly worse than the table. So the
-verdict doesn't hang on how common bad pages are or how many are labelled, and where
-outcomes don't differ by host beyond chance, the prior is strong and no host is blocked.
+beta-binomial prior whose strength is the level's moment estimate, but never more than
+the number of all labelled pages, which is all that is known about a level without
+measurable spread; a url is blocked if the lower posterior bound of its host's rate of
+bad pages exceeds the rate of all labelled pages `worse` times over: if its host is
+credibly worse than the table. The bound holds the parents' uncertainty: by the law of
+total variance a level's variance is its own and its parent's times the square of the
+prior's share. So the verdict doesn't hang on how common bad pages are or how many are
+labelled: a host that differs by chance is as a rule allowed, with few labels as with many.
 
 Host: after the first `://` up to `/`, `?`, `#` or end, A-Z lower-cased. Path: then up
 to `?`, `#` or end. A null url or one without `://` has empty host and path, which
@@ -33,7 +36,8 @@ from quarry.llm.common import cut, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Public suffixes of two labels; any other suffix is the last label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx", "co.kr")
-Z = 1.645
+#: One posterior in a hundred lies below the bound.
+Z = 2.326
 #: A host is blocked if the lower bound of its rate exceeds the table's rate so many times over.
 WORSE = 1.0
 WEAKEST, STRONGEST = 1.0, 10_000.0
@@ -67,33 +71,38 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def strength(children: DataFrame) -> float:
-    """The prior strength of a level, by moments. children: n, s (bad ones), m (the parent's rate)."""
+def strength(children: DataFrame, evidence: float) -> float:
+    """The prior strength of a level, by moments, at most `evidence`. children: n, s (bad ones), m (the parent's rate)."""
     n, m = F.col("n").cast("double"), F.col("m")
     row = children.where("n > 0").agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), F.sum(n * (F.col("s") / n - m) * (F.col("s") / n - m)).alias("ss"), F.sum(n * m * (1 - m)).alias("v")).first()
+    most = max(WEAKEST, min(STRONGEST, evidence))
     if not row["k"] or row["n"] is None or row["v"] <= 0:
-        return STRONGEST
+        return most
     mean_v, spread = row["v"] / row["n"], row["n"] - row["n2"] / row["n"]
     between = (row["ss"] - (row["k"] - 1) * mean_v) / spread if spread > 0 else 0.0
-    return min(STRONGEST, max(WEAKEST, mean_v / between - 1)) if between > 0 else STRONGEST
+    return min(most, max(WEAKEST, mean_v / between - 1)) if between > 0 else most
 
 
 def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """(host, n, s) -> (host, rate, lower, base): posterior mean and lower bound of each host's rate of bad pages, and the rate of all pages."""
     hosts = cut(outcomes.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    base = (total["s"] / total["n"]) if total["n"] else 0.0
+    labelled = float(total["n"] or 0)
+    base = total["s"] / labelled if labelled else 0.0
 
-    def shrunk(level: DataFrame) -> DataFrame:
-        k = strength(level)
-        return level.withColumn("a", F.lit(k) * F.col("m") + F.col("s")).withColumn("b", F.lit(k) * (1 - F.col("m")) + F.col("n") - F.col("s"))
+    def shrunk(level: DataFrame, *keys: str) -> DataFrame:
+        """keys, m and v: mean and variance of the rate of each row of level (n, s, and the parent's m and v)."""
+        k = F.lit(strength(level, labelled))
+        a, b = k * F.col("m") + F.col("s"), k * (1 - F.col("m")) + F.col("n") - F.col("s")
+        mean, share = a / (a + b), k / (k + F.col("n"))
+        return level.select(*keys, mean.alias("m"), (mean * (1 - mean) / (a + b + 1) + share * share * F.col("v")).alias("v"))
 
-    suffixes = cut(shrunk(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(float(base)))).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m")))
-    domains = cut(shrunk(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(suffixes, "suffix")).select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m")))
-    a, b = F.col("a"), F.col("b")
-    mean = a / (a + b)
-    out = shrunk(cut(hosts.join(domains, "domain"))).select("host", mean.alias("rate"), F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"), F.lit(float(base)).alias("base"))
-    return cut(out)
+    counts = (F.sum("n").alias("n"), F.sum("s").alias("s"))
+    root = {"m": F.lit(base), "v": F.lit(base * (1 - base) / (labelled + 1))}
+    suffixes = cut(shrunk(hosts.groupBy("suffix").agg(*counts).withColumns(root), "suffix"))
+    domains = cut(shrunk(hosts.groupBy("domain", "suffix").agg(*counts).join(suffixes, "suffix"), "domain"))
+    out = shrunk(cut(hosts.join(domains, "domain")), "host")
+    return cut(out.select("host", F.col("m").alias("rate"), F.greatest(F.lit(0.0), F.col("m") - z * F.sqrt("v")).alias("lower"), F.lit(base).alias("base")))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, worse: float = WORSE, z: float = Z) -> DataFrame:
@@ -129,12 +138,14 @@ def _oracle() -> str:
     verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)
 
     def level(name: str, rows: str) -> str:
+        most = f"greatest({WEAKEST}::DOUBLE, least({STRONGEST}::DOUBLE, (SELECT coalesce(sum(n), 0)::DOUBLE FROM h)))"
         return f"""{name}_in AS ({rows}),
-{name}_k AS (SELECT CASE WHEN count(*) = 0 OR sum(n * m * (1 - m)) <= 0 THEN {STRONGEST}::DOUBLE ELSE (
-    SELECT CASE WHEN btw > 0 THEN least({STRONGEST}::DOUBLE, greatest({WEAKEST}::DOUBLE, mv / btw - 1)) ELSE {STRONGEST}::DOUBLE END
+{name}_k AS (SELECT CASE WHEN count(*) = 0 OR sum(n * m * (1 - m)) <= 0 THEN {most} ELSE (
+    SELECT CASE WHEN btw > 0 THEN least({most}, greatest({WEAKEST}::DOUBLE, mv / btw - 1)) ELSE {most} END
     FROM (SELECT mv, CASE WHEN sp > 0 THEN (ss - (kk - 1) * mv) / sp ELSE 0 END AS btw FROM (
       SELECT count(*) AS kk, sum(n * m * (1 - m)) / sum(n) AS mv, sum(n::DOUBLE) - sum(n::DOUBLE * n) / sum(n) AS sp, sum(n * (s / n::DOUBLE - m) * (s / n::DOUBLE - m)) AS ss FROM {name}_in WHERE n > 0))) END AS k FROM {name}_in WHERE n > 0),
-{name} AS (SELECT i.*, k * m + s AS a, k * (1 - m) + n - s AS b FROM {name}_in i, {name}_k)"""
+{name}_p AS (SELECT i.*, k, k * m + s AS a, k * (1 - m) + n - s AS b FROM {name}_in i, {name}_k),
+{name} AS (SELECT * EXCLUDE (m, v), a / (a + b) AS m, a / (a + b) * (1 - a / (a + b)) / (a + b + 1) + k / (k + n) * (k / (k + n)) * v AS v FROM {name}_p)"""
 
     return rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -142,10 +153,11 @@ lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic = 1, FALSE) T
 o AS (SELECT page_id, max(bad) AS bad FROM u JOIN lab ON lab.doc_id = nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1), '')::BIGINT GROUP BY page_id),
 c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS s FROM u LEFT JOIN o USING (page_id) GROUP BY host),
 h AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain FROM c),
-{level("sx", "SELECT suffix, sum(n) AS n, sum(s) AS s, (SELECT coalesce(sum(s) / nullif(sum(n), 0)::DOUBLE, 0) FROM h) AS m FROM h GROUP BY suffix")},
-{level("dm", "SELECT domain, any_value(h.suffix) AS suffix, sum(h.n) AS n, sum(h.s) AS s, any_value(sx.a / (sx.a + sx.b)) AS m FROM h JOIN sx ON h.suffix = sx.suffix GROUP BY domain")},
-{level("ho", "SELECT host, h.n, h.s, dm.a / (dm.a + dm.b) AS m FROM h JOIN dm ON h.domain = dm.domain")},
-r AS (SELECT host, a / (a + b) AS rate, greatest(0.0::DOUBLE, a / (a + b) - {Z}::DOUBLE * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_, (SELECT coalesce(sum(s) / nullif(sum(n), 0)::DOUBLE, 0) FROM h) AS base FROM ho),
+b AS (SELECT coalesce(sum(s) / nullif(sum(n), 0)::DOUBLE, 0) AS base, coalesce(sum(n), 0)::DOUBLE AS labelled FROM h),
+{level("sx", "SELECT suffix, sum(n)::DOUBLE AS n, sum(s) AS s, any_value(base) AS m, any_value(base * (1 - base) / (labelled + 1)) AS v FROM h, b GROUP BY suffix")},
+{level("dm", "SELECT domain, any_value(h.suffix) AS suffix, sum(h.n)::DOUBLE AS n, sum(h.s) AS s, any_value(sx.m) AS m, any_value(sx.v) AS v FROM h JOIN sx ON h.suffix = sx.suffix GROUP BY domain")},
+{level("ho", "SELECT host, h.n::DOUBLE AS n, h.s, dm.m, dm.v FROM h JOIN dm ON h.domain = dm.domain")},
+r AS (SELECT host, m AS rate, greatest(0.0::DOUBLE, m - {Z}::DOUBLE * sqrt(v)) AS lower_, base FROM ho, b),
 j AS (SELECT u.*, rate, lower_, base, CASE {rules} END AS rule FROM u LEFT JOIN r USING (host))
 SELECT page_id, host, path, rule, CASE {verdicts} WHEN lower_ > base * {WORSE}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, round(rate, 4) AS bad_rate, round(lower_, 4) AS bad_lower FROM j
 """

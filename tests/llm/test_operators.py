@@ -190,6 +190,31 @@ def test_hosts_that_differ_by_chance_are_allowed(spark):
     assert found.where("verdict = 'block'").count() == 0
 
 
+@pytest.mark.parametrize("pages", [30, 250])
+def test_few_labels_block_no_host_by_chance(spark, pages):
+    """Some hosts have one good page, some none; in 10 tables each no host without a bad page is blocked, and one of 20 bad pages is."""
+    blocked = 0
+    for seed in range(10):
+        rng = random.Random(seed * 1000 + pages)
+        rows = [(i, f"http://h{rng.randint(0, 24)}.d{rng.randint(0, 9)}.{rng.choice(['com', 'net', 'org'])}/{i}") for i in range(pages)]
+        bad = [(i, int(rng.random() < 0.38)) for i, _ in rows]
+        rows += [(10_000 + i, f"http://worst.example.info/{i}") for i in range(20)]
+        bad += [(10_000 + i, 1) for i in range(20)]
+        dirty = {u.split("/")[2] for (_, u), (_, b) in zip(rows, bad, strict=True) if b}
+        found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), ())
+        hosts = {r["host"] for r in found.where("verdict = 'block'").select("host").distinct().collect()}
+        assert "worst.example.info" in hosts and not hosts - dirty
+        blocked += len(hosts) - 1
+    assert blocked <= 2
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_pages_are_allowed(spark, small, size):
+    """Their outcomes don't differ by host beyond chance."""
+    found = url_filter.op3_host_reputation(spark, f"{Path(small).parent}/{size}")
+    assert found.where("rule IS NULL AND verdict = 'block'").count() == 0
+
+
 def test_rules(spark):
     rows = [("http://a.net/x", "block"), ("http://example.net/en/x", "allow"), ("http://b.example.net/en", "block"), ("http://example.com/de/", "block"), ("http://x.org/fr/", "allow"), ("http://myexample.com/de/", None), ("http://A.NET", None)]
     df = spark.createDataFrame(rows, "url string, expected string")
