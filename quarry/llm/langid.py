@@ -11,10 +11,18 @@ by more than the penalty of entering it; that is checked for whole batches at on
 (largest sum of a run of consecutive gains), and only texts that fail the check are
 decoded word by word.
 
+Letters are the code points of category L; marks (M) belong to the word whose letter they
+follow, so that vowel signs don't split words. Number characters and anything else don't.
+
 Trigrams are counted in a sample of about TRAIN_TEXTS texts of each language, chosen
-by a hash of the id, whole texts each. At most LANGS languages are learned, those with
-most texts, and of each the GRAMS commonest trigrams, which bounds the model. Null
-languages are not learned from. A text that is null or has no letter is `und` with score
+by a hash of the id, whole texts each. Every language is learned and every trigram of the
+sample counts. A model has CELLS numbers at most: CELLS / languages columns, of which the
+first half belongs to one trigram each, the commonest first, and the rest is shared by all
+other trigrams by their hash, if there are any. More than MOST_LANGS languages raise an
+error. Scores of words are kept up to CACHE bytes, and texts are scored in pieces of CHUNK
+bytes, the longest too, so that memory doesn't grow with languages or length.
+
+Null languages are not learned from. A text that is null or has no letter is `und` with score
 0, and so is every text if nothing was learned. Ties go to the first language in code
 point order. Repeated rows give repeated rows and equal texts equal values. Very long
 texts are labelled whole. Ids are integers or null. Empty tables give empty results.
@@ -24,6 +32,9 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -33,12 +44,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.common import cut, held_out, map_arrow, table
 
 TRAIN_TEXTS = 1500
-LANGS, GRAMS = 400, 60_000
+#: Numbers of a model, own columns at most, and languages at most (each then has 64 columns).
+CELLS, OWN, MOST_LANGS = 1 << 24, 500_000, 1 << 18
+#: Bytes of kept word scores, and of the scores of the words that are decoded at once.
+CACHE, CHUNK = 128 << 20, 32 << 20
 MODULUS, REMAINDER = 4, 2
 SWITCH = 12.0
 #: A language uses a script if this share of its words is written in it.
@@ -55,11 +68,25 @@ RANGES = (
     (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"),
 )
 _FIRST = [a for a, _ in RANGES]
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(of: str) -> str:
+    """The characters whose category begins with one of the letters of `of`, as ranges for a pattern."""
+    points = [i for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) in of.split()]
+    edges = [k for k, i in enumerate(points) if not k or i != points[k - 1] + 1]
+    return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip(edges, [*edges[1:], len(points)], strict=True))
+
+
+#: Word characters that are neither letters nor decimal digits, and marks.
+_NUMBERS, _MARKS = _class("Nl No"), _class("Mn Mc Me")
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED_WORD = re.compile(rf"[^\W\d_{_NUMBERS}](?:[^\W\d_{_NUMBERS}]|[{_MARKS}])*")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_MARKED_WORD if _MARK.search(low) else _WORD).findall(low)
 
 
 def script(word: str) -> str:
@@ -74,11 +101,23 @@ def trigrams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+class Grams(dict):
+    """Columns of trigrams; those without a column of their own share the `shared` columns after the own ones."""
+
+    shared = 0
+
+    def get(self, gram: str, unseen: int) -> int:
+        at = dict.get(self, gram)
+        if at is not None:
+            return at
+        return len(self) + zlib.crc32(gram.encode()) % self.shared if self.shared else unseen
+
+
 @dataclass
 class Model:
     langs: list[str]
     grams: dict[str, int]
-    #: log-probabilities, languages x trigrams; the last column is of unseen ones
+    #: log-probabilities, languages x columns; the last column is of unseen trigrams
     logp: np.ndarray
     #: by script: whether a language uses it
     uses: dict[str, np.ndarray]
@@ -86,11 +125,13 @@ class Model:
 
     def word_scores(self, found: list[str]) -> np.ndarray:
         """Words x languages."""
+        if (most := max(1, CHUNK // (64 * max(1, len(self.langs))))) < len(found):
+            return np.concatenate([self.word_scores(found[i : i + most]) for i in range(0, len(found), most)])
         unseen, get = self.logp.shape[1] - 1, self.grams.get
         each = [trigrams(w) for w in found]
         ids = np.fromiter((get(g, unseen) for gs in each for g in gs), np.int64)
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        out = np.add.reduceat(self.logp.T[ids], np.cumsum(sizes) - sizes)
+        out = np.add.reduceat(self.logp.T[ids].astype(np.float64), np.cumsum(sizes) - sizes)
         for i, name in enumerate(map(script, found)):
             uses = self.uses.get(name)
             if uses is not None and uses.any() and not uses.all():
@@ -120,10 +161,10 @@ class Model:
 class Tagger:
     """Labels batches of texts with a model; keeps the scores of words seen before."""
 
-    MOST = 600_000
-
     def __init__(self, model: Model) -> None:
         self.model = model
+        width = 8 * max(1, len(model.langs))
+        self.most, self.at_once = max(1024, CACHE // width), max(16, CHUNK // width)
         self.clear()
 
     def clear(self) -> None:
@@ -141,14 +182,52 @@ class Tagger:
             self.scores[first : len(row)] = self.model.word_scores(new)
         return np.fromiter(map(row.__getitem__, found), np.int64, len(found))
 
+    def long_path(self, found: list[str]) -> np.ndarray:
+        """As Model.decode, by pieces of at_once words: of each step only whether a path stays in its language, and the best one, are kept."""
+        best, stays, bests = None, [], []
+        for first in range(0, len(found), self.at_once):
+            if len(self.row) > self.most:
+                self.clear()
+            for row in self.scores[self.numbers(found[first : first + self.at_once])]:
+                if best is None:
+                    best = row.copy()
+                    continue
+                floor = best.max() - self.model.switch
+                stays.append(np.packbits(best >= floor))
+                bests.append(int(best.argmax()))
+                best = np.maximum(best, floor) + row
+        at = int(best.argmax())
+        path = np.empty(len(found), np.int64)
+        path[-1] = at
+        for t in range(len(bests) - 1, -1, -1):
+            if not stays[t][at >> 3] >> (7 - (at & 7)) & 1:
+                at = bests[t]
+            path[t] = at
+        return path
+
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words the language by word."""
-        if len(self.row) > self.MOST:
+        if not self.model.langs:
+            return [np.zeros(0, np.int64)] * len(texts)
+        out, group, held = [], [], 0
+        for t in texts:
+            if group and held + len(t) > self.at_once:
+                out += self.group_paths(group)
+                group, held = [], 0
+            if len(t) > self.at_once:
+                out.append(self.long_path(t))
+            else:
+                group.append(t)
+                held += len(t)
+        return out + self.group_paths(group)
+
+    def group_paths(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.row) > self.most:
             self.clear()
         sizes = np.array([len(t) for t in texts], np.int64)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         full = np.nonzero(sizes)[0]
-        if not len(full) or not self.model.langs:
+        if not len(full):
             return out
         rows = self.numbers([w for i in full for w in texts[i]])
         scores = self.scores[rows]
@@ -191,13 +270,16 @@ _taggers: dict[int, Tagger] = {}
 def train(docs: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER, texts: int = TRAIN_TEXTS) -> Model:
     """A model from docs (doc_id, text, lang). The driver gets trigram counts of about `texts` texts a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not n:
         return Model([], {}, np.zeros((0, 1)), {})
+    if len(n) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} languages: a model of CELLS numbers has too few for each")
     # a hash bound keeps each language's share of the rows near `texts`, without sorting
-    bound = F.create_map(*(x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, texts / k)))))
+    bounds = docs.sparkSession.createDataFrame([(lang, min(1.0, texts / k)) for lang, k in n.items()], "lang string, bound double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < F.element_at(bound, F.col("lang"))).select("lang", "text")
+    # a row for each language, MOST_LANGS at most
+    sample = known.join(F.broadcast(bounds), "lang").where(draw < F.col("bound")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,20 +294,29 @@ def train(docs: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER, t
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(kind), pa.array(what), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "what", "n"])
 
     counted = map_arrow(sample, count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "what"))
-    counted = counted.withColumn("rank", rank).where(F.col("rank") <= GRAMS).drop("rank")
+    counted = cut(counted)
     langs = sorted(n, key=lambda x: x.encode())
-    rows = sorted(map(tuple, cut(counted).collect()))
-    grams = {g: i for i, g in enumerate(sorted({what for _, kind, what, _ in rows if kind == "gram"}))}
-    counts = np.zeros((len(langs), len(grams) + 1))
-    scripts: dict[str, np.ndarray] = {}
     at = {lang: i for i, lang in enumerate(langs)}
-    for lang, kind, what, k in rows:
-        if kind == "gram":
-            counts[at[lang], grams[what]] = k
-        else:
-            scripts.setdefault(what, np.zeros(len(langs)))[at[lang]] = k
-    logp = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * counts.shape[1]))
+    columns = CELLS // len(langs)
+    totals = counted.where("kind = 'gram'").groupBy("what").agg(F.sum("n").alias("n"))
+    own = [r["what"] for r in totals.orderBy(F.desc("n"), "what").limit(min(OWN, columns // 2)).select("what").collect()]
+    grams = Grams((g, i) for i, g in enumerate(sorted(own)))
+    # columns that trigrams without one of their own share
+    grams.shared = columns // 2 if totals.count() > len(grams) else 0
+    # no more rows than own columns
+    places = docs.sparkSession.createDataFrame(list(grams.items()) or [("", 0)], "what string, place int")
+    shared = F.lit(len(grams)) + F.crc32(F.col("what").cast("binary")) % max(1, grams.shared)
+    cells = counted.where("kind = 'gram'").join(F.broadcast(places), "what", "left").groupBy("lang", F.coalesce("place", shared).cast("int").alias("place")).agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(grams) + grams.shared + 1, len(langs)), np.float32).T
+    lang_at = np.array([at[x] for x in cells["lang"].to_pylist()], np.int64)
+    counts[lang_at, cells["place"].to_numpy()] = cells["n"].to_numpy()
+    scripts: dict[str, np.ndarray] = {}
+    for lang, what, k in counted.where("kind = 'script'").select("lang", "what", "n").collect():
+        scripts.setdefault(what, np.zeros(len(langs)))[at[lang]] = k
+    sums = counts.sum(1, keepdims=True, dtype=np.float64)
+    logp = counts
+    for i in range(len(langs)):
+        logp[i] = np.log((counts[i].astype(np.float64) + SMOOTHING) / (sums[i] + SMOOTHING * counts.shape[1]))
     total = np.maximum(1, sum(scripts.values(), np.zeros(len(langs))))
     return Model(langs, grams, logp, {s: k / total >= SCRIPT_SHARE for s, k in scripts.items()})
 

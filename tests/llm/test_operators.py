@@ -490,6 +490,51 @@ def test_word_scores_and_paths_against_all_paths(spark):
         assert abs(total(model.decode(np.array(score)).tolist()) - best) < 1e-9
 
 
+def test_letters_are_letters():
+    """Number characters are none, marks stay in their word."""
+    assert [langid.words(t) for t in ("½ ² ① Ⅷ 12 _", None, "a½b x²")] == [[], [], ["a", "b", "x"]]
+    assert langid.words("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and langid.words("e\u0301té \u0301a") == ["e\u0301té", "a"]
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 1 << 17])
+def test_hundreds_of_languages(spark, monkeypatch, cells):
+    """600 languages of invented words: none is dropped, also where most trigrams share a column; memory of a model and its tagger is bounded."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rng = random.Random(5)
+    vocabulary = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(12)] for i in range(600)}
+    rows = [(k, " ".join(rng.choice(ws) for _ in range(30)), lang) for lang, ws in vocabulary.items() for k in range(4)]
+    model = langid.train(spark.createDataFrame([(4 * i + k, t, lang) for i, (k, t, lang) in enumerate(rows)], "doc_id long, text string, lang string"), modulus=1_000_003)
+    assert model.langs == sorted(vocabulary) and model.logp.size <= cells + 600 and model.logp.dtype == np.float32
+    monkeypatch.setattr(langid, "CHUNK", 1 << 19)
+    tagger = langid.Tagger(model)
+    texts = [(lang, " ".join(rng.choice(ws) for _ in range(20))) for lang, ws in vocabulary.items()]
+    found = [x[0] for x in tagger.tag([t for _, t in texts])]
+    right = sum(a == b for a, (b, _) in zip(found, texts, strict=True))
+    assert right >= 595 if cells == langid.CELLS else right >= 500
+
+
+def test_long_texts_are_decoded_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = langid.Model(["a", "b", "c"], {}, np.zeros((3, 1)), {}, 3.0)
+    for _ in range(40):
+        tagger = langid.Tagger(model)
+        n = int(rng.integers(1, 60))
+        tagger.scores = rng.normal(scale=2, size=(n, 3))
+        tagger.row = {str(i): i for i in range(n)}
+        names = [str(i) for i in range(n)]
+        tagger.at_once = 7
+        assert tagger.long_path(names).tolist() == model.decode(tagger.scores[:n]).tolist()
+        assert len(tagger.paths([names, names[:3], [], names[:5]])) == 4
+
+
+def test_documents_without_letters_are_und(spark, small, tmp_path):
+    rows = [(1, "½ ² ①"), (2, "…"), (3, "Ⅷ"), (4, "the")]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(-i, t, None) for i, t in rows], "doc_id long, text string, lang string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op7_viterbi_langid(spark, str(tmp_path)).where("doc_id < 0").collect()}
+    assert [found[-i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and found[-4][0] == "en"
+
+
 def test_mixed_languages_give_spans(spark):
     rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat and the dog went through the town with them", "en"), ("le chat et la souris avec les enfants dans la maison", "fr"), ("кот и собака пошли через город", "ru")] * 30)]
     model = langid.train(spark.createDataFrame(rows, DOCS))
