@@ -189,6 +189,8 @@ class Archive:
     records: str
     index: str
     files: tuple[tuple[Place, str], ...]
+    #: Bytes of all archives.
+    size: int
 
 
 def deduplicated(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -222,12 +224,13 @@ def archived(pages: DataFrame, folder: str, least: int = LEAST) -> Archive:
         system.create_dir(bare, recursive=True)
     records = cut(map_arrow(deduplicated(pages, least), _writer(at["records"]), RECORDS))
     _left_over(spark, at["records"], {r.file for r in records.select("file").distinct().toLocalIterator()})
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), records.count() // PER_FILE + 1)
+    lines, size = records.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines // PER_FILE + 1)
     # pages of one url are dealt by page
     dealt = records.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     files = map_arrow(dealt, _indexer(at["index"]), _INDEX).collect()
     _left_over(spark, at["index"], {f"{r.name}.{kind}.gz" for r in files for kind in ("cdx", "dir")})
-    return Archive(at["records"], at["index"], tuple(sorted((_place(r.key, r.page_id), r.name) for r in files)))
+    return Archive(at["records"], at["index"], tuple(sorted((_place(r.key, r.page_id), r.name) for r in files)), size)
 
 
 class Search:
@@ -335,7 +338,9 @@ def _reader(archive: Archive) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
 def read_back(archive: Archive, records: DataFrame) -> DataFrame:
     """READ of records (file, offset, length), from the archives. A damaged record raises."""
     places = records.select("file", "offset", "length", F.floor(F.col("offset") / SEGMENT).alias("segment"))
-    return map_arrow(places.repartition("file", "segment").sortWithinPartitions("file", "offset").select("file", "offset", "length"), _reader(archive), READ)
+    # a given number of tasks, as the few bytes of places say nothing of the bytes that they name
+    n = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), archive.size // SEGMENT + 1)
+    return map_arrow(places.repartition(n, "file", "segment").sortWithinPartitions("file", "offset").select("file", "offset", "length"), _reader(archive), READ)
 
 
 def op13_two_level_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_search_reads_few_blocks(spark, tmp_path, monkeypatch):
     for part in (records[:1700], records[1700:3000], records[3000:]):
         b = next(iter(warc._indexer(f"file://{tmp_path}")(batches(part))))
         files.append((warc._place(b["key"][0].as_py(), b["page_id"][0].as_py()), b["name"][0].as_py()))
-    search = warc.Search(warc.Archive("", f"file://{tmp_path}", tuple(files)))
+    search = warc.Search(warc.Archive("", f"file://{tmp_path}", tuple(files), 0))
     by_key = defaultdict(set)
     for i, k in key:
         by_key[k].add(i)
