@@ -4,8 +4,13 @@ A text is brought to a canonical form: lower case, copyright lines dropped, runs
 anything but letters and digits to one space, equivalent spellings to one. The
 SHA-256 of the whole canonical text is hash-joined to the digests of known licences:
 those of the texts in license_texts and of the whole long licences in license_digests.
-A copyright line starts with the word or the sign and names a year or a placeholder; a
-sentence of a licence that is wrapped before the word `copyright` stays.
+A copyright line starts with the word or the sign and names a year or a placeholder, or a
+name (`Copyright Foo Inc.`): the word in lower case but for its first letter, then a capital
+that doesn't begin a term of licences such as `Copyright Holder`. A sentence of a licence
+that is wrapped before the word `copyright` stays. A title above the first words of a short
+licence (`The MIT License (MIT)`, `BSD 3-Clause License`) is dropped. Whoever a BSD licence
+names (`Neither the name of Foo Inc. nor ...`, `provided by the regents ...`) stands for
+the holder, in up to NAMED words.
 
 Every word is respelt by itself, neighbours included; spellings are looked for only in
 texts that hold one, which changes nothing else. Nulls: a null text has null digest and
@@ -81,8 +86,28 @@ COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(?:(?:copyright|\(c\)|©)(?:[^\n]*[0-9]{4}|[ \t
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+#: Terms of licences that follow the word, so that such a line names nobody.
+TERMS = ("Act", "Acts", "Holder", "Holders", "Interest", "Law", "Laws", "Licence", "License", "Notice", "Notices", "Owner", "Owners", "Statement")
+NAMED_LINE = r"(?m)^[^A-Za-z\n]*[Cc]opyright[ \t:]+\p{Lu}[^\n]*$"
+#: Words of a holder's name at most.
+NAMED = 30
+#: (pattern, its start, its end): what stands between is replaced by HOLDER words. Of canonical texts.
+SLOTS = (
+    (rf"neither the names? of (?:[^ ]+ ){{1,{NAMED}}}?nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (rf"this software is provided by (?:[^ ]+ ){{1,{NAMED}}}?as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (rf"in no event shall (?:[^ ]+ ){{1,{NAMED}}}?be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+)
+#: A title and the first words of a licence that may bear it. Of canonical texts.
+TITLE = r"^(?:the )?(?:(?:mit|isc|zlib|expat|x11)(?: license)?(?: mit| isc)?|mit no attribution(?: license)?|(?:new |modified |revised |simplified )?bsd(?: [023] clause)?(?: license)?|[023] clause bsd license|bsd zero clause license|zero clause bsd(?: license)?) "
+FIRST_WORDS = "(permission is hereby granted|permission to use copy modify|redistribution and use in source|this software is provided as is)"
+
+
 def canonical(text: Column) -> Column:
-    low = F.lower(text)
+    terms = text
+    for term in TERMS:
+        terms = F.replace(terms, F.lit(f"Copyright {term}"), F.lit(f"copyright {term.lower()}"))
+    unnamed = F.when(text.contains("opyright"), F.regexp_replace(terms, NAMED_LINE, " ")).otherwise(text)
+    low = F.lower(unnamed)
     low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
     plain = F.regexp_replace(low, NOT_WORD, " ")
     # two spaces between words, so that no two spellings share one
@@ -91,7 +116,12 @@ def canonical(text: Column) -> Column:
         respelt = F.replace(respelt, F.lit(" " + spelling.replace(" ", "  ") + " "), F.lit(f" {one} "))
     any_of = r" (?:" + "|".join(spelling for spelling, _ in SPELLINGS) + r") "
     holds = F.concat(F.lit(" "), plain, F.lit(" ")).rlike(any_of)
-    return F.trim(F.when(holds, F.replace(respelt, F.lit("  "), F.lit(" "))).otherwise(plain))
+    out = F.trim(F.when(holds, F.replace(respelt, F.lit("  "), F.lit(" "))).otherwise(plain))
+    slotted = out
+    for pattern, whole in SLOTS:
+        slotted = F.regexp_replace(slotted, pattern, whole)
+    out = F.when(out.contains("redistribution and use in source"), slotted).otherwise(out)
+    return F.regexp_replace(out, TITLE + FIRST_WORDS, "$1")
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
@@ -131,12 +161,20 @@ def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain(text: str) -> str:
-    low = f"lower({text})"
-    low = f"CASE WHEN regexp_matches({low}, 'copyright|\\(c\\)|©|all rights reserved') THEN regexp_replace({low}, '{COPYRIGHT_LINE}', ' ', 'g') ELSE {low} END"
+    terms = text
+    for term in TERMS:
+        terms = f"replace({terms}, 'Copyright {term}', 'copyright {term.lower()}')"
+    low = f"lower(regexp_replace({terms}, '{NAMED_LINE}', ' ', 'g'))"
+    low = f"regexp_replace({low}, '{COPYRIGHT_LINE}', ' ', 'g')"
     out = f"' ' || replace(regexp_replace({low}, '{NOT_WORD}', ' ', 'g'), ' ', '  ') || ' '"
     for a, b in SPELLINGS:
         out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b} ')"
-    return f"sha256(trim(replace({out}, '  ', ' ')))"
+    out = f"trim(replace({out}, '  ', ' '))"
+    slotted = out
+    for pattern, whole in SLOTS:
+        slotted = f"regexp_replace({slotted}, '{pattern}', '{whole}', 'g')"
+    out = f"CASE WHEN contains({out}, 'redistribution and use in source') THEN {slotted} ELSE {out} END"
+    return f"sha256(regexp_replace({out}, '{TITLE}{FIRST_WORDS}', '\\1'))"
 
 
 def _known() -> str:

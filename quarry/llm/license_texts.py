@@ -17,6 +17,8 @@ _BSD_HEAD = """Redistribution and use in source and binary forms, with or withou
 _BSD_THIRD = """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
+#: With bullets instead of numbers.
+_BULLETS = str.maketrans({"1": "*", "2": "*", "3": "*"})
 _BSD_WARRANTY = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
@@ -43,6 +45,8 @@ KNOWN = (
     ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_WARRANTY}"),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_WARRANTY),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_WARRANTY),
+    ("BSD-2-Clause", _BSD_HEAD.translate(_BULLETS) + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_HEAD.translate(_BULLETS) + _BSD_THIRD.translate(_BULLETS) + _BSD_WARRANTY),
     ("Zlib", _ZLIB),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),

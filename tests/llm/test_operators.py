@@ -123,12 +123,31 @@ def test_neighbouring_spellings_and_wrapped_lines(spark):
         assert found[0]["c"] == found[1]["c"] == b.lower(), (a, b)
 
 
+def test_usual_forms_of_short_licences(spark):
+    """Titles, named holders, copyright lines without year; one changed word and nothing is found."""
+    texts = {}
+    for i, t in KNOWN:
+        texts.setdefault(i, []).append(t)
+    mit, two, three, isc = texts["MIT"][1], texts["BSD-2-Clause"][0], texts["BSD-3-Clause"][0], texts["ISC"][1]
+    google = three.replace("Neither the name of the copyright holder nor", "Neither the name of Google Inc. nor")
+    forms = [
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 A\n\n" + mit), ("MIT", "The MIT License\n===\n" + mit), ("MIT", "# MIT\n" + mit), ("MIT", "Copyright Foo Inc.\n\n" + mit), ("MIT", "Copyright: Jürgen Ärmel and others\nMIT License\n" + mit),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + three), ("BSD-2-Clause", "BSD 2-Clause License\n" + two), ("BSD-3-Clause", google), ("BSD-3-Clause", "The 3-Clause BSD Licence\n" + google.replace("1.", " *").replace("2.", " *").replace("3.", " *")), ("BSD-2-Clause", "Simplified BSD License\n" + two.upper()), ("ISC", "The ISC License\n\nCopyright Isaac\n" + isc),
+        ("BSD-3-Clause", google.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "GOOGLE INC. AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "GOOGLE INC. OR CONTRIBUTORS")),
+    ]
+    near = [t.replace(a, b) for _, t in forms for a, b in (("reproduce", "recreate"), ("without fee", "for a fee"), ("free of charge", "free")) if a in t]
+    near += ["The MIT License (MIT)", "My MIT License\n" + mit, mit.replace("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS SOLD"), google.replace("endorse", "support"), "Copyright Notice that matters\n" + mit, google.replace("Google", "Google " + "and Google " * 40)]
+    rows = [(i, t) for i, (_, t) in enumerate(forms)] + [(1000 + i, t) for i, t in enumerate(near)]
+    found = {r["doc_id"]: r["license_id"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_digests(spark)).collect()}
+    assert found == {i: x for i, (x, _) in enumerate(forms)} | {1000 + i: None for i in range(len(near))}
+
+
 COMMON = Path("/usr/share/common-licenses")
 
 
 @pytest.mark.skipif(not (COMMON / "GPL-3").exists(), reason="no licence texts on this machine")
 def test_whole_long_licences_with_noise(spark):
-    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    names = {"BSD": "BSD-3-Clause", "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     texts = {i: (COMMON / f).read_text() for f, i in names.items() if (COMMON / f).exists()}
     rows = [r for i, t in texts.items() for r in ((i, t), (i, t.upper()), (i, "Copyright (C) 2024 Someone\n" + t.replace("  ", "\t").replace("license", "licence")), (None, t + " and more"))]
     df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
