@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph
 from quarry.plans.tables import table
 from quarry.sources import sinks
-from quarry.streaming import changes, locks, loops
+from quarry.streaming import changes, leases, locks, loops
 
 
 def _changes(df: DataFrame) -> DataFrame:
@@ -87,6 +87,28 @@ def stream_locks(spark, sf_dir):
     return spark.read.parquet(f"{folder}/results-*").select("path", F.col("ts").cast("string").alias("ts"), "op", "block_key", "result", "held_by")
 
 
+LEASE_TTL, WAIT = 6 * 3600, 4 * 3600
+
+
+def _lease_events(df: DataFrame) -> DataFrame:
+    """Clicks claim the path that props names for the user, purchases release it, signups wait for it, errors end the user's session; in milliseconds, as watermarks are."""
+    op = F.create_map(*(F.lit(x) for pair in (("click", "claim"), ("purchase", "release"), ("signup", "wait"), ("error", "done")) for x in pair))[F.col("event_type")]
+    path = F.when(op != "done", F.get_json_object("props", "$.k"))
+    return df.where("event_type <> 'view'").select(F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), op.alias("op"), path.alias("path"), F.col("user_id").cast("string").alias("block_key"), F.when(op == "wait", float(WAIT)).alias("seconds"))
+
+
+def lease_timeline(spark, sf_dir):
+    found = leases.timeline(_lease_events(table(spark, sf_dir, "events")), LEASE_TTL)
+    return found.withColumn("ts", F.col("ts").cast("string"))
+
+
+def stream_lease_timeline(spark, sf_dir):
+    """The same from a stream of six batches: expiries, waits that become ready and timeouts come from timers."""
+    stream = changes.in_batches(_lease_events(table(spark, sf_dir, "events")), "ts", 6)
+    out = changes.ran(leases.streamed(stream, LEASE_TTL), "lease-timeline", conf=leases.ROCKSDB)
+    return spark.read.schema(leases.ROWS).parquet(out).withColumn("ts", F.col("ts").cast("string"))
+
+
 def lock_awaits(spark, sf_dir):
     """Each user waits on the path of the last signup for five days; the holders are those of the last click on a path."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("path"))
@@ -139,7 +161,7 @@ def usage_counters(spark, sf_dir):
     return loops.usage(table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("key")))
 
 
-_NAMES = "debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks lock_awaits wait_cycle deadlock_cycles session_outcomes loop_signals loop_touched loop_iterations usage_counters".split()
+_NAMES = "debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks lease_timeline stream_lease_timeline lock_awaits wait_cycle deadlock_cycles session_outcomes loop_signals loop_touched loop_iterations usage_counters".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _WINDOWS = "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY ALL"
@@ -153,6 +175,24 @@ f AS (SELECT path, 0::BIGINT AS k, NULL::TIMESTAMP AS ts, '' AS op, '' AS who, '
     CASE WHEN op = 'claim' THEN coalesce(live, who) WHEN live = who THEN NULL ELSE live END, CASE WHEN op = 'claim' AND (live IS NULL OR live = who) THEN ts + INTERVAL 600 SECONDS ELSE until END
   FROM (SELECT e.path, e.k, e.ts, e.op, e.who, CASE WHEN f.until > e.ts THEN f.holder END AS live, f.until FROM f JOIN e ON e.path IS NOT DISTINCT FROM f.path AND e.k = f.k + 1))
 SELECT path, ts::VARCHAR AS ts, op, who AS block_key, result, holder AS held_by FROM f WHERE k > 0"""
+# the fold as above, with waits, ends dealt to the paths that a session ever claims, expiries between events and the first time after a wait that its path is free
+_TIMELINE = f"""WITH RECURSIVE r AS (SELECT date_trunc('millisecond', ts) AS ts, event_type AS t, user_id::VARCHAR AS who, props->>'$.k' AS path FROM events WHERE event_type <> 'view'), m AS (SELECT max(ts) AS last FROM r),
+x AS (SELECT path, ts, CASE t WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'release' ELSE 'wait' END AS op, who FROM r WHERE t <> 'error'
+  UNION ALL SELECT c.path, r.ts, 'end', r.who FROM r JOIN (SELECT DISTINCT path, who FROM r WHERE t = 'click') c USING (who) WHERE t = 'error'),
+e AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, op, who) AS k FROM x),
+f AS (SELECT path, 0::BIGINT AS k, NULL::TIMESTAMP AS ts, '' AS op, '' AS who, NULL::VARCHAR AS live, NULL::VARCHAR AS holder, NULL::TIMESTAMP AS until FROM (SELECT DISTINCT path FROM e)
+  UNION ALL SELECT path, k, ts, op, who, live, CASE WHEN op = 'claim' THEN coalesce(live, who) WHEN op <> 'wait' AND live = who THEN NULL ELSE live END,
+    CASE WHEN op = 'claim' AND (live IS NULL OR live = who) THEN ts + INTERVAL {LEASE_TTL} SECONDS ELSE until END
+  FROM (SELECT e.path, e.k, e.ts, e.op, e.who, CASE WHEN f.until > e.ts THEN f.holder END AS live, f.until FROM f JOIN e ON e.path IS NOT DISTINCT FROM f.path AND e.k = f.k + 1)),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY k) AS nx FROM f),
+ex AS (SELECT path, k, until AS ts, holder FROM n, m WHERE holder IS NOT NULL AND until <= coalesce(nx, last)),
+free AS (SELECT path, k, ts FROM n WHERE k > 0 AND op IN ('release', 'end') AND live = who UNION ALL SELECT path, k, ts FROM ex),
+w AS (SELECT n.path, n.k, n.who, n.ts, n.holder, n.ts + INTERVAL {WAIT} SECONDS AS late, (SELECT min(free.ts) FROM free WHERE free.path IS NOT DISTINCT FROM n.path AND free.k >= n.k) AS free_at FROM n WHERE op = 'wait' AND live IS NOT NULL AND live <> who)
+SELECT path, ts::VARCHAR AS ts, op, who AS block_key, CASE WHEN op = 'wait' THEN CASE WHEN live IS NULL THEN 'ready' ELSE 'deadlock' END WHEN op = 'claim' AND (live IS NULL OR live = who) OR op <> 'claim' AND live = who THEN 'ok' WHEN live IS NULL THEN 'none' ELSE 'held' END AS result, holder AS held_by
+FROM n WHERE k > 0 AND NOT (op = 'end' AND live IS DISTINCT FROM who) AND NOT (op = 'wait' AND live IS NOT NULL AND live <> who)
+UNION ALL SELECT path, ts::VARCHAR, 'expire', holder, 'expired', NULL FROM ex
+UNION ALL SELECT path, free_at::VARCHAR, 'wait', who, 'ready', NULL FROM w WHERE free_at <= late
+UNION ALL SELECT path, late::VARCHAR, 'wait', who, 'timeout', (SELECT arg_max(f.holder, f.k) FROM f WHERE f.path IS NOT DISTINCT FROM w.path AND f.ts < late) FROM w, m WHERE (free_at IS NULL OR free_at > late) AND late <= last"""
 _LAST = "l AS (SELECT user_id::VARCHAR AS path, arg_max(event_type, ts) AS k, arg_max(event_id, ts)::VARCHAR AS content FROM events GROUP BY 1)"
 ORACLES = {
     "debounced_changes": "SELECT user_id::VARCHAR AS path, event_id::VARCHAR AS content FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) WHERE nx IS NULL OR nx - ts > INTERVAL 6 HOURS",
@@ -162,6 +202,8 @@ ORACLES = {
     "stream_session_counts": _SESSIONS,
     "lock_fold": _FOLD,
     "stream_locks": _FOLD,
+    "lease_timeline": _TIMELINE,
+    "stream_lease_timeline": _TIMELINE,
     "lock_awaits": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS u, event_type, event_id, ts, props->>'$.k' AS path FROM events), h AS (SELECT path, arg_max(u, event_id) AS h FROM e WHERE event_type = 'click' AND event_id % 3 > 0 GROUP BY path),
 w AS (SELECT u, arg_max(path, event_id) AS path, arg_max(ts, event_id) AS since FROM e WHERE event_type = 'signup' GROUP BY u), g AS (SELECT DISTINCT u AS a, h AS b FROM w JOIN h USING (path)),
 c AS (SELECT a, b FROM g UNION SELECT c.a, g.b FROM c JOIN g ON c.b = g.a), d AS (SELECT DISTINCT a FROM c WHERE a = b)

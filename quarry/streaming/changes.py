@@ -5,6 +5,7 @@ Changes are (path, op, ts, content): op is upsert or delete.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +63,34 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-def ran(stream: DataFrame, name: str, mode: str = "append", keep: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs a stream over all that is there, into Parquet in the shared folder or a function of each batch; returns the folder."""
-    import uuid
+def in_batches(rows: DataFrame, time: str, parts: int) -> DataFrame:
+    """rows as a stream of `parts` batches by time: they are written to a new folder one after the other, so that the stream takes them in this order."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    at = F.unix_micros(time)
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    for i in range(parts if low is not None else 0):
+        edge = [low + (high - low) * k // parts for k in (i, i + 1)]
+        rows.where((at >= edge[0]) & ((at < edge[1]) if i < parts - 1 else (at <= high))).coalesce(1).write.mode("append").parquet(folder)
+    if low is None:
+        rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
-    folder = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-    query: StreamingQuery = writer.foreachBatch(keep).start() if keep else writer.format("parquet").start(f"{folder}/out")
-    query.awaitTermination()
+
+def ran(stream: DataFrame, name: str, mode: str = "append", keep: Callable[[DataFrame, int], None] | None = None, conf: Mapping[str, str] | None = None) -> str:
+    """Runs a stream over all that is there, into Parquet in the shared folder or a function of each batch; returns the folder. conf holds for this stream."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+        query: StreamingQuery = writer.foreachBatch(keep).start() if keep else writer.format("parquet").start(f"{folder}/out")
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if query.exception():
         raise RuntimeError(str(query.exception()))
     return f"{folder}/out"
