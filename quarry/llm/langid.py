@@ -70,9 +70,9 @@ RANGES = (
 _FIRST = [a for a, _ in RANGES]
 
 
-def _class(of: str) -> str:
-    """The characters whose category begins with one of the letters of `of`, as ranges for a pattern."""
-    points = [i for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) in of.split()]
+def _class(of: str, past: int = sys.maxunicode + 1) -> str:
+    """The characters below `past` of the categories `of`, as ranges for a pattern."""
+    points = [i for i in range(128, past) if unicodedata.category(chr(i)) in of.split()]
     edges = [k for k, i in enumerate(points) if not k or i != points[k - 1] + 1]
     return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip(edges, [*edges[1:], len(points)], strict=True))
 
@@ -84,8 +84,15 @@ _MARK = re.compile(f"[{_MARKS}]")
 _MARKED_WORD = re.compile(rf"[^\W\d_{_NUMBERS}](?:[^\W\d_{_NUMBERS}]|[{_MARKS}])*")
 
 
+#: The same below the first mark, where few characters are excluded.
+_FIRST_MARK = "\u0300"
+_EARLY_WORD = re.compile(rf"[^\W\d_{_class('No', 0x300)}]+")
+
+
 def words(text: str | None) -> list[str]:
     low = (text or "").lower()
+    if not low or max(low) < _FIRST_MARK:
+        return _EARLY_WORD.findall(low)
     return (_MARKED_WORD if _MARK.search(low) else _WORD).findall(low)
 
 
