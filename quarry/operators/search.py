@@ -8,10 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import scores, text
+from quarry.functions import counting, scores, text
+from quarry.operators import stored
 from quarry.sources.checkpoints import cut
 
 
@@ -24,39 +25,10 @@ class Index:
     df: DataFrame
     stats: DataFrame
 
-    def write(self, folder: str) -> None:
-        """Writes the tables; postings and frequencies are dealt to PARTS folders by term and sorted by term, so that a query reads only what it asks for."""
-        for name, rows in (("postings", self.postings), ("df", self.df)):
-            dealt = rows.withColumn("part", part_of(F.col("term"))).repartition("part").sortWithinPartitions("part", "term")
-            dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
-
-    @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "df", "stats")))
-
-
-PARTS = 32
-
-
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
-
 
 def term_frequencies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, term, tf) of the tokens.
-
-    Texts are dealt by id once, and all counts by document stay in that partitioning: nothing longer than the texts is shuffled.
-    An id names one document: rows that share an id are counted together, in one task.
-    Parts are exploded before they are stemmed, so that the stemmer runs in generated code; prefixes are added to the counted terms.
-    """
-    dealt = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).repartition("doc_id")
-    parts = dealt.select("doc_id", F.explode(text.loose_parts(F.col("text"))).alias("part")).where("part <> ''")
-    low = parts.select("doc_id", F.lower("part").alias("low")).where(text.is_term(F.col("low")))
-    counted = low.groupBy("doc_id", "low").agg(F.count("*").alias("n")).select("doc_id", text.stem(F.col("low")).alias("term"), "n")
-    both = F.when(F.length("term") >= text.PREFIX, F.array(F.substring("term", 1, text.PREFIX), F.col("term"))).otherwise(F.array("term"))
-    return counted.select("doc_id", F.explode(both).alias("term"), "n").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+    """(doc_id, term, tf) of the tokens, counted inside each row: nothing is shuffled. An id names one row."""
+    return stored.entries(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), False)
 
 
 def postings(tf: DataFrame) -> DataFrame:
@@ -85,40 +57,24 @@ def build(docs: DataFrame) -> Index:
     return Index(sized, entries, document_frequencies(entries), sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")))
 
 
-def query_terms(spark, query: str) -> DataFrame:
-    """(term, n): the query's tokens and how often each occurs."""
-    found = spark.createDataFrame([(query,)], "query string").select(F.explode(text.tokens(F.col("query"))).alias("term"))
-    return found.groupBy("term").agg(F.count("*").alias("n"))
-
-
-def of_terms(rows: DataFrame, parts: dict[str, int]) -> DataFrame:
-    """The rows of the given terms, with their parts. Filters come first, so that a written index is read only where they are."""
-    if "part" in rows.columns:
-        rows = rows.where(F.col("part").isin(sorted(set(parts.values())))).drop("part")
-    return rows.where(F.col("term").isin(list(parts)))
-
-
 def bm25(index: Index, query: str, soft: bool = True) -> DataFrame:
     """(doc_id, score), score > 0. A document without a query term counts by its most frequent term that is a prefix of it or starts with it.
 
-    The terms of a query are few whatever the corpus holds, so they are literals of the plan: only their postings are read,
-    and only their frequencies are counted if the index isn't written.
+    For an index that is made for one query; a written one (stored.Stored) reads only what is asked.
     """
-    rows = query_terms(index.docs.sparkSession, query).withColumn("part", part_of(F.col("term"))).collect()
-    asked, parts = {r["term"]: r["n"] for r in rows}, {r["term"]: r["part"] for r in rows}
+    asked = dict(counting.counter()(query))
     if not asked:
         return index.docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     times = lambda c: F.coalesce(*(F.when(c == t, F.lit(n)) for t, n in asked.items()))
-    exact = of_terms(index.postings.where("tf > 0"), parts).join(F.broadcast(of_terms(index.df, parts)), "term")
+    exact = index.postings.where("tf > 0").where(F.col("term").isin(list(asked))).join(F.broadcast(index.df.where(F.col("term").isin(list(asked)))), "term")
     hits = exact.select("doc_id", "term", times(F.col("term")).alias("n"), "tf", "df")
     if soft:
         meets = [F.col("term").startswith(t) | F.lit(t).startswith(F.col("term")) for t in asked]
         near = index.df.where(reduce(lambda a, b: a | b, meets))
         near = near.withColumn("asked", F.explode(F.array_compact(F.array(*(F.when(m, F.lit(t)) for t, m in zip(asked, meets, strict=True))))))
-        on = [c for c in ("term", "part") if c in near.columns]
-        near = cut(near.select(*on, "asked", "df"))
+        near = cut(near.select("term", "asked", "df"))
         reach = near.groupBy("asked").agg(F.max("df").alias("df"))
-        loose = index.postings.join(near.select(*on, "asked"), on).groupBy("doc_id", "asked").agg(F.max("tf").alias("tf"))
+        loose = index.postings.join(near.select("term", "asked"), "term").groupBy("doc_id", "asked").agg(F.max("tf").alias("tf"))
         loose = loose.join(hits.select("doc_id", F.col("term").alias("asked")), ["doc_id", "asked"], "left_anti").where("tf > 0")
         hits = hits.unionByName(loose.join(F.broadcast(reach), "asked").select("doc_id", F.col("asked").alias("term"), times(F.col("asked")).alias("n"), "tf", "df"))
     scored = hits.join(index.docs.select("doc_id", "dl"), "doc_id").join(F.broadcast(index.stats))

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, search
+from quarry.operators import graph, search, stored
 from quarry.plans.sqltext import tokens
 from quarry.plans.tables import supply_edges, table
-from quarry.sources.checkpoints import shared_dir
+from quarry.sources.checkpoints import remove, shared_dir
 
 ASKED = "there and retioner Thanedble"
 SOFT_ASKED = "theren answ"
@@ -29,29 +29,37 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.document_frequencies(search.postings(search.term_frequencies(_documents(spark, sf_dir))))
 
 
-#: Folders of written indexes, by session and table: documents are indexed once a session, and read by every query after that.
-_written: dict[tuple[str, str], str] = {}
+#: Written indexes of a session: path -> (names, sizes and times of the documents' files, folder).
+_written: dict[tuple[str, str], tuple[list, str]] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
+def _state(spark: SparkSession, sf_dir: str) -> list:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet")
+    return sorted(map(tuple, found.select("path", "length", F.col("modificationTime").cast("string")).collect()))
+
+
+def _index(spark: SparkSession, sf_dir: str, anew: bool = False) -> stored.Stored:
+    """The index of the documents as they are now: it is written once for each state of their files."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    before = _written.get(key)
+    if anew or before is None or before[0] != state:
         folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
-        search.build(_documents(spark, sf_dir)).write(folder)
-        _written[key] = folder
-    return search.Index.read(spark, _written[key])
+        stored.write(_documents(spark, sf_dir), folder)
+        _written[key] = (state, folder)
+        if before:
+            remove(spark, before[1])
+    return stored.Stored(spark, _written[key][1])
 
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds the index of the documents anew: its numbers."""
-    _written.pop((spark.sparkContext.applicationId, sf_dir), None)
-    made = _index(spark, sf_dir)
-    sizes = made.df.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
-    return made.stats.select("n_docs", F.round("avg_dl", 6).alias("avg_dl")).join(F.broadcast(sizes))
+    made = _index(spark, sf_dir, anew=True)
+    sizes = made.table("dictionary").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return made.table("stats").select("n_docs", F.round("avg_dl", 6).alias("avg_dl")).join(F.broadcast(sizes))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, query: str, soft: bool) -> DataFrame:
-    return search.top(search.bm25(_index(spark, sf_dir), query, soft), 20).select("doc_id", F.round("score", 6).alias("score"))
+    return _index(spark, sf_dir).ranked(query, 20, soft).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
