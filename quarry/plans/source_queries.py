@@ -28,7 +28,7 @@ from quarry.plans.intel_queries import part_symbols
 from quarry.plans.tables import SUPPLY_SQL, files, supply_edges, table
 from quarry.sources import config, repos, sinks
 from quarry.sources.checkpoints import cut, put, remove, shared_dir
-from quarry.streaming import changes
+from quarry.streaming import changes, versions
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -128,19 +128,12 @@ def refreshed_symbols(spark, sf_dir):
 
 def stream_index(spark, sf_dir):
     """Files and their symbols kept from a stream: each event of a user rewrites the user's file, an error deletes it."""
-    stream = changes.stream_of(spark, sf_dir, "events").select(
+    edits = table(spark, sf_dir, "events").select(
         F.lit("r").alias("repo"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("def e_"), F.col("event_id").cast("string"), F.lit("():\n    pass\n")).alias("content"),
     )
-    folder, last = _folder(spark, "kept"), [0]
-    keep = changes.maintain(stream, folder, {"symbols": extract.symbols})
-
-    def both(batch: DataFrame, number: int) -> None:
-        keep(batch, number)
-        last[0] = number + 1
-
-    changes.ran(stream, "index", "append", both)
-    return spark.read.parquet(f"{folder}/v{last[0]}/symbols").select("path", "name", "line")
+    kept = versions.Versions(spark, _folder(spark, "kept"), {"symbols": extract.symbols})
+    return versions.kept(changes.in_batches(edits, "ts", 4), kept, "index", "symbols").select("path", "name", "line")
 
 
 def git_facts(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph
 from quarry.plans.tables import table
 from quarry.sources import sinks
-from quarry.streaming import changes, leases, locks, loops
+from quarry.streaming import changes, leases, locks, loops, versions
 
 
 def _changes(df: DataFrame) -> DataFrame:
@@ -62,18 +62,10 @@ def stream_session_counts(spark, sf_dir):
 
 
 def stream_upserts(spark, sf_dir):
-    """A table of files kept from the stream of changes."""
-    stream = _changes(changes.stream_of(spark, sf_dir, "events"))
-    folder = f"{changes.shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    last = [0]
-    keep = changes.maintain(stream, folder)
-
-    def both(batch: DataFrame, number: int) -> None:
-        keep(batch, number)
-        last[0] = number + 1
-
-    changes.ran(stream, "upserts", "append", both)
-    return spark.read.parquet(f"{folder}/v{last[0]}/files").select("path", "content")
+    """A table of files kept from the stream of changes, in four batches, by deltas that are merged when read."""
+    stream = changes.in_batches(_changes(table(spark, sf_dir, "events")), "ts", 4)
+    kept = versions.Versions(spark, f"{changes.shared_dir(spark)}/files-{uuid.uuid4().hex}")
+    return versions.kept(stream, kept, "upserts", "files").select("path", "content")
 
 
 def lock_fold(spark, sf_dir):
