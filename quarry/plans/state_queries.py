@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
-from quarry.plans.tables import table
-from quarry.sources import sinks
-from quarry.streaming import changes, leases, locks, loops, versions
+from quarry.plans.tables import SUPPLY_SQL, supply_edges, table
+from quarry.sources import blame, sinks
+from quarry.streaming import changes, leases, locks, loops, staleness, versions
 
 
 def _changes(df: DataFrame) -> DataFrame:
@@ -153,7 +153,78 @@ def usage_counters(spark, sf_dir):
     return loops.usage(table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("key")))
 
 
-_NAMES = "debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks lease_timeline stream_lease_timeline lock_awaits wait_cycle deadlock_cycles session_outcomes loop_signals loop_touched loop_iterations usage_counters".split()
+def stream_debounced(spark, sf_dir):
+    """The last changes of bursts, in five batches: those that the watermark has passed from the stream, the open rest named."""
+    rows = _changes(table(spark, sf_dir, "events")).withColumn("ts", F.date_trunc("millisecond", "ts"))
+    out = changes.ran(changes.debounced_stream(changes.in_batches(rows, "ts", 5), "6 hours"), "debounced")
+    passed = spark.read.schema("path string, repo string, op string, ts timestamp, content string").parquet(out)
+    return passed.select("path", "content", F.lit(False).alias("open")).unionByName(changes.open_bursts(rows, "6 hours").select("path", "content", F.lit(True).alias("open")))
+
+
+def _sections(spark, sf_dir):
+    """Each user's document links to the next user's code by path, and to a symbol that the seventh next defines."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    name = lambda top, u, end: F.concat(F.lit(top), u.cast("string"), F.lit(end))
+    changed = e.where("event_type IN ('click', 'view')").select(F.when(F.col("event_type") == "click", name("src/u", F.col("u"), ".py")).otherwise(name("docs/u", F.col("u"), ".md")).alias("path"), "ts")
+    users = e.select("u").distinct()
+    targets = F.array(name("src/u", F.col("u") + 1, ".py"), name("::s", F.col("u") + 7, ""))
+    linked = users.select(F.col("u").cast("string").alias("id"), name("docs/u", F.col("u"), ".md").alias("file"), F.explode(targets).alias("target"), F.lit(False).alias("broken"))
+    return linked, users.select(name("s", F.col("u"), "").alias("name"), name("src/u", F.col("u"), ".py").alias("path")), changed
+
+
+def section_staleness(spark, sf_dir):
+    linked, symbols, changed = _sections(spark, sf_dir)
+    return staleness.flags(linked, staleness.folded(changed, staleness.links(linked, symbols)))
+
+
+def stream_staleness(spark, sf_dir):
+    """The same from a stream of four batches that don't come in order of time."""
+    linked, symbols, changed = _sections(spark, sf_dir)
+    stream = changes.in_batches(changed, F.pmod(F.xxhash64("path", "ts"), F.lit(1 << 20)), 4)
+    folder = f"{changes.shared_dir(spark)}/flags-{uuid.uuid4().hex}"
+    changes.ran(staleness.folded(stream, staleness.links(linked, symbols)), "staleness", "update", staleness.keeper(folder))
+    return staleness.flags(linked, spark.read.parquet(f"{folder}/flags-*"))
+
+
+def _ticks(df: DataFrame) -> DataFrame:
+    """Turns as ticks of a conversation's loop; each works on a part."""
+    return df.select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.concat(F.lit("p"), ((F.col("conv_id") * 7 + F.col("turn")) % 200 + 1).cast("string")).alias("file"))
+
+
+def loop_prefetch(spark, sf_dir):
+    return loops.prefetched(_ticks(table(spark, sf_dir, "conversations")), loops.rings(supply_edges(spark, sf_dir)))
+
+
+def stream_prefetch(spark, sf_dir):
+    """The same from a stream of three batches of turns."""
+    stream = changes.in_batches(_ticks(table(spark, sf_dir, "conversations")), F.col("at"), 3)
+    folder = f"{changes.shared_dir(spark)}/prefetch-{uuid.uuid4().hex}"
+    changes.ran(loops.prefetched(stream, loops.rings(supply_edges(spark, sf_dir))), "prefetch", "update", staleness.keeper(folder))
+    return spark.read.parquet(f"{folder}/flags-*").groupBy("session", "file").agg(F.min("at").alias("at"))
+
+
+def _hunks(spark, sf_dir):
+    """Histories of a file for each document: lines by the text's length, then four commits, each with a new first line and another line rewritten; the third removes the last."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "doc_id", (F.coalesce(F.length("text"), F.lit(0)) % 50 + 2).alias("n"))
+    h = lambda seq, old, a, new, b: F.struct(F.lit(seq).alias("seq"), F.concat(F.lit("c"), F.lit(seq).cast("string")).alias("commit"), old.cast("long").alias("old_start"), a.cast("long").alias("old_count"), new.cast("long").alias("new_start"), b.cast("long").alias("new_count"))
+    zero, one = F.lit(0), F.lit(1)
+    found = [h(0, zero, zero, one, F.col("n"))]
+    for k in range(1, 5):
+        # lines before this commit: one more for each, one less after the third
+        n = F.col("n") + (k - 1 if k < 4 else k - 2)
+        at = F.pmod(F.col("doc_id") * k, n - 1) + 1
+        found += [h(k, zero, zero, one, one), h(k, at, one, at + 1, one)]
+        if k == 3:
+            found.append(h(k, n, one, n, zero))
+    return d.select("path", F.explode(F.array(*found)).alias("h")).select("path", "h.*")
+
+
+def blame_generated(spark, sf_dir):
+    """Every line of generated histories of all documents, with the commit that last changed it."""
+    return blame.lines(blame.blamed(_hunks(spark, sf_dir)))
+
+
+_NAMES = "stream_debounced section_staleness stream_staleness loop_prefetch stream_prefetch blame_generated debounced_changes applied_changes window_counts stream_window_counts stream_session_counts stream_upserts lock_fold stream_locks lease_timeline stream_lease_timeline lock_awaits wait_cycle deadlock_cycles session_outcomes loop_signals loop_touched loop_iterations usage_counters".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _WINDOWS = "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY ALL"
@@ -185,6 +256,15 @@ FROM n WHERE k > 0 AND NOT (op = 'end' AND live IS DISTINCT FROM who) AND NOT (o
 UNION ALL SELECT path, ts::VARCHAR, 'expire', holder, 'expired', NULL FROM ex
 UNION ALL SELECT path, free_at::VARCHAR, 'wait', who, 'ready', NULL FROM w WHERE free_at <= late
 UNION ALL SELECT path, late::VARCHAR, 'wait', who, 'timeout', (SELECT arg_max(f.holder, f.k) FROM f WHERE f.path IS NOT DISTINCT FROM w.path AND f.ts < late) FROM w, m WHERE (free_at IS NULL OR free_at > late) AND late <= last"""
+_STALE = """WITH e AS (SELECT user_id AS u, max(ts) FILTER (event_type = 'click') AS c, max(ts) FILTER (event_type = 'view') AS v FROM events GROUP BY 1)
+SELECT a.u::VARCHAR AS id, coalesce(greatest(b.c, s.c) > coalesce(a.v, TIMESTAMP '0001-01-01'), FALSE) AS stale FROM e a LEFT JOIN e b ON b.u = a.u + 1 LEFT JOIN e s ON s.u = a.u + 7"""
+_PREFETCH = f"""WITH e AS ({SUPPLY_SQL}), r AS (SELECT src AS f, dst FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src)
+SELECT conv_id AS session, dst AS file, min(turn) AS at FROM conversations JOIN r ON f = 'p' || ((conv_id * 7 + turn) % 200 + 1) WHERE f <> dst GROUP BY ALL"""
+# every line followed from commit to commit by its place
+_STEP = "b{k} AS (SELECT path, doc_id, n, 1 AS line, 'c{k}' AS commit FROM d UNION ALL SELECT path, doc_id, n, line + 1, CASE WHEN line = (doc_id * {k}) % ({n} - 1) + 1 THEN 'c{k}' ELSE commit END FROM b{j}{where})"
+_BLAME = "WITH d AS (SELECT 'doc' || doc_id AS path, doc_id, coalesce(length(text), 0) % 50 + 2 AS n FROM documents), b0 AS (SELECT path, doc_id, n, unnest(range(1, n + 1)) AS line, 'c0' AS commit FROM d), " + ", ".join(
+    _STEP.format(k=k, j=k - 1, n=(size := f"(n + {k - 1 if k < 4 else k - 2})"), where=f" WHERE line < {size}" if k == 3 else "") for k in range(1, 5)
+) + " SELECT path, line::BIGINT AS line, commit FROM b4"
 _LAST = "l AS (SELECT user_id::VARCHAR AS path, arg_max(event_type, ts) AS k, arg_max(event_id, ts)::VARCHAR AS content FROM events GROUP BY 1)"
 ORACLES = {
     "debounced_changes": "SELECT user_id::VARCHAR AS path, event_id::VARCHAR AS content FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) WHERE nx IS NULL OR nx - ts > INTERVAL 6 HOURS",
@@ -194,6 +274,12 @@ ORACLES = {
     "stream_session_counts": _SESSIONS,
     "lock_fold": _FOLD,
     "stream_locks": _FOLD,
+    "stream_debounced": "SELECT user_id::VARCHAR AS path, event_id::VARCHAR AS content, t + INTERVAL 6 HOURS > m - INTERVAL 1 HOUR AS open FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nx, max(t) OVER () AS m FROM (SELECT *, date_trunc('millisecond', ts) AS t FROM events)) WHERE nx IS NULL OR nx - t > INTERVAL 6 HOURS",
+    "section_staleness": _STALE,
+    "stream_staleness": _STALE,
+    "loop_prefetch": _PREFETCH,
+    "stream_prefetch": _PREFETCH,
+    "blame_generated": _BLAME,
     "lease_timeline": _TIMELINE,
     "stream_lease_timeline": _TIMELINE,
     "lock_awaits": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS u, event_type, event_id, ts, props->>'$.k' AS path FROM events), h AS (SELECT path, arg_max(u, event_id) AS h FROM e WHERE event_type = 'click' AND event_id % 3 > 0 GROUP BY path),

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
@@ -31,6 +31,19 @@ def debounced(changes: DataFrame, quiet: str = "100 milliseconds") -> DataFrame:
     return changes.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") - F.col("ts") > F.expr(f"INTERVAL {quiet}"))).drop("_next")
 
 
+def debounced_stream(changes: DataFrame, quiet: str, late: str = "1 hour") -> DataFrame:
+    """debounced over a stream: the last change of every burst, out when the watermark has passed its quiet time. A gap of just that time ends a burst
+    or not as session windows have it; state is the open bursts alone."""
+    last = F.max_by(F.struct("repo", "op", "ts", "content"), F.struct("ts", "op", "content")).alias("_r")
+    return changes.withWatermark("ts", late).groupBy("path", F.session_window("ts", quiet)).agg(last).select("path", "_r.*")
+
+
+def open_bursts(changes: DataFrame, quiet: str, late: str = "1 hour") -> DataFrame:
+    """The last changes whose bursts a stream that has read all changes still holds open."""
+    passed = changes.agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("_passed"))
+    return debounced(changes, quiet).join(F.broadcast(passed)).where(F.col("ts") + F.expr(f"INTERVAL {quiet}") > F.col("_passed")).drop("_passed")
+
+
 def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     """files (repo, path, content) after the changes."""
     last = latest(changes)
@@ -63,11 +76,11 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-def in_batches(rows: DataFrame, time: str, parts: int) -> DataFrame:
-    """rows as a stream of `parts` batches by time: they are written to a new folder one after the other, so that the stream takes them in this order."""
+def in_batches(rows: DataFrame, at: str | Column, parts: int) -> DataFrame:
+    """rows as a stream of `parts` batches by a time or number: they are written to a new folder one after the other, so that the stream takes them in this order."""
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
-    at = F.unix_micros(time)
+    at = F.unix_micros(at) if isinstance(at, str) else at
     low, high = rows.agg(F.min(at), F.max(at)).first()
     for i in range(parts if low is not None else 0):
         edge = [low + (high - low) * k // parts for k in (i, i + 1)]

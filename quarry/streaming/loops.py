@@ -34,3 +34,17 @@ def touched(records: DataFrame) -> DataFrame:
 def usage(events: DataFrame) -> DataFrame:
     """(tool, key, n); the same over a stream."""
     return events.groupBy("tool", "key").agg(F.count("*").alias("n"))
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """(file, near): what a file depends on in one or two steps, without itself."""
+    one = edges.select(F.col("src").alias("file"), F.col("dst").alias("near")).distinct()
+    two = one.select("file", F.col("near").alias("src")).join(edges, "src").select("file", F.col("dst").alias("near"))
+    return one.unionByName(two).where("file <> near").distinct()
+
+
+def prefetched(ticks: DataFrame, ring: DataFrame) -> DataFrame:
+    """(session, file, at) of ticks (session, at, file), of a table or a stream: the ring of the tick's active file, each file once a session, at the
+    first tick that needs it; so a tick's prefetch is what was not sent before. State is one row for each session and file."""
+    near = ticks.join(ring, "file").select("session", "at", F.col("near").alias("file"))
+    return near.groupBy("session", "file").agg(F.min("at").alias("at"))
