@@ -219,9 +219,13 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 
 def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> Iterator[Automaton]:
     """Automata of at most `limit` words that hold all items of benchmark (item_id, text); each part is read by itself."""
-    items = benchmark.where(F.col("text").isNotNull()).select(id_text("item_id").alias("item"), F.col("text"))
-    # a word takes a byte and a separator at least
-    sized = cut(items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(4096)).alias("part")).agg(F.sum(F.octet_length("text") / 2 + 1).alias("n")))
+    # a repeated row has nothing new
+    items = cut(benchmark.where(F.col("text").isNotNull()).select(id_text("item_id").alias("item"), F.col("text")).distinct())
+    # a word takes a byte and a separator at least; parts are many enough to be small against an automaton
+    words_ = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
+    parts = 4096 * (1 + int(words_ / (256 * limit)))
+    part_of = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    sized = items.groupBy(part_of.alias("part")).agg(F.sum(F.octet_length("text") / 2 + 1).alias("n"))
     groups: list[list[int]] = []
     room = 0.0
     for part, n in sorted(map(tuple, sized.collect())):
@@ -231,7 +235,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) ->
         groups[-1].append(part)
         room -= n
     for group in groups or [[]]:
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(4096)).isin(group)).collect() if group else []
+        rows = items.where(part_of.isin(group)).collect() if group else []
         yield Automaton([(r["item"], words(r["text"])) for r in rows], window)
 
 

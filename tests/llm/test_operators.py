@@ -668,6 +668,13 @@ def test_several_automata_give_the_same(spark, odd):
     assert one == many
 
 
+def test_repeated_items_are_collected_once(spark):
+    rows = [(1, "a b c d e f g h i j k")] * 3_000 + [(1, "other words"), (None, None), (None, "x y")]
+    made = list(decontaminate.automata(spark.createDataFrame(rows, "item_id long, text string"), limit=60))
+    single = list(decontaminate.automata(spark.createDataFrame(rows[2_999:], "item_id long, text string"), limit=60))
+    assert len(made) == len(single)
+
+
 def test_passages_are_cut(spark):
     item = " ".join(f"w{i}" for i in range(15))
     own = " ".join(f"x{i}" for i in range(40))
