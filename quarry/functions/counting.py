@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 
 from quarry.functions.text import PREFIX, STOPWORDS, SUFFIXES
 
@@ -56,34 +58,73 @@ def counter() -> Callable[[str | None], Counter[str]]:
     return count
 
 
-def entries(batches: Iterable[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, term, tf) of rows (doc_id, text). If marked also dl, the number of tokens and at least 1, a row without term for
-    each document, and an entry of tf 0 for the first four characters of a term where they are no term of the document."""
+def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, term, tf) of rows (doc_id, text)."""
     count = counter()
     for b in batches:
         for first in range(0, b.num_rows, 500):
             ids, texts = b.column(0).slice(first, 500), b.column(1).slice(first, 500).to_pylist()
-            at, terms, tf, dl = [], [], [], []
+            at, terms, tf = [], [], []
 
             def flush() -> pa.RecordBatch:
-                columns = [ids.take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())]
-                return pa.RecordBatch.from_arrays([*columns, *([pa.array(dl, pa.int64())] if marked else [])], names=["doc_id", "term", "tf", "dl"][: 3 + marked])
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=["doc_id", "term", "tf"])
 
             for i, text in enumerate(texts):
                 counted = count(text)
-                size = max(1, counted.total())
-                if marked:
-                    for t in [t for t in counted if len(t) >= PREFIX]:
-                        counted.setdefault(t[:PREFIX], 0)
-                    at.append(i)
-                    terms.append(None)
-                    tf.append(0)
                 at += [i] * len(counted)
                 terms += counted.keys()
                 tf += counted.values()
-                dl += [size] * (len(counted) + 1) if marked else []
                 if len(at) >= ROWS:
                     yield flush()
-                    at, terms, tf, dl = [], [], [], []
+                    at, terms, tf = [], [], []
             if at:
                 yield flush()
+
+
+def cells(batches: Iterable[pa.RecordBatch], per_block: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(term, block, ids, tf, dl) of rows (doc_id, text): a row for each term of each block, with its documents.
+
+    A block is up to per_block documents that follow one another in a task, and ends after the document that gives it `most` entries. An
+    entry of tf 0 stands for the first four characters of a term where they are no term of the document; dl is the number of
+    tokens, at least 1. A row without term has all documents of the block. Blocks are numbered by task and place, so that a task that runs again gives the same."""
+    count = counter()
+    context = TaskContext.get()
+    block = (context.partitionId() if context else 0) << 33
+    ids: list[pa.Array] = []
+    at: list[int] = []
+    terms: list[str] = []
+    tf: list[int] = []
+    sizes: list[int] = []
+
+    def flush() -> pa.RecordBatch:
+        own = pa.concat_arrays(ids)
+        codes = pa.array(terms, pa.string()).dictionary_encode()
+        code = codes.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        place = np.concatenate([np.arange(len(sizes)), np.array(at, np.int64)[order]]).astype(np.int64)
+        ends = np.cumsum(np.concatenate([[0, len(sizes)], np.bincount(code, minlength=len(codes.dictionary))])).astype(np.int32)
+        offsets = pa.array(ends)
+        listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+        weights = np.concatenate([np.zeros(len(sizes), np.int32), np.array(tf, np.int32)[order]]).astype(np.int32)
+        names = pa.concat_arrays([pa.nulls(1, pa.string()), codes.dictionary])
+        numbers = pa.array(np.full(len(names), block, np.int64))
+        columns = [names, numbers, listed(own.take(pa.array(place))), listed(pa.array(weights)), listed(pa.array(np.array(sizes, np.int32)[place]))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ids", "tf", "dl"])
+
+    for b in batches:
+        for i in range(b.num_rows):
+            counted = count(b.column(1)[i].as_py())
+            size = max(1, counted.total())
+            for t in [t for t in counted if len(t) >= PREFIX]:
+                counted.setdefault(t[:PREFIX], 0)
+            ids.append(b.column(0).slice(i, 1))
+            at += [len(sizes)] * len(counted)
+            terms += counted.keys()
+            tf += counted.values()
+            sizes.append(size)
+            if len(sizes) >= per_block or len(at) >= most:
+                yield flush()
+                block += 1
+                ids, at, terms, tf, sizes = [], [], [], [], []
+    if sizes:
+        yield flush()

@@ -28,7 +28,7 @@ class Index:
 
 def term_frequencies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, term, tf) of the tokens, counted inside each row: nothing is shuffled. An id names one row."""
-    return stored.entries(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), False)
+    return stored.entries(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
 
 
 def postings(tf: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """A written search index for any size of corpus, and ranking that stops early.
 
-Terms of a document are counted inside its row. Postings lie in order of term, block and document in files of about ROWS rows,
-so that a term in all documents fills many files and is read by many tasks, and a rare one is in one. A block is a hashed
-share of about DOCS documents; `impacts` has the largest weight of each term in each block. `dictionary` has the terms in order with
+Terms of a document are counted inside its row. A block is up to DOCS documents that lie together, and a posting is a term and a block with
+all of the block's documents that hold the term, and the largest weight among them. So the documents are packed before anything
+is shuffled. Postings lie in order of term and block in files of about ROWS documents' entries, so that a term in all
+documents fills many files and is read by many tasks, and a rare one is in one. `dictionary` has the terms in order with
 their numbers of documents, so that all terms that begin with an asked one are a range. `ranges` has the first and last
 term of every file: a query opens only files whose range meets what it asks.
 
-`ranked` first bounds every block by its impacts, scores the documents of the best blocks, and reads of the others only those
-whose bound reaches the score of the last of these. The result is that of scoring all documents.
+`ranked` first bounds every block by its largest weights, for which lists of documents aren't read, scores the documents of the best
+blocks, and reads of the others only those whose bound reaches the score of the last of these. The result is that of scoring all documents.
 
 Documents are (doc_id, text); an id names one row. Ties are broken by doc_id.
 """
@@ -25,18 +26,25 @@ from quarry.functions import counting, scores
 from quarry.sources.checkpoints import cut, remove
 from quarry.sources.package import send_package
 
-#: Postings of a file on average, and documents of a block.
-ROWS, DOCS = 1_000_000, 256
+#: Entries of a file on average, documents of a block, and entries after which a block ends.
+ROWS, DOCS, CELLS = 1_000_000, 256, 400_000
 #: Blocks that are scored first, and blocks up to which the rest of a query is broadcast.
 FIRST, FEW = 16, 100_000
-TABLES = ("postings", "impacts", "dictionary")
+PACKED = {"compression": "zstd"}
 
 
-def entries(docs: DataFrame, marked: bool = True) -> DataFrame:
+def entries(docs: DataFrame) -> DataFrame:
     """counting.entries of docs (doc_id, text)."""
     send_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(counting.entries, marked=marked), f"doc_id {kind}, term string, tf long" + ", dl long" * marked)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(counting.entries, f"doc_id {kind}, term string, tf long")
+
+
+def cells(docs: DataFrame, per_block: int) -> DataFrame:
+    """counting.cells of docs (doc_id, text)."""
+    send_package(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(counting.cells, per_block=per_block, most=CELLS), f"term string, block long, ids array<{kind}>, tf array<int>, dl array<int>")
 
 
 def _parts(n: int, rows: int) -> int:
@@ -48,36 +56,33 @@ def _next(prefix: str) -> str:
     return prefix + "\U0010ffff"
 
 
+def unpacked(packed: DataFrame, avg_dl: float) -> DataFrame:
+    """(term, block, doc_id, tf, dl, w) of rows with lists."""
+    each = packed.select("term", "block", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), "tf", "dl")).alias("doc_id", "tf", "dl"))
+    return each.withColumn("w", scores.saturation(F.col("tf"), F.col("dl"), F.lit(avg_dl)))
+
+
 def write(docs: DataFrame, folder: str, rows: int = ROWS, per_block: int = DOCS) -> None:
     """Writes the index of docs to a new folder."""
     spark = docs.sparkSession
-    entries(docs).write.parquet(f"{folder}/entries")
-    made = spark.read.parquet(f"{folder}/entries")
-    lengths = made.where("term IS NULL").select("doc_id", "dl")
-    n_docs, avg_dl = lengths.agg(F.count("*"), F.avg("dl")).first()
-    blocks = _parts(n_docs, per_block)
-    weight = scores.saturation(F.col("tf"), F.col("dl"), F.lit(avg_dl or 1.0))
-    postings = made.where("term IS NOT NULL").select("term", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "tf", weight.alias("w"))
-    in_order = ("term", "block", "doc_id")
-    postings.repartitionByRange(_parts(made.count() - n_docs, rows), *in_order).sortWithinPartitions(*in_order).write.parquet(f"{folder}/postings")
-    # files are in order, so that each task sums up its own groups almost to the end
-    cells = spark.read.parquet(f"{folder}/postings").withColumn("file", F.col("_metadata.file_name")).groupBy("file", "term", "block").agg(F.max("w").alias("top"), F.count("*").alias("n"))
-    cells.write.parquet(f"{folder}/cells")
-    cells = spark.read.parquet(f"{folder}/cells")
-    impacts = cells.groupBy("term", "block").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-    impacts.repartitionByRange(_parts(cells.count(), rows), "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/impacts")
-    impacts = spark.read.parquet(f"{folder}/impacts")
-    terms = impacts.groupBy("term").agg(F.sum("n").alias("df"))
-    n_terms = impacts.select(F.approx_count_distinct("term")).first()[0]
-    terms.repartitionByRange(_parts(n_terms, rows), "term").sortWithinPartitions("term").write.parquet(f"{folder}/dictionary")
-    ends = lambda df, name: df.groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).select(F.lit(name).alias("name"), "file", "first", "last")
-    named = lambda name: spark.read.parquet(f"{folder}/{name}").select("term", F.col("_metadata.file_name").alias("file"))
-    ranges = ends(cells, "postings").unionByName(ends(named("impacts"), "impacts")).unionByName(ends(named("dictionary"), "dictionary"))
-    ranges.coalesce(1).sortWithinPartitions("name", "first").write.parquet(f"{folder}/ranges")
-    lengths.write.parquet(f"{folder}/docs")
-    spark.createDataFrame([(n_docs, avg_dl, blocks)], "n_docs long, avg_dl double, blocks int").coalesce(1).write.parquet(f"{folder}/stats")
-    for name in ("entries", "cells"):
-        remove(spark, f"{folder}/{name}")
+    cells(docs, per_block).write.options(**PACKED).parquet(f"{folder}/cells")
+    made = spark.read.parquet(f"{folder}/cells")
+    made.where("term IS NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), "dl")).alias("doc_id", "dl")).write.parquet(f"{folder}/docs")
+    n_docs, avg_dl = spark.read.parquet(f"{folder}/docs").agg(F.count("*"), F.avg("dl")).first()
+    made = made.where("term IS NOT NULL")
+    n_entries = made.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    weights = F.zip_with("tf", "dl", lambda tf, dl: scores.saturation(tf, dl, F.lit(avg_dl or 1.0)))
+    postings = made.repartitionByRange(_parts(n_entries, rows), "term", "block").sortWithinPartitions("term", "block")
+    postings.withColumns({"n": F.size("ids"), "top": F.array_max(weights)}).write.options(**PACKED).parquet(f"{folder}/postings")
+    named = lambda name: spark.read.parquet(f"{folder}/{name}").select("*", F.col("_metadata.file_name").alias("file"))
+    terms = cut(named("postings").groupBy("file", "term").agg(F.sum("n").alias("df")))
+    ends = terms.groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).select(F.lit("postings").alias("name"), "file", "first", "last")
+    n_terms = terms.count()
+    terms.groupBy("term").agg(F.sum("df").alias("df")).repartitionByRange(_parts(n_terms, rows), "term").sortWithinPartitions("term").write.parquet(f"{folder}/dictionary")
+    words = named("dictionary").groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).select(F.lit("dictionary").alias("name"), "file", "first", "last")
+    ends.unionByName(words).coalesce(1).sortWithinPartitions("name", "first").write.parquet(f"{folder}/ranges")
+    spark.createDataFrame([(n_docs, avg_dl)], "n_docs long, avg_dl double").coalesce(1).write.parquet(f"{folder}/stats")
+    remove(spark, f"{folder}/cells")
 
 
 @dataclass(frozen=True)
@@ -102,12 +107,14 @@ class Stored:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.n_docs, self.avg_dl, self.blocks = spark.read.parquet(f"{folder}/stats").first()
+        self.n_docs, self.avg_dl = spark.read.parquet(f"{folder}/stats").first()
         #: Files that the last query opened, by table.
         self.opened: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """A table; postings with a row for each document."""
+        stored = self.spark.read.parquet(f"{self.folder}/{name}")
+        return unpacked(stored, self.avg_dl or 1.0) if name == "postings" else stored
 
     def _of(self, name: str, terms: Sequence[str], soft: bool) -> DataFrame:
         """The rows of a table that may belong to the terms, from the files whose range meets them."""
@@ -116,7 +123,7 @@ class Stored:
         files = [r.file for r in self.table("ranges").where((F.col("name") == name) & meets).select("file").collect()]
         self.opened[name] = len(files)
         if not files:
-            return self.table(name).limit(0)
+            return self.spark.read.parquet(f"{self.folder}/{name}").limit(0)
         rows = reduce(lambda a, b: a | b, ((F.col("term") >= low) & (F.col("term") <= high) for low, high in spans))
         return self.spark.read.parquet(*(f"{self.folder}/{name}/{f}" for f in files)).where(rows)
 
@@ -151,10 +158,10 @@ class Stored:
             return none
         terms = [a.term for a in asked]
         best = lambda df: df.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit)
-        bounds = cut(self._scored(self._of("impacts", terms, soft), asked, soft, "top", "block"))
-        begun = [r.block for r in bounds.orderBy(F.desc("score"), "block").limit(first).collect()]
         postings = self._of("postings", terms, soft)
-        head = cut(best(self._scored(postings.where(F.col("block").isin(begun)), asked, soft, "w", "doc_id")))
+        bounds = cut(self._scored(postings.select("term", "block", "top"), asked, soft, "top", "block"))
+        begun = [r.block for r in bounds.orderBy(F.desc("score"), "block").limit(first).collect()]
+        head = cut(best(self._scored(unpacked(postings.where(F.col("block").isin(begun)), self.avg_dl or 1.0), asked, soft, "w", "doc_id")))
         found = head.collect()
         least = found[-1].score - 1e-8 if len(found) == limit else 0.0
         rest = cut(bounds.where((F.col("score") >= least) & ~F.col("block").isin(begun)).select("block"))
@@ -162,4 +169,4 @@ class Stored:
         if not n:
             return head
         tail = postings.join(F.broadcast(rest) if n <= FEW else rest, "block")
-        return best(head.unionByName(best(self._scored(tail, asked, soft, "w", "doc_id"))))
+        return best(head.unionByName(best(self._scored(unpacked(tail, self.avg_dl or 1.0), asked, soft, "w", "doc_id"))))
