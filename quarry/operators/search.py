@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +117,10 @@ def semantic(docs: DataFrame, query: str, limit: int = 10, id_column: str = "doc
 
 
 def keywords(docs: DataFrame, query: str, limit: int = 10, id_column: str = "doc_id", heading: str | None = None, stale: str | None = None) -> DataFrame:
-    """Share of the query's words that the text holds, 1/4 more if the heading holds the first, 1/20 more if it is stale."""
-    asked = [w for w in query.lower().split() if w]
+    """Share of the query's words that the text holds, 1/4 more if the heading holds the first, 1/20 more if it is stale.
+
+    Words are runs of letters, numbers, _ and / of two bytes or more."""
+    asked = [w for w in regex.findall(r"[\p{Alphabetic}\p{N}_/]+", query.lower()) if len(w.encode()) >= 2]
     hay = F.lower(F.concat_ws(" ", F.col(heading), F.col("text")) if heading else F.col("text"))
     hits = sum((F.contains(hay, F.lit(w)).cast("int") for w in asked), F.lit(0))
     score = hits / float(max(1, len(asked)))

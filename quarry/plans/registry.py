@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("search_queries", "graph_queries", "code_queries", "docs_queries", "intel_queries", "state_queries", "catalog_queries", "generated_queries", "language_queries", "source_queries")
+MODULES = ("search_queries", "graph_queries", "code_queries", "docs_queries", "intel_queries", "state_queries", "catalog_queries", "generated_queries", "language_queries", "source_queries", "snapshot_queries")
 
 
 def _merged(name: str) -> dict:

@@ -104,6 +104,15 @@ def stale_files(files: DataFrame, indexed: DataFrame) -> DataFrame:
     return both.select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def index_status(files: DataFrame, indexed: DataFrame, indexed_at: str | None = None) -> DataFrame:
+    """One row: indexed_at (never without an index), newest (the latest time of a file), dirty, stale (the number of files the index lags
+    behind) and a warning if there are any. files, indexed: (path, mtime)."""
+    newest = files.agg(F.max("mtime").alias("newest"))
+    stale = stale_files(files, indexed).agg(F.count("*").alias("stale"))
+    warning = F.when(F.col("stale") > 0, F.concat(F.col("stale").cast("string"), F.lit(" files differ from the index")))
+    return newest.join(F.broadcast(stale)).select(F.lit(indexed_at or "never").alias("indexed_at"), "newest", (F.col("stale") > 0).alias("dirty"), "stale", warning.alias("warning"))
+
+
 def _git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=False, timeout=60).stdout
 

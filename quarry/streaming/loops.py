@@ -48,3 +48,52 @@ def prefetched(ticks: DataFrame, ring: DataFrame) -> DataFrame:
     first tick that needs it; so a tick's prefetch is what was not sent before. State is one row for each session and file."""
     near = ticks.join(ring, "file").select("session", "at", F.col("near").alias("file"))
     return near.groupBy("session", "file").agg(F.min("at").alias("at"))
+
+
+def resolved(root: str, file: Column) -> Column:
+    """A file's path below root, without leading ./; as it is if it lies elsewhere."""
+    top = root.rstrip("/") + "/"
+    below = F.when(file.startswith(top), F.substring(file, len(top) + 1, 2**31 - 1)).otherwise(file)
+    return F.regexp_replace(below, r"^(\./)+", "")
+
+
+def _open(events: DataFrame) -> DataFrame:
+    """The events of sessions from their first begin to their first end after it, with the session's times; equal times go by seq."""
+    at = F.struct("at", "seq")
+    begun = events.where("op = 'begin'").groupBy("session").agg(F.min(at).alias("begun"))
+    later = events.join(begun, "session").where(at >= F.col("begun"))
+    ended = later.where("op = 'end'").groupBy("session").agg(F.min(at).alias("ended"))
+    return later.join(ended, "session", "left")
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """(session, goal, iterations, touched, closed, rejected) of events (session, at, seq, op, goal, files): op is begin, tick, record or end.
+
+    A session begins with its first begin, whose goal it has; what comes before isn't its own and a second begin changes nothing. Its
+    first end closes it; later events but begins are rejected. touched is the number of different files recorded while it was open.
+    """
+    inside = _open(events)
+    open_ = F.col("ended").isNull() | (F.struct("at", "seq") < F.col("ended"))
+    late = ~open_ & (F.struct("at", "seq") > F.col("ended")) & (F.col("op") != "begin")
+    numbers = inside.groupBy("session").agg(
+        F.min_by(F.when(F.col("op") == "begin", F.col("goal")), F.struct((F.col("op") != "begin").alias("no"), "at", "seq")).alias("goal"),
+        F.count_if((F.col("op") == "tick") & open_).alias("iterations"),
+        F.max(F.col("ended").isNotNull()).alias("closed"),
+        F.count_if(late).alias("rejected"),
+    )
+    touched = session_files(events).where("touched").groupBy("session").agg(F.count("*").alias("touched"))
+    return numbers.join(touched, "session", "left").withColumn("touched", F.coalesce("touched", F.lit(0)))
+
+
+def session_files(events: DataFrame, root: str = "") -> DataFrame:
+    """(session, file, touched, primary): the active files of sessions, those of the begin and those recorded while it was open, each once.
+
+    touched: it was recorded. primary: the first active file, of one event the first of its list.
+    """
+    open_ = F.col("ended").isNull() | (F.struct("at", "seq") < F.col("ended"))
+    first = (F.col("op") == "begin") & (F.struct("at", "seq") == F.col("begun"))
+    each = _open(events).where(first | ((F.col("op") == "record") & open_)).select("session", "op", "at", "seq", F.posexplode("files").alias("place", "file"))
+    each = each.where("file IS NOT NULL").withColumn("file", resolved(root, F.col("file")) if root else F.col("file"))
+    active = each.groupBy("session", "file").agg(F.max(F.col("op") == "record").alias("touched"), F.min(F.struct("at", "seq", "place")).alias("since"))
+    heads = active.groupBy("session").agg(F.min("since").alias("head"))
+    return active.join(heads, "session").select("session", "file", "touched", (F.col("since") == F.col("head")).alias("primary"))
