@@ -18,6 +18,7 @@ from quarry.functions.text import PREFIX, STOPWORDS, SUFFIXES
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _EDGE = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=[0-9])(?=\p{Alphabetic})", regex.V1)
 _RUNS = regex.compile(r"[\p{Alphabetic}\p{N}_/]+")
+_MARKS = ".,;:!?()[]{}<>\"'`-"
 _STOP = frozenset(STOPWORDS)
 #: Pieces that are kept, and rows of a batch.
 KEPT, ROWS = 300_000, 50_000
@@ -32,9 +33,14 @@ def stem(word: str) -> str:
 
 def piece_tokens(piece: str) -> tuple[str, ...]:
     """Terms of a piece without white space, and the first four characters of the longer ones."""
-    parts = [p for w in _WORDS.findall(piece) for p in _EDGE.split(w) if p]
-    if "_" in piece or "/" in piece:
-        parts += [r for r in _RUNS.findall(piece) if not r.strip("_/")]
+    inner = piece.strip(_MARKS)
+    if inner.isalpha() and (inner.islower() or inner[1:].islower()):
+        # one word without an edge inside
+        parts = [inner]
+    else:
+        parts = [p for w in _WORDS.findall(piece) for p in _EDGE.split(w) if p]
+        if "_" in piece or "/" in piece:
+            parts += [r for r in _RUNS.findall(piece) if not r.strip("_/")]
     low = [p.lower() for p in parts]
     found = [stem(p) for p in low if len(p.encode()) >= 2 and p not in _STOP]
     return (*found, *(t[:PREFIX] for t in found if len(t) >= PREFIX))
@@ -44,7 +50,7 @@ def counter() -> Callable[[str | None], Counter[str]]:
     kept: dict[str, tuple[str, ...]] = {}
 
     def count(text: str | None) -> Counter[str]:
-        out: Counter[str] = Counter()
+        out: dict[str, int] = {}
         for piece, n in Counter((text or "").split()).items():
             tokens = kept.get(piece)
             if tokens is None:
@@ -52,8 +58,8 @@ def counter() -> Callable[[str | None], Counter[str]]:
                     kept.clear()
                 tokens = kept[piece] = piece_tokens(piece)
             for t in tokens:
-                out[t] += n
-        return out
+                out[t] = out.get(t, 0) + n
+        return Counter(out)
 
     return count
 
@@ -84,9 +90,8 @@ def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cells(batches: Iterable[pa.RecordBatch], per_block: int, most: int) -> Iterator[pa.RecordBatch]:
     """(term, block, ids, tf, dl) of rows (doc_id, text): a row for each term of each block, with its documents.
 
-    A block is up to per_block documents that follow one another in a task, and ends after the document that gives it `most` entries. An
-    entry of tf 0 stands for the first four characters of a term where they are no term of the document; dl is the number of
-    tokens, at least 1. A row without term has all documents of the block. Blocks are numbered by task and place, so that a task that runs again gives the same."""
+    A block is up to per_block documents that follow one another in a task, and ends after the document that gives it `most` entries. The
+    first four characters of a term are a term of the document too; dl is the number of tokens, at least 1. A row without term has all documents of the block. Blocks are numbered by task and place, so that a task that runs again gives the same."""
     count = counter()
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 33
@@ -115,8 +120,6 @@ def cells(batches: Iterable[pa.RecordBatch], per_block: int, most: int) -> Itera
         for i in range(b.num_rows):
             counted = count(b.column(1)[i].as_py())
             size = max(1, counted.total())
-            for t in [t for t in counted if len(t) >= PREFIX]:
-                counted.setdefault(t[:PREFIX], 0)
             ids.append(b.column(0).slice(i, 1))
             at += [len(sizes)] * len(counted)
             terms += counted.keys()
