@@ -88,7 +88,7 @@ def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cells(batches: Iterable[pa.RecordBatch], per_block: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(term, block, ids, tf, dl) of rows (doc_id, text): a row for each term of each block, with its documents.
+    """(term, block, ids, counts) of rows (doc_id, text): a row for each term of each block, with its documents and tf * 2^32 + dl of each.
 
     A block is up to per_block documents that follow one another in a task, and ends after the document that gives it `most` entries. The
     first four characters of a term are a term of the document too; dl is the number of tokens, at least 1. A row without term has all documents of the block. Blocks are numbered by task and place, so that a task that runs again gives the same."""
@@ -110,11 +110,12 @@ def cells(batches: Iterable[pa.RecordBatch], per_block: int, most: int) -> Itera
         ends = np.cumsum(np.concatenate([[0, len(sizes)], np.bincount(code, minlength=len(codes.dictionary))])).astype(np.int32)
         offsets = pa.array(ends)
         listed = lambda values: pa.ListArray.from_arrays(offsets, values)
-        weights = np.concatenate([np.zeros(len(sizes), np.int32), np.array(tf, np.int32)[order]]).astype(np.int32)
+        times = np.concatenate([np.zeros(len(sizes), np.int64), np.array(tf, np.int64)[order]]).astype(np.int64)
+        counts = (times << 32) | np.array(sizes, np.int64)[place]
         names = pa.concat_arrays([pa.nulls(1, pa.string()), codes.dictionary])
         numbers = pa.array(np.full(len(names), block, np.int64))
-        columns = [names, numbers, listed(own.take(pa.array(place))), listed(pa.array(weights)), listed(pa.array(np.array(sizes, np.int32)[place]))]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ids", "tf", "dl"])
+        columns = [names, numbers, listed(own.take(pa.array(place))), listed(pa.array(counts))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ids", "counts"])
 
     for b in batches:
         for i in range(b.num_rows):

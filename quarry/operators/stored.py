@@ -27,7 +27,7 @@ from quarry.sources.checkpoints import cut, remove
 from quarry.sources.package import send_package
 
 #: Entries of a file on average, documents of a block, and entries after which a block ends.
-ROWS, DOCS, CELLS = 1_000_000, 256, 400_000
+ROWS, DOCS, CELLS = 1_000_000, 1_024, 1_000_000
 #: Blocks that are scored first, and blocks up to which the rest of a query is broadcast.
 FIRST, FEW = 16, 100_000
 PACKED = {"compression": "zstd"}
@@ -44,7 +44,7 @@ def cells(docs: DataFrame, per_block: int) -> DataFrame:
     """counting.cells of docs (doc_id, text)."""
     send_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(counting.cells, per_block=per_block, most=CELLS), f"term string, block long, ids array<{kind}>, tf array<int>, dl array<int>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(counting.cells, per_block=per_block, most=CELLS), f"term string, block long, ids array<{kind}>, counts array<bigint>")
 
 
 def _parts(n: int, rows: int) -> int:
@@ -56,10 +56,16 @@ def _next(prefix: str) -> str:
     return prefix + "\U0010ffff"
 
 
+def _split(counts: Column) -> tuple[Column, Column]:
+    """tf and dl."""
+    return F.shiftright(counts, 32), counts.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def unpacked(packed: DataFrame, avg_dl: float) -> DataFrame:
     """(term, block, doc_id, tf, dl, w) of rows with lists."""
-    each = packed.select("term", "block", F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), "tf", "dl")).alias("doc_id", "tf", "dl"))
-    return each.withColumn("w", scores.saturation(F.col("tf"), F.col("dl"), F.lit(avg_dl)))
+    each = packed.select("term", "block", F.inline(F.arrays_zip("ids", "counts")).alias("doc_id", "counts"))
+    tf, dl = _split(F.col("counts"))
+    return each.select("term", "block", "doc_id", tf.alias("tf"), dl.alias("dl"), scores.saturation(tf, dl, F.lit(avg_dl)).alias("w"))
 
 
 def write(docs: DataFrame, folder: str, rows: int = ROWS, per_block: int = DOCS) -> None:
@@ -67,11 +73,11 @@ def write(docs: DataFrame, folder: str, rows: int = ROWS, per_block: int = DOCS)
     spark = docs.sparkSession
     cells(docs, per_block).write.options(**PACKED).parquet(f"{folder}/cells")
     made = spark.read.parquet(f"{folder}/cells")
-    made.where("term IS NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), "dl")).alias("doc_id", "dl")).write.parquet(f"{folder}/docs")
+    made.where("term IS NULL").select(F.inline(F.arrays_zip("ids", "counts")).alias("doc_id", "dl")).write.parquet(f"{folder}/docs")
     n_docs, avg_dl = spark.read.parquet(f"{folder}/docs").agg(F.count("*"), F.avg("dl")).first()
     made = made.where("term IS NOT NULL")
     n_entries = made.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    weights = F.zip_with("tf", "dl", lambda tf, dl: scores.saturation(tf, dl, F.lit(avg_dl or 1.0)))
+    weights = F.transform("counts", lambda c: scores.saturation(*_split(c), F.lit(avg_dl or 1.0)))
     postings = made.repartitionByRange(_parts(n_entries, rows), "term", "block").sortWithinPartitions("term", "block")
     postings.withColumns({"n": F.size("ids"), "top": F.array_max(weights)}).write.options(**PACKED).parquet(f"{folder}/postings")
     named = lambda name: spark.read.parquet(f"{folder}/{name}").select("*", F.col("_metadata.file_name").alias("file"))
