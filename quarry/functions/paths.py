@@ -28,8 +28,7 @@ def extension(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """The language by extension or null."""
-    ext = extension(path)
-    return F.coalesce(*(F.when(ext == e, F.lit(name)) for e, name in LANGUAGES.items()))
+    return F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[extension(path)]
 
 
 def with_extension(path: Column, ext: str) -> Column:

@@ -22,9 +22,21 @@ PART_BOUNDARY = r"[^\p{IsAlphabetic}\p{N}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=
 PREFIX = 4
 
 
+def _plain(end: Column) -> Column:
+    """Whether a first or last character is visible ASCII or there is none."""
+    return (end == "") | end.between("!", "~")
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; the pattern is only run where cutting spaces isn't enough."""
+    bare = F.trim(text)
+    return F.when(_plain(F.substring(bare, 1, 1)) & _plain(F.substring(bare, -1, 1)), bare).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+
+
+def strip_left(text: Column) -> Column:
+    """Without white space of any kind at the start."""
+    bare = F.ltrim(text)
+    return F.when(_plain(F.substring(bare, 1, 1)), bare).otherwise(F.regexp_replace(text, r"(?U)^\s+", ""))
 
 
 def stem(word: Column) -> Column:
@@ -72,8 +84,10 @@ def ngrams(text: Column, n: int = 3) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; the end of the last line starts no other."""
-    found = F.split(text, r"\r?\n")
-    return F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    # split once, by a plain character
+    ends = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    whole = F.when(F.endswith(ends, F.lit("\n")), F.substring(ends, F.lit(1), F.length(ends) - 1)).otherwise(ends)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
 
 
 def positional_similarity(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +52,14 @@ RULES: dict[str, tuple[tuple[str, str], ...]] = {
         (f"{_CS_HEAD}{_CS_MOD}" + r"(?:\w+(?:<[^>]*>)?\s+)*(\w+)\s*\(", "Function"),
     ),
 }
+# What a line must hold for each of the patterns, so that most lines meet none.
+NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "rust": (("fn",), ("trait",), ("struct",), ("enum",), ("mod",), ("type",), ("const",), ("macro_rules!",)),
+    "go": (("struct",), ("interface",), ("func",), ("func",), ("type",)),
+    "python": (("def",), ("class",)),
+    "typescript": (("function",), ("class",), ("interface",), ("type",), ("const", "let", "var")),
+    "csharp": (("class",), ("interface",), ("struct",), ("enum",), ("record",), ("(",)),
+}
 # Names before a parenthesis that are no calls.
 NO_CALLS = (
     "if", "for", "while", "match", "return", "let", "mut", "async", "await", "self", "Self", "super", "crate",
@@ -74,15 +84,20 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*kept, F.posexplode(text.lines(F.col(content))).alias("_at", "text")).withColumn("line", F.col("_at") + 1).drop("_at")
 
 
+def _holds(column: str, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(F.col(column), F.lit(p)) for p in parts))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """(repo, path, package, name, signature, kind, line, character): the first rule that fits a line makes its symbol."""
     rows = lines(with_language(files)).withColumn("signature", F.when(F.col("lang") == "python", F.col("text")).otherwise(text.strip(F.col("text"))))
 
-    def found(rules: tuple[tuple[str, str], ...]) -> Column:
-        return F.coalesce(*(F.when(F.col("signature").rlike(_U + r), F.struct(F.regexp_extract("signature", _U + r, 1).alias("name"), F.lit(kind).alias("kind"))) for r, kind in rules))
+    def found(lang: str) -> Column:
+        pairs = zip(RULES[lang], NEEDS[lang], strict=True)
+        return F.coalesce(*(F.when(_holds("signature", *needs) & F.col("signature").rlike(_U + r), F.struct(F.regexp_extract("signature", _U + r, 1).alias("name"), F.lit(kind).alias("kind"))) for (r, kind), needs in pairs))
 
-    hit = F.coalesce(*(F.when(F.col("lang") == lang, found(rules)) for lang, rules in RULES.items()))
-    # exploded rather than filtered, so that the rules are evaluated once
+    hit = F.coalesce(*(F.when(F.col("lang") == lang, found(lang)) for lang in RULES))
+    # exploded rather than filtered, so that the rules are evaluated once; a lambda keeps them out of the compiled code, which would be too large to run fast
     rows = rows.where(F.col("signature") != "").withColumn("hit", F.explode(F.array_compact(F.array(hit))))
     return rows.select("repo", "path", paths.package(F.col("path")).alias("package"), F.col("hit.name").alias("name"), "signature", F.col("hit.kind").alias("kind"), "line", F.lit(0).alias("character"))
 
@@ -94,53 +109,62 @@ def _found(column: str, head: str, name: str, tail: str = "") -> Column:
     return F.when(F.col(column).rlike(pattern), F.struct(F.regexp_extract(column, pattern, 1).alias("text"), F.length(F.regexp_extract(column, before, 1)).alias("character")))
 
 
-# Imports of relative modules.
-_TS_FROM = r"""(?:import|export)\s[\s\S]*?from\s+['"]([./][^'"]+)['"]"""
-_TS_SIDE = r"""import\s+['"]([./][^'"]+)['"]"""
+# Imports of relative modules: the name, the quote behind it, what comes before the name.
+_TS_NAME, _TS_QUOTE = r"""[./][^'"]+""", r"""['"]"""
+_TS_END = r"""from\s+['"]"""
+_TS_FROM, _TS_SIDE = rf"(?:import|export)\s(?s:.)*?{_TS_END}", r"""import\s+['"]"""
+
+
+def _ts_places(files: DataFrame, head: str, end: str, rule: int) -> DataFrame:
+    """(repo, path, lang, text, line, character, _rule) of all matches. Line and character are counted on over what lies between one name and the next,
+    so that each piece is read once; the search stops at the last thing that can end a match, so that none runs to the end of the text in vain."""
+    code = F.regexp_extract("content", rf"{_U}^(?s:.)*{end}{_TS_NAME}{_TS_QUOTE}", 0)
+    rows = files.select("repo", "path", "lang", code.alias("code")).where("code <> ''")
+    pattern = F.lit(f"{_U}({head})({_TS_NAME})({_TS_QUOTE})")
+    part = lambda i: F.regexp_extract_all("code", pattern, i)
+    rows = rows.select("repo", "path", "lang", part(1).alias("heads"), part(2).alias("names"), F.split("code", f"{_U}{head}{_TS_NAME}{_TS_QUOTE}").alias("gaps"))
+    # `_` stands for the quote behind a name
+    over = F.expr("transform(names, (n, i) -> struct(n AS text, concat(if(i = 0, '', concat(names[i - 1], '_')), gaps[i], heads[i]) AS over))")
+    steps = F.transform(over, lambda m: F.struct(m["text"].alias("text"), (F.length(m["over"]) - F.length(F.replace(m["over"], F.lit("\n"), F.lit("")))).alias("down"), F.length(F.substring_index(m["over"], "\n", -1)).alias("right")))
+    places = F.expr(
+        "aggregate(_steps, struct(1 AS line, 0 AS character, cast(array() AS array<struct<text:string,line:int,character:int>>) AS out), "
+        "(a, m) -> struct(a.line + m.down AS line, if(m.down > 0, 0, a.character) + m.right AS character, "
+        "array_append(a.out, struct(m.text AS text, a.line + m.down AS line, if(m.down > 0, 0, a.character) + m.right AS character)) AS out)).out"
+    )
+    found = rows.withColumn("_steps", steps).select("repo", "path", "lang", F.explode(places).alias("m"))
+    return found.select("repo", "path", "lang", F.col("m.text").alias("text"), F.col("m.line").alias("line"), F.col("m.character").alias("character"), F.lit(rule).alias("_rule"))
 
 
 def _ts_imports(files: DataFrame) -> DataFrame:
-    """Imports over the whole text, as they may span lines; matches are placed by searching on from the one before."""
-
-    rows = None
-    for k, pattern in enumerate((_TS_FROM, _TS_SIDE)):
-        whole, group = (F.regexp_extract_all("content", F.lit(_U + pattern), i) for i in (0, 1))
-        zipped = files.withColumn("_zip", F.zip_with(whole, group, lambda w, t: F.struct(w.alias("whole"), t.alias("text"))))
-        places = F.expr(
-            "aggregate(_zip, struct(1 AS at, cast(array() AS array<struct<text:string,start:int>>) AS out), "
-            "(a, m) -> struct(locate(m.whole, content, a.at) + length(m.whole) AS at, "
-            "array_append(a.out, struct(m.text AS text, locate(m.whole, content, a.at) + length(m.whole) - length(m.text) - 1 AS start)) AS out)).out"
-        )
-        part = zipped.select("repo", "path", "lang", "content", F.explode(places).alias("m")).withColumn("_rule", F.lit(k))
-        rows = part if rows is None else rows.unionByName(part)
-    before = F.substring(F.col("content"), F.lit(1), F.col("m.start") - 1)
-    out = rows.select("repo", "path", "lang", F.col("m.text").alias("text"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), F.length(F.element_at(F.split(before, "\n"), -1)).alias("character"), "_rule")
-    return out.groupBy("repo", "path", "lang", "text", "line").agg(F.min(F.struct("_rule", "character")).alias("first")).select("repo", "path", "lang", "text", "line", F.col("first.character").alias("character"))
+    """Imports over the whole text, as they may span lines."""
+    rows = _ts_places(files, _TS_FROM, _TS_END, 0).unionByName(_ts_places(files, _TS_SIDE, _TS_SIDE, 1))
+    return rows.groupBy("repo", "path", "lang", "text", "line").agg(F.min(F.struct("_rule", "character")).alias("first")).select("repo", "path", "lang", "text", "line", F.col("first.character").alias("character"))
 
 
 def imports(files: DataFrame) -> DataFrame:
     """(repo, path, lang, text, line, character) of raw imports."""
     known = with_language(files)
-    rows = lines(known)
+    rows = lines(known.where(F.col("lang") != "typescript")).withColumn("_bare", text.strip(F.col("text")))
+    named = lambda part, found: F.when(_holds("text", part), found)
     vis = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
-
-    def of(lang: str, *found: Column) -> DataFrame:
-        hits = F.array_compact(F.array(*found))
-        part = rows.where(F.col("lang") == lang).select("repo", "path", "lang", "line", F.explode(hits).alias("m"))
-        return part.select("repo", "path", "lang", F.col("m.text").alias("text"), "line", F.col("m.character").alias("character"))
-
-    rust = of("rust", _found("text", vis + r"mod\s+", r"\w+", r"\s*;"), _found("text", vis + r"use\s+", r"(?:crate|super)::[\w:]+"))
-    rows = rows.withColumn("_left", F.regexp_replace("text", r"(?U)^\s+", "")).withColumn("_bare", text.strip(F.col("text")))
-    python = of("python", F.coalesce(_found("_left", r"^from\s+", r"\.+\w*|\w[\w.]*", r"\s+import"), _found("_left", r"^import\s+", r"[\w.]+")))
-    csharp = of("csharp", _found("_bare", r"^\s*using\s+(?:static\s+)?", r"[\w.]+", r"\s*;")).where((F.col("text") != "System") & ~F.col("text").startswith("System."))
-    # inside a group: the last of the lines that open or close one opens
+    rust = F.array(named("mod", _found("text", vis + r"mod\s+", r"\w+", r"\s*;")), named("use", _found("text", vis + r"use\s+", r"(?:crate|super)::[\w:]+")))
+    left = rows.where(F.col("lang").isin("rust", "python", "csharp")).withColumn("_left", text.strip_left(F.col("text")))
+    python = named("import", F.coalesce(_found("_left", r"^from\s+", r"\.+\w*|\w[\w.]*", r"\s+import"), _found("_left", r"^import\s+", r"[\w.]+")))
+    csharp = named("using", _found("_bare", r"^\s*using\s+(?:static\s+)?", r"[\w.]+", r"\s*;"))
+    # one pass over the lines of three languages
+    hits = F.when(F.col("lang") == "rust", rust).when(F.col("lang") == "python", F.array(python)).otherwise(F.array(csharp))
+    plain = left.select("repo", "path", "lang", "line", F.explode(F.array_compact(hits)).alias("m")).where((F.col("lang") != "csharp") | (F.col("m.text") != "System") & ~F.startswith("m.text", F.lit("System.")))
+    # inside a group: the last of the lines that open or close one opens; no other lines but these and those that may be imports go through the window
+    edge = F.when(F.col("_bare") == "import (", 1).when(F.col("_bare") == ")", 0)
     by_line = Window.partitionBy("repo", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    go_rows = rows.where(F.col("lang") == "go").withColumn("_edge", F.when(F.col("_bare") == "import (", 1).when(F.col("_bare") == ")", 0))
+    go_rows = rows.where((F.col("lang") == "go") & (F.contains("text", F.lit('"')) | F.col("_bare").isin("import (", ")"))).withColumn("_edge", edge)
+    go_rows = go_rows.select("repo", "path", "lang", "line", "_edge", _found("text", r'^\s+"', r'[^"]+', '"').alias("_inner"), _found("text", r'^\s*import\s+"', r'[^"]+', '"').alias("_single"))
+    go_rows = go_rows.where("_edge IS NOT NULL OR _inner IS NOT NULL OR _single IS NOT NULL")
     go_rows = go_rows.withColumn("_in", F.coalesce(F.last("_edge", ignorenulls=True).over(by_line), F.lit(0)))
-    go_hit = F.when((F.col("_in") == 1) & F.col("_edge").isNull(), _found("text", r'^\s+"', r'[^"]+', '"')).when(F.col("_in") == 0, _found("text", r'^\s*import\s+"', r'[^"]+', '"'))
-    go = go_rows.withColumn("m", F.explode(F.array_compact(F.array(go_hit)))).select("repo", "path", "lang", F.col("m.text").alias("text"), "line", F.col("m.character").alias("character"))
-    ts = _ts_imports(known.where(F.col("lang") == "typescript"))
-    return rust.unionByName(python).unionByName(csharp).unionByName(go).unionByName(ts)
+    go_hit = F.when((F.col("_in") == 1) & F.col("_edge").isNull(), F.col("_inner")).when(F.col("_in") == 0, F.col("_single"))
+    go = go_rows.select("repo", "path", "lang", "line", go_hit.alias("m")).where("m IS NOT NULL")
+    both = plain.unionByName(go).select("repo", "path", "lang", F.col("m.text").alias("text"), "line", F.col("m.character").alias("character"))
+    return both.unionByName(_ts_imports(known.where(F.col("lang") == "typescript")))
 
 
 def calls(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -148,16 +172,17 @@ def calls(files: DataFrame, found: DataFrame) -> DataFrame:
 
     The function of a line comes from one window over calls and functions together, not from a range join.
     """
-    rows = lines(with_language(files))
+    rows = lines(with_language(files)).where(F.contains("text", F.lit("(")))
     bare = text.strip(F.col("text"))
     open_lines = rows.where(~(bare.startswith("//") | bare.startswith("#") | bare.startswith("*") | F.contains(bare, F.lit("fn ")) | bare.startswith("def ") | F.contains(bare, F.lit("function "))))
     sites = open_lines.select("repo", "path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)).alias("place", "callee_name"))
+    short_type = F.col("callee_name").rlike("^[A-Z]") & (F.length("callee_name") <= 3)
+    sites = sites.where(~F.col("callee_name").isin(*NO_CALLS) & ~short_type)
     functions = found.where(F.col("kind") == "Function").select("repo", "path", "line", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("callee_name"), F.col("name").alias("fn"))
     both = sites.withColumn("fn", F.lit(None).cast("string")).unionByName(functions)
     upto = Window.partitionBy("repo", "path").orderBy("line", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owned = both.withColumn("caller_sym", F.last("fn", ignorenulls=True).over(upto)).where(F.col("callee_name").isNotNull() & F.col("caller_sym").isNotNull())
-    short_type = F.col("callee_name").rlike("^[A-Z]") & (F.length("callee_name") <= 3)
-    kept = owned.where((F.col("callee_name") != F.col("caller_sym")) & ~F.col("callee_name").isin(*NO_CALLS) & ~short_type)
+    kept = owned.where(F.col("callee_name") != F.col("caller_sym"))
     return kept.select("repo", F.col("path").alias("caller_file"), "caller_sym", "callee_name", "line")
 
 

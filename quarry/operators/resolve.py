@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
+from quarry.sources.checkpoints import cut
 
 #: Kinds of symbols that a call can mean.
 CALLED = ("Function", "Module", "Other")
@@ -50,7 +51,10 @@ def go_modules(files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, src, dst): the distinct files that a file's imports mean. Rust and TypeScript take the first candidate that exists, the others all."""
+    """(repo, src, dst): the distinct files that a file's imports mean. Rust and TypeScript take the first candidate that exists, the others all.
+
+    The distinct imports are found once and kept, as each step below takes its part of them."""
+    imports = cut(imports.select("repo", "path", "lang", "text").distinct())
     known = files.select("repo", F.col("path").alias("dst"))
     text, path = F.col("text"), F.col("path")
     candidates = F.when(F.col("lang") == "rust", _rust(text, path)).when(F.col("lang") == "typescript", _typescript(text, path)).when(F.col("lang") == "python", _python(text, path)).when(F.col("lang") == "csharp", _csharp(text, path))
@@ -63,7 +67,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     lost = lost.select("repo", "path", "lang", "text", F.concat(paths.basename(F.replace(text, F.lit("."), F.lit("/"))), F.lit(".cs")).alias("name"))
     named = known.where(F.col("dst").endswith(".cs") & F.contains("dst", F.lit("/"))).withColumn("name", paths.basename(F.col("dst")))
     loose = lost.join(named, ["repo", "name"]).select("repo", "path", "lang", "text", "dst")
-    go = imports.where(F.col("lang") == "go").join(go_modules(files), "repo").where(F.startswith("text", "module"))
+    # a module a repo, so that no repo's imports are one task's
+    go = imports.where(F.col("lang") == "go").join(F.broadcast(go_modules(files)), "repo").where(F.startswith("text", "module"))
     go = go.withColumn("folder", F.regexp_replace(F.substring(F.col("text"), F.length("module") + 1, F.length("text")), r"^/+", "")).where(F.col("folder") != "")
     there = known.where(F.col("dst").endswith(".go")).withColumn("folder", paths.parent(F.col("dst")))
     go = go.join(there, ["repo", "folder"]).select("repo", "path", "lang", "text", "dst")
