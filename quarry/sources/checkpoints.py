@@ -38,6 +38,18 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _located(spark, path)
+    return system.exists(where)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder of one file system; the new name must be free."""
+    where, system = _located(spark, path)
+    if not system.rename(where, _located(spark, to)[0]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as readers of files report it, with its file system."""
     where, system = _located(spark, path)

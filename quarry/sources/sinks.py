@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
 from quarry.operators import graph
-from quarry.sources.checkpoints import remove
+from quarry.sources.checkpoints import exists, move, remove
 
 NODES = 80
 
@@ -65,15 +68,33 @@ def report(name: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, su
     return "\n".join(out)
 
 
+#: The log of loop sessions has this many folders, whatever the number of sessions.
+BUCKETS = 64
+
+
+def _bucket(session: str) -> int:
+    return zlib.crc32(session.encode()) % BUCKETS
+
+
 def write_iterations(ticks: DataFrame, folder: str) -> None:
-    """Appends iterations (session, iteration, ...) to the log of loop sessions, which is kept by session."""
-    ticks.write.mode("append").partitionBy("session").parquet(folder)
+    """Appends iterations (session, iteration, ...) to the log of loop sessions, which is kept by buckets of sessions, in files in their order."""
+    bucket = F.pmod(F.crc32(F.col("session").cast("string").cast("binary")), F.lit(BUCKETS)).cast("int")
+    ticks.withColumn("session_bucket", bucket).sortWithinPartitions("session_bucket", "session").write.mode("append").partitionBy("session_bucket").parquet(folder)
 
 
 def read_session(spark: SparkSession, folder: str, session: str) -> DataFrame:
-    """The iterations of one session; only its part of the log is read."""
-    return spark.read.schema(spark.read.parquet(folder).schema).parquet(folder).where(F.col("session") == session)
+    """The iterations of one session; only its bucket of the log is read, and there the parts of files that may hold it."""
+    rows = spark.read.parquet(folder).where(F.col("session_bucket") == _bucket(session)).drop("session_bucket")
+    return rows.where(F.col("session") == F.lit(session).cast(rows.schema["session"].dataType))
 
 
 def delete_session(spark: SparkSession, folder: str, session: str) -> None:
-    remove(spark, f"{folder}/session={session}")
+    """Writes the session's bucket anew without it, then puts that in the place of the old one."""
+    name, beside = f"session_bucket={_bucket(session)}", f"{folder}/_without-{uuid.uuid4().hex}"
+    if not exists(spark, f"{folder}/{name}"):
+        return
+    rows = spark.read.parquet(f"{folder}/{name}")
+    rows.where(~F.col("session").eqNullSafe(F.lit(session).cast(rows.schema["session"].dataType))).write.parquet(f"{beside}/new")
+    move(spark, f"{folder}/{name}", f"{beside}/old")
+    move(spark, f"{beside}/new", f"{folder}/{name}")
+    remove(spark, beside)
