@@ -76,18 +76,31 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
+#: Rows that a file of a batch holds about, so that many tasks write and read a large batch.
+FILE_ROWS = 100_000
+
+
 def in_batches(rows: DataFrame, at: str | Column, parts: int) -> DataFrame:
-    """rows as a stream of `parts` batches by a time or number: they are written to a new folder one after the other, so that the stream takes them in this order."""
+    """rows as a stream of `parts` batches by a time or number: they are written to a new folder one after the other, so that the stream takes them in
+    this order. All batches have the same number of files, as the stream takes so many at once: what a batch lacks are empty ones."""
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
     at = F.unix_micros(at) if isinstance(at, str) else at
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    for i in range(parts if low is not None else 0):
-        edge = [low + (high - low) * k // parts for k in (i, i + 1)]
-        rows.where((at >= edge[0]) & ((at < edge[1]) if i < parts - 1 else (at <= high))).coalesce(1).write.mode("append").parquet(folder)
+    low, high, known = rows.agg(F.min(at), F.max(at), F.count(at)).first()
     if low is None:
         rows.write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    edges = [low + (high - low) * k // parts for k in range(parts)]
+    inside = [(at >= edges[i]) & ((at < edges[i + 1]) if i < parts - 1 else (at <= high)) for i in range(parts)]
+    most = known if known <= FILE_ROWS else max(rows.agg(*(F.count_if(x) for x in inside)).first())
+    files = -(-most // FILE_ROWS)
+    for i, x in enumerate(inside):
+        batch = rows.where(x)
+        (batch.repartition(files) if files > 1 else batch.coalesce(1)).write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
+        # tasks without rows write no file
+        for _ in range(files * (i + 1) - len(spark.read.schema(rows.schema).parquet(folder).inputFiles()) if files > 1 else 0):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def ran(stream: DataFrame, name: str, mode: str = "append", keep: Callable[[DataFrame, int], None] | None = None, conf: Mapping[str, str] | None = None) -> str:

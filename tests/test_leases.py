@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.plans import state_queries as q
 from quarry.streaming import changes, leases
@@ -94,3 +95,49 @@ def test_expiry_without_a_further_event_of_its_path(spark):
 
 def test_no_events(spark):
     assert leases.timeline(spark.createDataFrame([], leases.EVENTS)).count() == 0
+
+
+def test_ends_go_only_to_paths_that_a_claim_may_hold():
+    """Sessions share calls of the state store, and an end isn't dealt to paths whose lease is over by its ttl (before: to all that were ever claimed)."""
+    import json
+    from types import SimpleNamespace as Fake
+
+    import pandas as pd
+
+    class Value:
+        kept = None
+        get = lambda self: self.kept
+        exists = lambda self: self.kept is not None
+
+        def update(self, value):
+            self.kept = value
+
+        def clear(self):
+            self.kept = None
+
+    def frame(*events):
+        return pd.DataFrame([(at(s), op, path, who, None) for s, op, path, who in events], columns=["ts", "op", "path", "block_key", "seconds"])
+
+    def ends(found):
+        return sorted((r.path, r.block_key, (r.ts - at(0)).total_seconds()) for part in found for r in part.itertuples() if r.op == "end")
+
+    state = Value()
+    dealer = leases.Dealer(4)
+    dealer.init(Fake(getValueState=lambda name, schema: state))
+    call = lambda passed, *events: ends(dealer.handleInputRows((1,), iter([frame(*events)]), Fake(getCurrentWatermarkInMs=lambda: int((at(passed) - dt.datetime(1970, 1, 1)).total_seconds() * 1000))))
+    assert call(0, (1, "claim", "x", "a"), (20, "claim", "y", "a"), (22, "done", None, "a"), (22, "done", None, "b")) == [("y", "a", 22)]
+    # an end that the watermark hasn't passed reaches a path that is claimed in a later batch
+    assert call(10, (19, "claim", "z", "a"), (21, "claim", "z", "b")) == [("z", "a", 22), ("z", "b", 22)]
+    assert [who for who, _, _ in json.loads(state.kept[0])] == ["a", "b"]
+    assert call(30, (31, "done", None, "a")) == []
+    assert "x" not in state.kept[0] and "22" not in state.kept[0]
+
+
+def test_batches_of_several_files(spark, monkeypatch):
+    """A batch that is large is written by several tasks, and each batch is still taken whole and in order, an empty one too."""
+    monkeypatch.setattr(changes, "FILE_ROWS", 20, raising=False)
+    df = spark.range(100).selectExpr("CASE WHEN id < 98 THEN id ELSE 1000 * id END AS id")
+    seen = []
+    changes.ran(changes.in_batches(df, F.col("id"), 3), "files", keep=lambda b, n: seen.append((sorted(r.id for r in b.collect()), b.rdd.getNumPartitions())))
+    assert [x for x, _ in seen if x] == [list(range(98)), [98000, 99000]]
+    assert max(n for _, n in seen) > 1
