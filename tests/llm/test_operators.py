@@ -860,3 +860,21 @@ def test_toxicity_and_mixing_stages_against_brute_force(spark, small):
 def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
     assert corpus_pipeline.run(spark, odd).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_small_steps_of_components_are_few_tasks(spark):
+    """A shuffle's many empty partitions aren't written one by one in every round (before: a task and a file for each)."""
+    from quarry.llm import graph
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long")
+        found = graph.components(edges, "a", "b")
+        assert {(r.node, r.root) for r in found.collect()} == {(i, 0 if i < 10 else 10) for i in range(21) if i not in (0, 10)}
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
