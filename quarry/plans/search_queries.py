@@ -26,7 +26,7 @@ def tokenize_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequencies(search.postings(search.term_frequencies(_documents(spark, sf_dir))))
+    return stored.frequencies(_documents(spark, sf_dir))
 
 
 #: Written indexes of a session: path -> (names, sizes and times of the documents' files, folder).

@@ -72,3 +72,13 @@ def test_changed_documents_are_indexed_anew(spark, small, tmp_path):
 @pytest.mark.parametrize("name", ["index_build", "bm25_topk", "bm25_soft_topk", "tokenize_tf", "term_df", "bm25_proximity_topk"])
 def test_matches_sql(spark, small, name):
     check(spark, small.replace("sf0.001", "sf0.01"), q.QUERIES[name], q.ORACLES[name])
+
+
+def test_frequencies_are_counted_before_anything_is_shuffled(spark):
+    """The documents of each term, prefixes included, without a row of the shuffle for each document and term (before: dealt by doc_id and term)."""
+
+    docs = spark.createDataFrame([(1, "walking walk walker"), (2, "walk the talk talk"), (3, None), (4, ""), (5, "Äpfel Äpfel")], "doc_id long, text string")
+    found = stored.frequencies(docs)
+    want = search.document_frequencies(search.postings(search.term_frequencies(docs)))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "doc_id" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
