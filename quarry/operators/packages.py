@@ -45,7 +45,10 @@ def conventions(files: DataFrame, patterns: tuple[tuple[str, str], ...] = CONVEN
 
 def purposes(symbols: DataFrame, tags: DataFrame) -> DataFrame:
     """(repo, package, purpose): the name, the first three symbols and the tags."""
-    first = symbols.groupBy("repo", "package").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 3).alias("names"))
+    # ranks leave every task three names a package, so that no package's names are one list
+    by_name = Window.partitionBy("repo", "package").orderBy(F.asc_nulls_last("name"))
+    ranked = symbols.select("repo", "package", "name").distinct().withColumn("rank", F.row_number().over(by_name)).where("rank <= 3")
+    first = ranked.groupBy("repo", "package").agg(F.array_sort(F.collect_list("name")).alias("names"))
     both = tags.select("repo", "package", "tags").join(first, ["repo", "package"], "full_outer")
     names = F.when(F.size(F.coalesce("names", F.array())) > 0, F.concat(F.lit(": "), F.array_join("names", ", "))).otherwise("")
     marks = F.when(F.size(F.coalesce("tags", F.array())) > 0, F.concat(F.lit(" ("), F.array_join("tags", ", "), F.lit(")"))).otherwise("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
@@ -95,8 +95,12 @@ class Catalog:
         return sinks.report(name, self.files, self.symbols, self.edges, packages.summaries(self.files), self.purposes, packages.hot_symbols(self.symbols))
 
     def write(self, folder: str) -> None:
-        for t in TABLES:
-            sinks.write_table(getattr(self, t), folder, t)
+        """Writes all tables to a folder that isn't read. What hasn't been made yet comes from the files as written, so that whatever they come from runs once."""
+        sinks.write_table(self.files, folder, "files")
+        made = replace(self, files=self.files.sparkSession.read.schema(self.files.schema).parquet(f"{folder}/files"))
+        made.__dict__.update({t: self.__dict__[t] for t in TABLES if t in self.__dict__ and t != "files"})
+        for t in TABLES[1:]:
+            sinks.write_table(getattr(made, t), folder, t)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Catalog:

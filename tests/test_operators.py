@@ -291,3 +291,25 @@ def test_loop_sessions_are_kept_and_deleted(spark, tmp_path):
     assert sinks.read_session(spark, folder, "a").count() == 2
     sinks.delete_session(spark, folder, "a")
     assert sinks.read_session(spark, folder, "a").count() == 0 and sinks.read_session(spark, folder, "b").count() == 2
+
+
+def test_index_is_written_from_one_reading_of_its_files(spark, tmp_path):
+    """What the files come from runs once (before: once for each table), and purposes list no package's names whole."""
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    names = ["e", "b", "d", "b", "a", "c"]
+    rows = [("r", f"p/{i}.py", f"def {n}():\n    {n}x(1)\nimport p.{i}\n") for i, n in enumerate(names)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string").mapInArrow(counted, "repo string, path string, content string")
+    Catalog(files).write(str(tmp_path / "index"))
+    assert runs.value == len(rows)
+    made = Catalog.read(spark, str(tmp_path / "index"))
+    assert made.symbols.count() == len(rows)
+    purposes = packages.purposes(made.symbols, made.conventions)
+    assert [r.purpose.split(": ")[1] for r in purposes.collect()] == ["a, b, c"]
+    assert "collect_set" not in purposes._jdf.queryExecution().executedPlan().toString()
