@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,12 +94,16 @@ def symbols(files: DataFrame) -> DataFrame:
     rows = lines(with_language(files)).withColumn("signature", F.when(F.col("lang") == "python", F.col("text")).otherwise(text.strip(F.col("text"))))
 
     def found(lang: str) -> Column:
+        """A name by rule, empty if the rule doesn't fit: a name has a letter at least."""
         pairs = zip(RULES[lang], NEEDS[lang], strict=True)
-        return F.coalesce(*(F.when(_holds("signature", *needs) & F.col("signature").rlike(_U + r), F.struct(F.regexp_extract("signature", _U + r, 1).alias("name"), F.lit(kind).alias("kind"))) for (r, kind), needs in pairs))
+        return F.array(*(F.when(_holds("signature", *needs), F.struct(F.regexp_extract("signature", _U + r, 1).alias("name"), F.lit(kind).alias("kind"))) for (r, kind), needs in pairs))
 
-    hit = F.coalesce(*(F.when(F.col("lang") == lang, found(lang)) for lang in RULES))
+    # lines that no rule can fit go before anything else is evaluated
+    may = reduce(lambda a, b: a | b, ((F.col("lang") == lang) & F.col("text").rlike("|".join(re.escape(n) for n in dict.fromkeys(n for needs in NEEDS[lang] for n in needs))) for lang in RULES))
+    every = reduce(lambda c, lang: c.when(F.col("lang") == lang, found(lang)), list(RULES)[1:], F.when(F.col("lang") == next(iter(RULES)), found(next(iter(RULES)))))
     # exploded rather than filtered, so that the rules are evaluated once; a lambda keeps them out of the compiled code, which would be too large to run fast
-    rows = rows.where(F.col("signature") != "").withColumn("hit", F.explode(F.array_compact(F.array(hit))))
+    hits = F.filter(every, lambda h: h.isNotNull() & (h["name"] != ""))
+    rows = rows.where(may).withColumn("hit", F.explode(F.slice(hits, 1, 1)))
     return rows.select("repo", "path", paths.package(F.col("path")).alias("package"), F.col("hit.name").alias("name"), "signature", F.col("hit.kind").alias("kind"), "line", F.lit(0).alias("character"))
 
 
