@@ -178,8 +178,8 @@ def calls(files: DataFrame, found: DataFrame) -> DataFrame:
     The function of a line comes from one window over calls and functions together, not from a range join.
     """
     rows = lines(with_language(files)).where(F.contains("text", F.lit("(")))
-    bare = text.strip(F.col("text"))
-    open_lines = rows.where(~(bare.startswith("//") | bare.startswith("#") | bare.startswith("*") | F.contains(bare, F.lit("fn ")) | bare.startswith("def ") | F.contains(bare, F.lit("function "))))
+    # one pattern says of a line without white space at its ends that it is a comment or a definition: a name such as `fn` is followed by more
+    open_lines = rows.where(~F.col("text").rlike(r"(?Us)^\s*(?://|#|\*|def )|(?:fn|function) .*\S"))
     sites = open_lines.select("repo", "path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)).alias("place", "callee_name"))
     short_type = F.col("callee_name").rlike("^[A-Z]") & (F.length("callee_name") <= 3)
     sites = sites.where(~F.col("callee_name").isin(*NO_CALLS) & ~short_type)

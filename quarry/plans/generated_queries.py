@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import extract, resolve, security
 from quarry.plans.tables import table
+from quarry.sources.checkpoints import written
 
 WORD = "[a-z]{3,12}"
 
@@ -53,7 +54,8 @@ def resolve_generated(spark, sf_dir):
 
 def calls_generated(spark, sf_dir):
     f = python_files(spark, sf_dir)
-    s = extract.symbols(f)
+    # as written: calls and their resolution read symbols several times, and only these columns
+    s = written(extract.symbols(f).select("repo", "path", "line", "name", "kind"))
     return resolve.resolve_calls(extract.calls(f, s), s).select("caller_file", "caller_sym", "callee_name", "line", "callee_file", "resolved")
 
 
