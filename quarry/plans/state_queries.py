@@ -192,12 +192,14 @@ def _ticks(df: DataFrame) -> DataFrame:
 
 
 def loop_prefetch(spark, sf_dir):
-    return loops.prefetched(_ticks(table(spark, sf_dir, "conversations")), loops.rings(supply_edges(spark, sf_dir)))
+    ticks = _ticks(table(spark, sf_dir, "conversations"))
+    return loops.prefetched(ticks, loops.rings(supply_edges(spark, sf_dir), ticks))
 
 
 def stream_prefetch(spark, sf_dir):
     """The same from a stream of three batches of turns."""
-    stream = changes.in_batches(_ticks(table(spark, sf_dir, "conversations")), F.col("at"), 3)
+    ticks = _ticks(table(spark, sf_dir, "conversations"))
+    stream = changes.in_batches(ticks, F.col("at"), 3)
     folder = f"{changes.shared_dir(spark)}/prefetch-{uuid.uuid4().hex}"
     changes.ran(loops.prefetched(stream, loops.rings(supply_edges(spark, sf_dir))), "prefetch", "update", staleness.keeper(folder))
     return spark.read.parquet(f"{folder}/flags-*").groupBy("session", "file").agg(F.min("at").alias("at"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.sources.checkpoints import cut
+
+#: Rows up to which a side of a join is broadcast.
+FEW = 100_000
 EVERY_N, STALE_WARN, MOST_ITERATIONS = 3, 5, 50
 
 
@@ -36,11 +40,25 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("tool", "key").agg(F.count("*").alias("n"))
 
 
-def rings(edges: DataFrame) -> DataFrame:
-    """(file, near): what a file depends on in one or two steps, without itself."""
-    one = edges.select(F.col("src").alias("file"), F.col("dst").alias("near")).distinct()
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, made once; broadcast where there are few."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def rings(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(file, near): what a file depends on in one or two steps, without itself; of (file): of these files alone, whose rings are made once and kept.
+
+    Edges that don't leave these files or what is next to them go before anything is dealt out."""
+    one = edges.select(F.col("src").alias("file"), F.col("dst").alias("near"))
+    if of is not None:
+        one = cut(one.join(_few(of.select("file").distinct()), "file", "left_semi").distinct())
+        edges = edges.join(_few(one.select(F.col("near").alias("src")).distinct()), "src", "left_semi")
+    else:
+        one = one.distinct()
     two = one.select("file", F.col("near").alias("src")).join(edges, "src").select("file", F.col("dst").alias("near"))
-    return one.unionByName(two).where("file <> near").distinct()
+    out = one.unionByName(two).where("file <> near").distinct()
+    return out if of is None else _few(out)
 
 
 def prefetched(ticks: DataFrame, ring: DataFrame) -> DataFrame:
