@@ -201,7 +201,7 @@ def stream_prefetch(spark, sf_dir):
     ticks = _ticks(table(spark, sf_dir, "conversations"))
     stream = changes.in_batches(ticks, F.col("at"), 3)
     folder = f"{changes.shared_dir(spark)}/prefetch-{uuid.uuid4().hex}"
-    changes.ran(loops.prefetched(stream, loops.rings(supply_edges(spark, sf_dir))), "prefetch", "update", staleness.keeper(folder))
+    changes.ran(loops.prefetched(stream, loops.rings(supply_edges(spark, sf_dir), ticks)), "prefetch", "update", staleness.keeper(folder))
     return spark.read.parquet(f"{folder}/flags-*").groupBy("session", "file").agg(F.min("at").alias("at"))
 
 
