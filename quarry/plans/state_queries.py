@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph
 from quarry.plans.tables import SUPPLY_SQL, supply_edges, table
 from quarry.sources import blame, sinks
+from quarry.sources.checkpoints import written
 from quarry.streaming import changes, leases, locks, loops, staleness, versions
 
 
@@ -182,7 +183,10 @@ def stream_staleness(spark, sf_dir):
     linked, symbols, changed = _sections(spark, sf_dir)
     stream = changes.in_batches(changed, F.pmod(F.xxhash64("path", "ts"), F.lit(1 << 20)), 4)
     folder = f"{changes.shared_dir(spark)}/flags-{uuid.uuid4().hex}"
-    changes.ran(staleness.folded(stream, staleness.links(linked, symbols)), "staleness", "update", staleness.keeper(folder))
+    # sections and links are made of all events: once, not by each batch
+    linked = written(linked)
+    static = written(staleness.links(linked, symbols))
+    changes.ran(staleness.folded(stream, static), "staleness", "update", staleness.keeper(folder))
     return staleness.flags(linked, spark.read.parquet(f"{folder}/flags-*"))
 
 
