@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.functions import paths, text
+from quarry.functions import modules, paths, text
+from quarry.sources.package import send_package
 
 # For each language the patterns in the order in which they are tried, and the kind of symbol.
 _CS_HEAD = r"^\s*(?:\[.*\]\s*)*"
@@ -89,22 +91,29 @@ def _holds(column: str, *parts: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.col(column), F.lit(p)) for p in parts))
 
 
+def _marked(lang: str) -> Column:
+    """The names that the rules of a language give, one a line; all but one are empty, as the first rule that fits is taken."""
+    rules = "|".join(r.removeprefix("^") for r, _ in RULES[lang])
+    return F.regexp_replace("text", f"{_U}^(?:{rules})(?s:.*)", "\n".join(f"${i + 1}" for i in range(len(RULES[lang]))))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """(repo, path, package, name, signature, kind, line, character): the first rule that fits a line makes its symbol."""
-    rows = lines(with_language(files)).withColumn("signature", F.when(F.col("lang") == "python", F.col("text")).otherwise(text.strip(F.col("text"))))
-
-    def found(lang: str) -> Column:
-        """A name by rule, empty if the rule doesn't fit: a name has a letter at least."""
-        pairs = zip(RULES[lang], NEEDS[lang], strict=True)
-        return F.array(*(F.when(_holds("signature", *needs), F.struct(F.regexp_extract("signature", _U + r, 1).alias("name"), F.lit(kind).alias("kind"))) for (r, kind), needs in pairs))
+    rows = lines(with_language(files))
 
     # lines that no rule can fit go before anything else is evaluated
-    may = reduce(lambda a, b: a | b, ((F.col("lang") == lang) & F.col("text").rlike("|".join(re.escape(n) for n in dict.fromkeys(n for needs in NEEDS[lang] for n in needs))) for lang in RULES))
-    every = reduce(lambda c, lang: c.when(F.col("lang") == lang, found(lang)), list(RULES)[1:], F.when(F.col("lang") == next(iter(RULES)), found(next(iter(RULES)))))
-    # exploded rather than filtered, so that the rules are evaluated once; a lambda keeps them out of the compiled code, which would be too large to run fast
-    hits = F.filter(every, lambda h: h.isNotNull() & (h["name"] != ""))
-    rows = rows.where(may).withColumn("hit", F.explode(F.slice(hits, 1, 1)))
-    return rows.select("repo", "path", paths.package(F.col("path")).alias("package"), F.col("hit.name").alias("name"), "signature", F.col("hit.kind").alias("kind"), "line", F.lit(0).alias("character"))
+    needed = {lang: tuple(dict.fromkeys(n for needs in NEEDS[lang] for n in needs)) for lang in RULES}
+    # a pattern tries all its words at each character, so that many are sought one by one
+    any_of = lambda words: F.col("text").rlike("|".join(map(re.escape, words))) if len(words) < 3 else _holds("text", *words)
+    may = reduce(lambda a, b: a | b, ((F.col("lang") == lang) & any_of(words) for lang, words in needed.items()))
+    # each language's rules are one pattern: the first that fits puts the name at its place among empty ones. White space around a line makes no difference to them
+    marked = reduce(lambda c, lang: c.when(F.col("lang") == lang, _marked(lang)), RULES, F)
+    # exploded rather than filtered, so that the patterns are evaluated once; a line that no rule fits stays as it is
+    rows = rows.where(may).withColumn("hit", F.explode(F.array_remove(F.array(marked), F.col("text"))))
+    place = F.length("hit") - F.length(F.ltrim("hit", F.lit("\n")))
+    kind = reduce(lambda c, lang: c.when(F.col("lang") == lang, F.get(F.array(*(F.lit(k) for _, k in RULES[lang])), place)), RULES, F)
+    signature = F.when(F.col("lang") == "python", F.col("text")).otherwise(text.strip(F.col("text"))).alias("signature")
+    return rows.select("repo", "path", paths.package(F.col("path")).alias("package"), F.replace("hit", F.lit("\n"), F.lit("")).alias("name"), signature, kind.alias("kind"), "line", F.lit(0).alias("character"))
 
 
 def _found(column: str, head: str, name: str, tail: str = "") -> Column:
@@ -114,36 +123,12 @@ def _found(column: str, head: str, name: str, tail: str = "") -> Column:
     return F.when(F.col(column).rlike(pattern), F.struct(F.regexp_extract(column, pattern, 1).alias("text"), F.length(F.regexp_extract(column, before, 1)).alias("character")))
 
 
-# Imports of relative modules: the name, the quote behind it, what comes before the name.
-_TS_NAME, _TS_QUOTE = r"""[./][^'"]+""", r"""['"]"""
-_TS_END = r"""from\s+['"]"""
-_TS_FROM, _TS_SIDE = rf"(?:import|export)\s(?s:.)*?{_TS_END}", r"""import\s+['"]"""
-
-
-def _ts_places(files: DataFrame, head: str, end: str, rule: int) -> DataFrame:
-    """(repo, path, lang, text, line, character, _rule) of all matches. Line and character are counted on over what lies between one name and the next,
-    so that each piece is read once; the search stops at the last thing that can end a match, so that none runs to the end of the text in vain."""
-    code = F.regexp_extract("content", rf"{_U}^(?s:.)*{end}{_TS_NAME}{_TS_QUOTE}", 0)
-    rows = files.select("repo", "path", "lang", code.alias("code")).where("code <> ''")
-    pattern = F.lit(f"{_U}({head})({_TS_NAME})({_TS_QUOTE})")
-    part = lambda i: F.regexp_extract_all("code", pattern, i)
-    rows = rows.select("repo", "path", "lang", part(1).alias("heads"), part(2).alias("names"), F.split("code", f"{_U}{head}{_TS_NAME}{_TS_QUOTE}").alias("gaps"))
-    # `_` stands for the quote behind a name
-    over = F.expr("transform(names, (n, i) -> struct(n AS text, concat(if(i = 0, '', concat(names[i - 1], '_')), gaps[i], heads[i]) AS over))")
-    steps = F.transform(over, lambda m: F.struct(m["text"].alias("text"), (F.length(m["over"]) - F.length(F.replace(m["over"], F.lit("\n"), F.lit("")))).alias("down"), F.length(F.substring_index(m["over"], "\n", -1)).alias("right")))
-    places = F.expr(
-        "aggregate(_steps, struct(1 AS line, 0 AS character, cast(array() AS array<struct<text:string,line:int,character:int>>) AS out), "
-        "(a, m) -> struct(a.line + m.down AS line, if(m.down > 0, 0, a.character) + m.right AS character, "
-        "array_append(a.out, struct(m.text AS text, a.line + m.down AS line, if(m.down > 0, 0, a.character) + m.right AS character)) AS out)).out"
-    )
-    found = rows.withColumn("_steps", steps).select("repo", "path", "lang", F.explode(places).alias("m"))
-    return found.select("repo", "path", "lang", F.col("m.text").alias("text"), F.col("m.line").alias("line"), F.col("m.character").alias("character"), F.lit(rule).alias("_rule"))
-
-
 def _ts_imports(files: DataFrame) -> DataFrame:
-    """Imports over the whole text, as they may span lines."""
-    rows = _ts_places(files, _TS_FROM, _TS_END, 0).unionByName(_ts_places(files, _TS_SIDE, _TS_SIDE, 1))
-    return rows.groupBy("repo", "path", "lang", "text", "line").agg(F.min(F.struct("_rule", "character")).alias("first")).select("repo", "path", "lang", "text", "line", F.col("first.character").alias("character"))
+    """Imports over the whole text, as they may span lines. A file's are told apart inside its row, so that none is shuffled."""
+    send_package(files.sparkSession)
+    of = files.where(F.contains("content", F.lit("import")) | F.contains("content", F.lit("from"))).select("repo", "path", "lang", F.col("content").cast("binary").alias("code"))
+    schema = T.StructType([*of.schema.fields[:3], *(T.StructField(n, t) for n, t in (("text", T.StringType()), ("line", T.IntegerType()), ("character", T.IntegerType())))])
+    return of.mapInArrow(modules.relative_imports, schema)
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,16 @@ def _rust(text: Column, path: Column) -> Column:
     return F.when(F.contains(text, F.lit("::")), absolute).otherwise(beside)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value found once."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def _typescript(text: Column, path: Column) -> Column:
     base = paths.normalised(paths.join(paths.parent(path), text))
-    found = F.array(paths.with_extension(base, "ts"), paths.with_extension(base, "tsx"), paths.join(base, F.lit("index.ts")), paths.join(base, F.lit("index.tsx")), paths.with_extension(base, "js"))
+    # the ending differs, what stands before it is found once
+    named = lambda b, bare: F.array(F.concat(bare, F.lit("ts")), F.concat(bare, F.lit("tsx")), paths.join(b, F.lit("index.ts")), paths.join(b, F.lit("index.tsx")), F.concat(bare, F.lit("js")))
+    found = _let(base, lambda b: _let(paths.with_extension(b, ""), lambda bare: named(b, bare)))
     return F.when(text.startswith("."), found).otherwise(F.array().cast("array<string>"))
 
 

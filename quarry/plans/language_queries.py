@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import extract, resolve, security
 from quarry.plans.generated_queries import WORD
 from quarry.plans.tables import table
+from quarry.sources.checkpoints import written
 
 #: A form has parts: text, W the word, A and B the documents n and 2n further on. What it means: ("symbol", kind, name), ("import", text, character) or nothing.
 W, A, B = "\x00W", "\x00A", "\x00B"
@@ -77,9 +78,10 @@ def _facts(language: str):
     head, end, forms = LANGUAGES[language]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        code = _files(spark, sf_dir, head, end, [f for f, _ in forms])
+        # as written: symbols, imports and their resolution each read the code, the last two the imports
+        code = written(_files(spark, sf_dir, head, end, [f for f, _ in forms]))
         every = code.unionByName(spark.createDataFrame([("r", "go.mod", "module mod\n")], "repo string, path string, content string")) if language == "go" else code
-        made = extract.imports(code)
+        made = written(extract.imports(code))
         out = extract.symbols(code).select(F.lit("symbol").alias("part"), "path", "line", "name", F.col("kind").alias("detail"))
         out = out.unionByName(made.select(F.lit("import").alias("part"), "path", "line", F.col("text").alias("name"), F.col("character").cast("string").alias("detail")))
         return out.unionByName(resolve.resolve_imports(made, every).select(F.lit("edge").alias("part"), F.col("src").alias("path"), F.lit(None).cast("int").alias("line"), F.col("dst").alias("name"), F.lit(None).cast("string").alias("detail")))
