@@ -1,4 +1,4 @@
-"""Symbols, imports and calls of source files (repo, path, content), all as column expressions over lines."""
+"""Symbols, imports and calls of source files (repo, path, content), as column expressions over lines; imports of TypeScript over whole texts."""
 
 from __future__ import annotations
 
